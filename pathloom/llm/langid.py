@@ -22,6 +22,8 @@ ORDERS = 3
 PROFILE = 400
 #: Labelled rows, about, from which the profile of each language is counted.
 SAMPLE = 2000
+#: Profiles are in every task; more values of ``lang`` are an error.
+MOST_LANGUAGES = 1000
 UNKNOWN = "und"
 #: The pipeline rejects a document whose n-grams resemble no learned language even this much.
 LEAST_SCORE = 0.05
@@ -112,12 +114,17 @@ def _count(rows: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 def fit(rows: DataFrame, sample: int = SAMPLE, length: int = PROFILE) -> Profiles:
     """Profiles from ``rows(doc_id, text, lang)``, of each language from about ``sample`` rows chosen by a hash of doc_id.
 
-    The driver gets ``length`` n-grams for each language.
+    The driver gets ``length`` n-grams for each language, of which there may be MOST_LANGUAGES.
     """
     rows = rows.where("lang is not null and text is not null").select(F.col("doc_id").cast("long"), "text", "lang")
-    sizes = rows.groupBy("lang").agg(F.count(F.lit(1)).alias("_rows"))
+    sizes = rows.groupBy("lang").agg(F.count(F.lit(1)).alias("n")).limit(MOST_LANGUAGES + 1).collect()
+    if len(sizes) > MOST_LANGUAGES:
+        raise ValueError(f"lang has over {MOST_LANGUAGES} values")
+    if not sizes:
+        return Profiles({}, length)
     draw = F.pmod(F.xxhash64("doc_id", F.lit("profile")), F.lit(1 << 20)) / F.lit(float(1 << 20))
-    chosen = rows.join(F.broadcast(sizes.limit(1 << 16)), "lang").where(draw * F.col("_rows") < F.lit(float(sample)))
+    share = F.create_map(*[F.lit(x) for r in sizes for x in (r.lang, sample / r.n)])[F.col("lang")]
+    chosen = rows.where(draw < share)
     counts = chosen.select("lang", "text").mapInArrow(_count, "lang string, gram long, n long")
     rank = F.row_number().over(Window.partitionBy("lang").orderBy(F.desc("n"), "gram")).alias("rank")
     ranked = counts.groupBy("lang", "gram").agg(F.sum("n").alias("n")).select("lang", "gram", rank).where(F.col("rank") <= length)
