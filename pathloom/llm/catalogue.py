@@ -5,7 +5,7 @@ from __future__ import annotations
 from importlib import import_module
 
 #: Modules of this package that define ``QUERIES`` and ``ORACLES``.
-MODULES = ("simhash", "decontamination", "langid", "packing", "line_dedup")
+MODULES = ("simhash", "decontamination", "warc", "secrets", "langid", "packing", "line_dedup")
 
 
 def _merged(name: str) -> dict:
