@@ -8,29 +8,46 @@ closed by cutting: their pieces run on into full windows, and the last remainder
 
 from __future__ import annotations
 
+import re
 import zlib
 from collections.abc import Iterator
+from functools import lru_cache
 
 import numpy as np
 import pyarrow as pa
 from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession
 
-from .common import table, utf8
+from .common import table
 
 WINDOW = 4096
 END = 2
 #: Partially filled windows that a task holds at most.
 MOST_OPEN = 2048
-#: Words whose ids a worker remembers.
-CACHE = 400_000
+#: Words whose ids a worker remembers, about.
+CACHE = 600_000
+
+
+#: Texts with one of these go through the whole tokenizer: beyond Latin letters, where Unicode tables and forms matter,
+#: white space on which engines differ, and the start of a special token.
+_UNUSUAL = re.compile("[\x85\xa0\u0130\u0250-\U0010ffff]")
+_UNUSUAL_ASCII = ("\x1c", "\x1d", "\x1e", "\x1f", "<|")
+#: The tokenizer's own split, for other texts in lower case; superscripts and fractions are numbers.
+_PARTS = re.compile(r"'s|'t|'re|'ve|'m|'ll|'d|[^\W\d_²³¹¼½¾]+|[\d²³¹¼½¾]|(?:[^\s\w]|_)+")
+
+
+def _byte_letters() -> list[str]:
+    """The letter that a byte-level model has for each byte: itself where printable, else the next from 256 on."""
+    printable = [*range(33, 127), *range(161, 173), *range(174, 256)]
+    rest = iter(range(256, 512))
+    return [chr(b) if b in printable else chr(next(rest)) for b in range(256)]
 
 
 class Tokens:
-    """Ids of texts as little-endian unsigned 32-bit numbers.
+    """Ids of texts as little-endian unsigned 32-bit numbers, of a lower-case tokenizer that drops white space.
 
-    The tokenizer drops white space and never joins across it, so that a text's ids are those of its words, which are
-    remembered.
+    It never joins across white space nor across its own split, so that a text's ids are those of its words, which are
+    remembered, and a new word's those of its parts. In texts with unusual characters, a word goes through it whole.
     """
 
     def __init__(self, path: str):
@@ -40,22 +57,48 @@ class Tokens:
         from tokenizers import Tokenizer
 
         self.tokenizer = Tokenizer.from_file(path)
-        self.known: dict[bytes, bytes] = {}
-
-    def ids(self, text: bytes | None) -> bytes:
-        words = (text or b"").split()
+        self.model, self.letters = self.tokenizer.model, _byte_letters()
+        self.parts: dict[str, bytes] = {}
+        self.usual: dict[str, bytes] = {}
+        self.unusual: dict[str, bytes] = {}
+
+    def _part(self, part: str) -> bytes:
+        found = self.model.tokenize(part if part.isascii() else "".join([self.letters[b] for b in part.encode()]))
+        return b"".join([t.id.to_bytes(4, "little") for t in found])
+
+    def _word(self, word: str) -> bytes:
+        return np.array(self.tokenizer.encode(word, add_special_tokens=False).ids, "<u4").tobytes()
+
+    def _usual_word(self, word: str) -> bytes:
+        out = []
+        for part in _PARTS.findall(word):
+            if part not in self.parts:
+                self.parts[part] = self._part(part)
+            out.append(self.parts[part])
+        return b"".join(out)
+
+    def ids(self, text: str | None) -> bytes:
+        text = text or ""
+        if any(map(text.__contains__, _UNUSUAL_ASCII)) or not text.isascii() and _UNUSUAL.search(text):
+            known, make, words = self.unusual, self._word, re.split(r"[\x20\x09-\x0d]+", text)
+        else:
+            known, make, words = self.usual, self._usual_word, text.lower().split()
         try:
-            return b"".join(map(self.known.__getitem__, words))
+            return b"".join(map(known.__getitem__, words))
         except KeyError:
             pass
-        if len(self.known) > CACHE:
-            self.known.clear()
-        new = list({w for w in words if w not in self.known})
-        for i in range(0, len(new), 4096):
-            part = new[i : i + 4096]
-            for w, e in zip(part, self.tokenizer.encode_batch([w.decode() for w in part], add_special_tokens=False)):
-                self.known[w] = np.array(e.ids, "<u4").tobytes()
-        return b"".join(map(self.known.__getitem__, words))
+        for held in (self.usual, self.parts, self.unusual):
+            if len(held) > CACHE:
+                held.clear()
+        for word in set(words).difference(known):
+            known[word] = make(word)
+        return b"".join(map(known.__getitem__, words))
+
+
+@lru_cache(maxsize=2)
+def tokens_of(path: str) -> Tokens:
+    """One for each worker, so that tasks after the first find its words known."""
+    return Tokens(path)
 
 
 class Packer:
@@ -132,13 +175,12 @@ _PIECES = pa.schema([(n, pa.int64()) for n in ("doc_id", "start", "length", "ids
 def pack(docs: DataFrame, tokenizer: str, window: int = WINDOW, end: int = END, most_open: int = MOST_OPEN) -> DataFrame:
     """One row for each piece of each row of ``docs(doc_id, text, ...)``.
 
-    ``tokenizer`` is the path of a tokenizers file whose ids are those of its white-space separated words, on every
-    machine. Each row is a document of its own, also where a doc_id is null or repeated; a null or empty text has the
+    ``tokenizer`` is the path, on every machine, of a tokenizers file of the kind that ``Tokens`` reads. Each row is a document of its own, also where a doc_id is null or repeated; a null or empty text has the
     id ``end`` alone. Sequence ids are unique: the task's partition and a number. Other columns are not read.
     """
 
     def run(rows: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        tokens, packer = Tokens(tokenizer), Packer(TaskContext.get().partitionId() << 40, window, most_open)
+        tokens, packer = tokens_of(tokenizer), Packer(TaskContext.get().partitionId() << 40, window, most_open)
         last = np.array([end], "<u4").tobytes()
 
         def taken() -> pa.RecordBatch:
@@ -146,7 +188,7 @@ def pack(docs: DataFrame, tokenizer: str, window: int = WINDOW, end: int = END,
             return pa.RecordBatch.from_arrays([pa.array(list(c), pa.int64()) for c in (zip(*rows) if rows else [[]] * 7)], schema=_PIECES)
 
         for batch in rows:
-            for doc, text in zip(batch.column("doc_id").to_pylist(), utf8(batch.column("text"))):
+            for doc, text in zip(batch.column("doc_id").to_pylist(), batch.column("text").to_pylist()):
                 packer.add(doc, tokens.ids(text) + last)
             yield taken()
         packer.flush()

@@ -52,6 +52,17 @@ def test_round_trip(spark, tokenizer):
         assert at <= 4096 and (at == 4096 or at & (at - 1) == 0)
 
 
+def test_ids_are_the_tokenizers(tokenizer):
+    import pyarrow.parquet as pq
+
+    tokens = packing.Tokens(TOKENIZER)
+    texts = pq.read_table("/root/testdata/sf0.01/documents.parquet", columns=["text"])["text"].to_pylist()
+    texts += ["".join(chr(c) for c in range(a, a + 16)) for a in range(0, 0x3000, 16)] + [f"{chr(c)} a{chr(c)}b {chr(c)}{chr(c)}'s" for c in range(0x20, 0x3000)]
+    texts += ["I'LL they'd''s '' 's't o'r x'revel don't", "snake_case __init__ a_1_b ___", "x²y³ ¼½¾ ª º µ ß ŉ Ǆ", "<|endoftext|>", "<|Endoftext|> < |", "e\u0301 \u0301"]
+    for t in texts:
+        assert tokens.ids(t) == np.array(tokenizer.encode(t, add_special_tokens=False).ids, "<u4").tobytes(), repr(t[:60])
+
+
 def test_least_sum_of_squares():
     rng = np.random.default_rng(2)
     packer, levels = packing.Packer(0, window=16, most_open=10_000), [0] * 17
