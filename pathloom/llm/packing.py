@@ -63,7 +63,7 @@ class Tokens:
         self.unusual: dict[str, bytes] = {}
 
     def _part(self, part: str) -> bytes:
-        found = self.model.tokenize(part if part.isascii() else "".join([self.letters[b] for b in part.encode()]))
+        found = self.model.tokenize(part if part.isascii() and part.isprintable() else "".join([self.letters[b] for b in part.encode()]))
         return b"".join([t.id.to_bytes(4, "little") for t in found])
 
     def _word(self, word: str) -> bytes:
