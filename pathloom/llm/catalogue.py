@@ -5,7 +5,7 @@ from __future__ import annotations
 from importlib import import_module
 
 #: Modules of this package that define ``QUERIES`` and ``ORACLES``.
-MODULES = ("simhash", "decontamination", "warc", "embeddings", "secrets", "langid", "packing", "chat", "line_dedup")
+MODULES = ("simhash", "decontamination", "warc", "embeddings", "substrings", "secrets", "langid", "packing", "chat", "line_dedup")
 
 
 def _merged(name: str) -> dict:

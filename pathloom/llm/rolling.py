@@ -39,14 +39,21 @@ def mixed(x: np.ndarray) -> np.ndarray:
     return x ^ x >> np.uint64(32)
 
 
+class Rolled:
+    """Prefix sums over the bytes of a sequence of words, joined by spaces."""
+
+    def __init__(self, words: list[bytes], powers: Powers):
+        joined = np.frombuffer(b" ".join(words), np.uint8).astype(np.uint64) + np.uint64(1)
+        up, self.down = powers.to(len(joined) + 1)
+        self.sums = np.concatenate([np.zeros(1, np.uint64), np.cumsum(joined * up[:-1], dtype=np.uint64)])
+        self.ends = np.cumsum(np.fromiter(map(len, words), np.int64, len(words)) + 1) - 1
+        self.starts = np.concatenate([[0], self.ends[:-1] + 1])
+
+    def grams(self, n: int) -> np.ndarray:
+        """The hash of each ``n`` consecutive words; equal sequences have equal hashes in every text."""
+        starts, ends = self.starts[: max(0, len(self.ends) - n + 1)], self.ends[n - 1 :]
+        return mixed((self.sums[ends] - self.sums[starts]) * self.down[starts] + (ends - starts).astype(np.uint64))
+
+
 def sequence_hashes(words: list[bytes], n: int, powers: Powers) -> np.ndarray:
-    """The hash of each ``n`` consecutive words; equal sequences have equal hashes in every text."""
-    if len(words) < n:
-        return np.zeros(0, np.uint64)
-    joined = np.frombuffer(b" ".join(words), np.uint8).astype(np.uint64) + np.uint64(1)
-    up, down = powers.to(len(joined) + 1)
-    sums = np.concatenate([np.zeros(1, np.uint64), np.cumsum(joined * up[:-1], dtype=np.uint64)])
-    ends = np.cumsum(np.fromiter(map(len, words), np.int64, len(words)) + 1) - 1
-    starts = np.concatenate([[0], ends[:-1] + 1])[: len(words) - n + 1]
-    ends = ends[n - 1 :]
-    return mixed((sums[ends] - sums[starts]) * down[starts] + (ends - starts).astype(np.uint64))
+    return Rolled(words, powers).grams(n) if len(words) >= n else np.zeros(0, np.uint64)
