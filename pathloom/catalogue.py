@@ -1,4 +1,416 @@
 """Registered queries of the path-set language and their SQL oracles."""
 
-QUERIES: dict = {}
-ORACLES: dict = {}
+from __future__ import annotations
+
+from collections.abc import Callable
+
+from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
+
+from .functions import grounded
+from .functions.paths import interval, prefixes, text_of
+from .operators import patterns
+from .operators.space import ITEMS, Path, Space
+from .plans import fixpoint, programs
+from .sources.tables import facts, table
+
+QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
+ORACLES: dict[str, str] = {}
+
+
+def _query(oracle: str | None = None):
+    def register(function: Callable[[SparkSession, str], DataFrame]):
+        QUERIES[function.__name__] = function
+        if oracle:
+            ORACLES[function.__name__] = oracle
+        return function
+
+    return register
+
+
+# Spaces of the tables
+
+
+def _nations(spark, sf):
+    return facts(table(spark, sf, "nation"), "nation", "n_regionkey", "n_nationkey", distinct=False)
+
+
+def _customers(spark, sf):
+    return facts(table(spark, sf, "customer"), "cust", "c_nationkey", "c_custkey", distinct=False)
+
+
+def _orders(spark, sf):
+    return facts(table(spark, sf, "orders"), None, "o_custkey", "o_orderkey", distinct=False)
+
+
+def _sells(spark, sf):
+    return facts(table(spark, sf, "lineitem"), None, "l_suppkey", "l_partkey")
+
+
+def _did(spark, sf):
+    return facts(table(spark, sf, "events").where("value > 100"), None, "user_id", "event_type")
+
+
+def _lines(spark, sf):
+    return facts(table(spark, sf, "lineitem"), None, "l_linestatus", "l_returnflag", "l_suppkey")
+
+
+def _priorities(spark, sf):
+    return facts(table(spark, sf, "orders"), None, "o_custkey", "o_orderpriority")
+
+
+_GRAPH = "select distinct (o_custkey % 60)::varchar as a, ((o_custkey * 7 + 3) % 60)::varchar as b from orders where o_custkey % 3 <> 1"
+
+
+def _graph(spark, sf):
+    orders = table(spark, sf, "orders").where("o_custkey % 3 <> 1")
+    return facts(orders, None, F.col("o_custkey") % 60, (F.col("o_custkey") * 7 + 3) % 60)
+
+
+_CLOSURE = f"with recursive e as ({_GRAPH}), c as (select a, b from e union select c.a, e.b from c join e on c.b = e.a)"
+
+
+@_query("select 'nation' as tag, n_regionkey::varchar as regionkey, n_nationkey::varchar as nationkey from nation where n_regionkey = 1")
+def q01_unwrap_wrap(spark, sf):
+    return _nations(spark, sf).unwrap("nation.1").wrap("nation.1").columns("tag", "regionkey", "nationkey")
+
+
+@_query("select c_nationkey::varchar as nationkey from customer union select s_nationkey::varchar from supplier")
+def q02_union(spark, sf):
+    return facts(table(spark, sf, "customer"), None, "c_nationkey").union(facts(table(spark, sf, "supplier"), None, "s_nationkey")).columns("nationkey")
+
+
+@_query("select c_nationkey::varchar as nationkey from customer intersect select s_nationkey::varchar from supplier")
+def q03_intersect(spark, sf):
+    return facts(table(spark, sf, "customer"), None, "c_nationkey").intersection(facts(table(spark, sf, "supplier"), None, "s_nationkey")).columns("nationkey")
+
+
+@_query("select c_nationkey::varchar as nationkey from customer except select s_nationkey::varchar from supplier where s_suppkey < 10")
+def q04_subtract(spark, sf):
+    suppliers = facts(table(spark, sf, "supplier").where("s_suppkey < 10"), None, "s_nationkey")
+    return facts(table(spark, sf, "customer"), None, "c_nationkey").subtraction(suppliers).columns("nationkey")
+
+
+def _building(spark, sf):
+    """Customers of a segment, as prefixes of one item, and one order of customer 2's as a prefix of two."""
+    customers = facts(table(spark, sf, "customer").where("c_mktsegment = 'BUILDING'"), None, "c_custkey", distinct=False)
+    return customers.union(_orders(spark, sf).unwrap("2").first(1).wrap("2"))
+
+
+_BUILDING = """o_custkey in (select c_custkey from customer where c_mktsegment = 'BUILDING')
+ or (o_custkey = 2 and o_orderkey::varchar = (select min(o_orderkey::varchar) from orders where o_custkey = 2))"""
+
+
+@_query(f"select o_custkey::varchar as custkey, o_orderkey::varchar as orderkey from orders where {_BUILDING}")
+def q05_restrict(spark, sf):
+    return _orders(spark, sf).restriction(_building(spark, sf)).columns("custkey", "orderkey")
+
+
+@_query(f"select o_custkey::varchar as custkey, o_orderkey::varchar as orderkey from orders where not ({_BUILDING})")
+def q06_raffinate(spark, sf):
+    return _orders(spark, sf).raffination(_building(spark, sf)).columns("custkey", "orderkey")
+
+
+@_query("select distinct r_name as region, o_orderpriority as priority from region cross join (select distinct o_orderpriority from orders)")
+def q07_compose(spark, sf):
+    return facts(table(spark, sf, "region"), None, "r_name").composition(facts(table(spark, sf, "orders"), None, "o_orderpriority")).columns("region", "priority")
+
+
+@_query("select distinct l_partkey::varchar as partkey from lineitem where l_suppkey in (1, 2)")
+def q08_tails_union(spark, sf):
+    return _sells(spark, sf).restriction(Space.literal(spark, "1", "2")).tails_union().columns("partkey")
+
+
+@_query("select l_partkey::varchar as partkey from lineitem where l_suppkey in (1, 2) group by 1 having count(distinct l_suppkey) = 2")
+def q09_tails_intersection(spark, sf):
+    return _sells(spark, sf).restriction(Space.literal(spark, "1", "2")).tails_intersection().columns("partkey")
+
+
+@_query("""select distinct n_regionkey::varchar as regionkey, o_orderpriority as priority from nation join customer on c_nationkey = n_nationkey
+ join orders on o_custkey = c_custkey where n_nationkey % 2 = 0""")
+def q10_iter_join(spark, sf):
+    nations = facts(table(spark, sf, "nation").where("n_nationkey % 2 = 0"), None, "n_regionkey", "n_nationkey", distinct=False)
+    customers, orders = _customers(spark, sf).unwrap("cust"), _priorities(spark, sf)
+
+    def of_region(region: Path, own: Space) -> Space:
+        held = own.iterate_heads(lambda nation: customers.unwrap(nation).iterate_heads(lambda customer: orders.unwrap(customer)))
+        return held.wrap(region)
+
+    return nations.iterate(of_region).columns("regionkey", "priority")
+
+
+@_query("select distinct l_partkey::varchar as partkey, l_orderkey::varchar as orderkey from lineitem")
+def q11_iter_invert(spark, sf):
+    orders = facts(table(spark, sf, "lineitem"), None, "l_orderkey", "l_partkey")
+    return orders.iterate(lambda order, parts: parts.iterate(lambda part, rest: rest.wrap(part + order))).columns("partkey", "orderkey")
+
+
+@_query("select l_linestatus as linestatus, l_returnflag as returnflag, count(distinct l_suppkey)::varchar as suppliers from lineitem group by 1, 2")
+def q12_iterk(spark, sf):
+    return _lines(spark, sf).iterate_first(2, lambda both, suppliers: suppliers.card().wrap(both)).columns("linestatus", "returnflag", "suppliers")
+
+
+@_query("select distinct l_linestatus as linestatus, l_returnflag as returnflag from lineitem")
+def q13_headk(spark, sf):
+    return _lines(spark, sf).heads(2).columns("linestatus", "returnflag")
+
+
+_URGENT = "select o_custkey, count(distinct o_orderkey) as n from orders where o_orderpriority = '1-URGENT' group by 1"
+
+
+def _urgent(spark, sf):
+    return facts(table(spark, sf, "orders").where("o_orderpriority = '1-URGENT'"), None, "o_custkey", "o_orderkey", distinct=False)
+
+
+@_query(f"select c_custkey::varchar as custkey, coalesce(n, 0)::varchar as urgent from customer left join ({_URGENT}) on c_custkey = o_custkey")
+def q14_card(spark, sf):
+    urgent = _urgent(spark, sf)
+    customers = facts(table(spark, sf, "customer"), None, "c_custkey", distinct=False)
+    return customers.iterate_heads(lambda c: urgent.unwrap(c).card().wrap(c)).columns("custkey", "urgent")
+
+
+@_query(f"select c_custkey::varchar as custkey from customer where c_custkey not in (select o_custkey from ({_URGENT}))")
+def q15_on_empty(spark, sf):
+    urgent = _urgent(spark, sf)
+    customers = facts(table(spark, sf, "customer"), None, "c_custkey", distinct=False)
+    return customers.iterate_heads(lambda c: urgent.unwrap(c).on_empty(Space.single(spark, c))).columns("custkey")
+
+
+@_query(f"select c_custkey::varchar as custkey from customer where c_custkey in (select o_custkey from ({_URGENT}))")
+def q16_tee(spark, sf):
+    urgent = _urgent(spark, sf)
+    customers = facts(table(spark, sf, "customer"), None, "c_custkey", distinct=False)
+    return customers.iterate_heads(lambda c: urgent.unwrap(c).tee(Space.single(spark, c))).columns("custkey")
+
+
+@_query("select o_custkey::varchar as custkey, min(o_orderkey::varchar) as orderkey from orders group by 1")
+def q17_first(spark, sf):
+    return _orders(spark, sf).iterate(lambda c, own: own.first(1).wrap(c)).columns("custkey", "orderkey")
+
+
+@_query("select o_custkey::varchar as custkey, max(o_orderkey::varchar) as orderkey from orders group by 1")
+def q18_last(spark, sf):
+    return _orders(spark, sf).iterate(lambda c, own: own.last(1).wrap(c)).columns("custkey", "orderkey")
+
+
+@_query("""select user_id::varchar as user_id from events where value > 100 group by 1
+ having count(distinct event_type) = (select count(distinct event_type) from events where value > 100)""")
+def q19_left_residual(spark, sf):
+    did = _did(spark, sf)
+    return did.left_residual(did.tails_union()).columns("user_id")
+
+
+@_query("select event_type from events where value > 100 and user_id in (1, 2, 3) group by 1 having count(distinct user_id) = 3")
+def q20_right_residual(spark, sf):
+    return _did(spark, sf).right_residual(Space.literal(spark, "1", "2", "3")).columns("event_type")
+
+
+@_query("select o_custkey::varchar as custkey from orders group by 1 having count(distinct o_orderpriority) = (select count(distinct o_orderpriority) from orders)")
+def q21_division(spark, sf):
+    held = _priorities(spark, sf)
+    return programs.division(held, held.tails_union()).columns("custkey")
+
+
+@_query("select distinct 'by' as tag, user_id::varchar as user_id, event_type from events where event_type <> 'zzz'")
+def q22_transformation(spark, sf):
+    events = facts(table(spark, sf, "events"), "event", "event_type", "user_id")
+    return events.transformation("event.$type.$user", "by.$user.$type").columns("tag", "user_id", "event_type")
+
+
+def _statuses(spark, sf):
+    both = table(spark, sf, "lineitem").join(table(spark, sf, "orders"), F.col("l_orderkey") == F.col("o_orderkey"))
+    return facts(both, None, "l_linestatus", "l_returnflag", "o_orderstatus")
+
+
+_STATUSES = "select distinct l_linestatus as a, l_returnflag as b, o_orderstatus as c from lineitem join orders on l_orderkey = o_orderkey"
+
+
+@_query(f"select a, b, c from ({_STATUSES}) where a = c")
+def q23_pattern_q(spark, sf):
+    return patterns.select(_statuses(spark, sf), "$a.$b.$a").columns("a", "b", "c")
+
+
+@_query(f"select distinct 'flag' as tag, b, a from ({_STATUSES}) where a = c")
+def q24_pattern_t(spark, sf):
+    return patterns.rewrite(_statuses(spark, sf), "$a.$b.$a", "flag.$b.$a").columns("tag", "b", "a")
+
+
+def _places(spark, sf):
+    region = facts(table(spark, sf, "nation"), "region", "n_regionkey", "n_nationkey", distinct=False)
+    segments = facts(table(spark, sf, "customer"), "segment", "c_mktsegment", "c_custkey", distinct=False)
+    return region.union(_customers(spark, sf), segments)
+
+
+@_query("select distinct 'in' as tag, n_regionkey::varchar as regionkey, c_custkey::varchar as custkey from nation join customer on c_nationkey = n_nationkey")
+def q25_mqt(spark, sf):
+    return patterns.rewrite_all(_places(spark, sf), ["region.$r.$n", "cust.$n"], "in.$r").columns("tag", "regionkey", "custkey")
+
+
+@_query("""with j as (select n_regionkey::varchar as r, c_mktsegment as s, c_nationkey::varchar as n from nation join customer on c_nationkey = n_nationkey)
+ select 'rs' as tag, r as x, s as y from j union select 'sn', s, n from j""")
+def q26_mqmt(spark, sf):
+    made = patterns.rewrite_each(_places(spark, sf), ["region.$r.$n", "cust.$n.$c", "segment.$s.$c"], ["rs.$r.$s", "sn.$s.$n"])
+    return made.columns("tag", "x", "y")
+
+
+@_query(f"{_CLOSURE} select a, b from c")
+def q27_transitive(spark, sf):
+    edges = _graph(spark, sf)
+    return fixpoint.inflationary(edges, lambda last: patterns.rewrite_all(last, ["$a.$b", "$b.$c"], "$a.$c")).columns("a", "b")
+
+
+@_query(f"{_CLOSURE} select a, b from c")
+def q28_semi_naive(spark, sf):
+    return fixpoint.closure(_graph(spark, sf)).columns("a", "b")
+
+
+@_query(f"with recursive e as ({_GRAPH}), c as (select '5' as n union select e.b from c join e on c.n = e.a where c.n <> '26' and e.b <> '26') select n from c")
+def q29_reachable_masked(spark, sf):
+    edges = _graph(spark, sf)
+    ends = edges.heads().union(edges.tails_union())
+    return fixpoint.reachable(edges, Space.literal(spark, "5"), ends.subtraction(Space.literal(spark, "26"))).columns("n")
+
+
+@_query(f"""{_CLOSURE}, m as (select x.a, x.b from c x join c y on x.a = y.b and x.b = y.a), r as (select a, min(b) as rep from m group by a)
+ select rep, a as member from r where rep <> a""")
+def q30_scc(spark, sf):
+    return fixpoint.strong_components(_graph(spark, sf)).columns("rep", "member")
+
+
+def _hierarchy(spark, sf):
+    nations = facts(table(spark, sf, "nation"), "child", F.concat(F.lit("n"), "n_nationkey"), F.concat(F.lit("r"), "n_regionkey"), distinct=False)
+    customers = facts(table(spark, sf, "customer"), "child", F.concat(F.lit("c"), "c_custkey"), F.concat(F.lit("n"), "c_nationkey"), distinct=False)
+    return nations.union(customers)
+
+
+@_query("""with recursive e as (select 'n' || n_nationkey as a, 'r' || n_regionkey as b from nation union all select 'c' || c_custkey, 'n' || c_nationkey from customer),
+ c as (select a, b from e union select c.a, e.b from c join e on c.b = e.a) select a as person, b as ancestor from c""")
+def q31_predecessors(spark, sf):
+    family = _hierarchy(spark, sf)
+    people = family.unwrap("child").heads()
+    return people.iterate_heads(lambda p: programs.ancestors(family, Space.single(spark, p)).wrap(p)).columns("person", "ancestor")
+
+
+@_query("select p_partkey::varchar as partkey from part where p_size between 18 and 37")
+def q32_interval(spark, sf):
+    bits = [F.substring(F.lpad(F.bin("p_size"), 6, "0"), i + 1, 1) for i in range(6)]
+    parts = facts(table(spark, sf, "part"), None, *bits, "p_partkey", distinct=False)
+    return parts.restriction(Space.literal(spark, *interval(18, 37, 6))).iterate_first(6, lambda _, own: own).columns("partkey")
+
+
+@_query("select distinct unnest(range(0, l_linenumber))::varchar as n from lineitem")
+def q33_range(spark, sf):
+    return facts(table(spark, sf, "lineitem"), None, "l_linenumber").flat_map(grounded.numbers_in).columns("n")
+
+
+_CELLS = "select distinct l_partkey % 30 as x, (l_orderkey * 7) % 30 as y from lineitem where l_orderkey % 40 = 0"
+
+
+def _cells(spark, sf):
+    return facts(table(spark, sf, "lineitem").where("l_orderkey % 40 = 0"), None, F.col("l_partkey") % 30, (F.col("l_orderkey") * 7) % 30)
+
+
+@_query(f"select distinct (x + y)::varchar as total from ({_CELLS})")
+def q34_arith(spark, sf):
+    return grounded.arithmetic(_cells(spark, sf).wrap("+")).columns("total")
+
+
+@_query(f"""with c as ({_CELLS}), n as (select x + i as x, y + j as y, count(*) as n from c, (values (-1), (0), (1)) a(i), (values (-1), (0), (1)) b(j)
+ where i <> 0 or j <> 0 group by 1, 2)
+ select x::varchar as x, y::varchar as y from n where n = 3 or (n = 2 and exists (select 1 from c where c.x = n.x and c.y = n.y))""")
+def q35_life(spark, sf):
+    return programs.life_step(_cells(spark, sf)).columns("x", "y")
+
+
+@_query("select md5('nation.' || n_regionkey || '.' || n_nationkey) as hash from nation")
+def q36_hash(spark, sf):
+    return _nations(spark, sf).map_paths(grounded.path_hash).columns("hash")
+
+
+@_query("""with recursive q as (select 0 as k, []::int[] as p union all
+ select k + 1, list_append(p, c) from q, (select unnest(range(1, 9))::int as c) where k < 8
+ and len(list_filter(range(1, k + 1), lambda i: p[i] = c or abs(p[i] - c) = k + 1 - i)) = 0)
+ select p[1]::varchar as a, p[2]::varchar as b, p[3]::varchar as c, p[4]::varchar as d, p[5]::varchar as e, p[6]::varchar as f, p[7]::varchar as g, p[8]::varchar as h
+ from q where k = 8""")
+def q37_queens(spark, sf):
+    return programs.queens(spark, 8).columns(*"abcdefgh")
+
+
+@_query("""with recursive m(f, t) as (values (1, 2), (2, 1), (1, 3), (3, 1), (2, 4), (4, 2), (3, 4), (4, 3)),
+ s as (select ['1', '2', '3', '_'] as p union
+ select list_transform(range(1, 5), lambda i: case when i = m.t then p[m.f] when i = m.f then '_' else p[i] end) from s join m on list_position(p, '_') = m.t)
+ select p[1] as a, p[2] as b, p[3] as c, p[4] as d from s""")
+def q38_puzzle(spark, sf):
+    moves = Space.literal(spark, "0.1", "1.0", "0.2", "2.0", "1.3", "3.1", "2.3", "3.2")
+    return programs.sliding_states(Space.literal(spark, "1.2.3._"), moves).columns(*"abcd")
+
+
+@_query("""with w as (select doc_id, unnest(list_slice(string_split(text, ' '), 1, 5)) as t, string_split(text, ' ') as s from documents)
+ select distinct doc_id::varchar as doc_id from w where t = 'Is'""")
+def q39_suffix_index(spark, sf):
+    docs = table(spark, sf, "documents").select(F.array_insert(F.split("text", " "), 1, F.col("doc_id").cast("string")).cast(ITEMS).alias("path"))
+    return programs.containing(programs.suffix_index(Space(docs)), "Is").columns("doc_id")
+
+
+def _family(spark, sf):
+    """Regions are parents of nations and nations of customers; nations and customers with an even key are women."""
+    nation, customer = table(spark, sf, "nation"), table(spark, sf, "customer")
+    r, n, c = (F.concat(F.lit(k), x) for k, x in (("r", "n_regionkey"), ("n", "n_nationkey"), ("c", "c_custkey")))
+    of = F.concat(F.lit("n"), "c_nationkey")
+    parent = facts(nation, "parent", r, n, distinct=False).union(facts(customer, "parent", of, c, distinct=False))
+    child = facts(nation, "child", n, r, distinct=False).union(facts(customer, "child", c, of, distinct=False))
+    women = facts(nation.where("n_nationkey % 2 = 0"), "female", n, distinct=False).union(facts(customer.where("c_custkey % 2 = 0"), "female", c, distinct=False))
+    return parent.union(child, women)
+
+
+_FAMILY = """with p as (select 'r' || n_regionkey as a, 'n' || n_nationkey as b from nation union all select 'n' || c_nationkey, 'c' || c_custkey from customer),
+ f as (select 'n' || n_nationkey as w from nation where n_nationkey % 2 = 0 union all select 'c' || c_custkey from customer where c_custkey % 2 = 0)"""
+
+
+@_query(f"{_FAMILY} select distinct b as person, a as mother from p join f on a = w")
+def q40_mother(spark, sf):
+    family = _family(spark, sf)
+    return programs.mothers(family, family.unwrap("child").heads()).columns("person", "mother")
+
+
+@_query(f"{_FAMILY} select distinct x.b as person, y.b as sister from p x join p y on x.a = y.a and x.b <> y.b join f on y.b = w where x.b like 'n%'")
+def q41_sister(spark, sf):
+    family = _family(spark, sf)
+    nations = facts(table(spark, sf, "nation"), None, F.concat(F.lit("n"), "n_nationkey"), distinct=False)
+    return programs.sisters(family, nations).columns("person", "sister")
+
+
+@_query(f"""{_FAMILY} select distinct x.b as person, s.b as aunt from p x join p g on x.a = g.b join p s on s.a = g.a and s.b <> x.a join f on s.b = w""")
+def q42_aunt(spark, sf):
+    family = _family(spark, sf)
+    return programs.aunts(family, family.unwrap("child").heads()).columns("person", "aunt")
+
+
+@_query("select n_regionkey::varchar as regionkey, max(n_name) as last, min(n_name) as first from nation group by 1")
+def q43_highest_lowest(spark, sf):
+    names = facts(table(spark, sf, "nation"), None, "n_regionkey", "n_name", distinct=False)
+    return names.iterate(lambda r, own: own.highest("-").composition(own.lowest("-")).wrap(r)).columns("regionkey", "last", "first")
+
+
+@_query("""select s as seed, custkey from (select '7' as s, c_custkey::varchar as custkey, row_number() over (order by md5('7:' || c_custkey)) as k from customer) where k <= 5""")
+def q44_sample(spark, sf):
+    return grounded.sample(facts(table(spark, sf, "customer"), None, "c_custkey", distinct=False), "7", 5).wrap("7").columns("seed", "custkey")
+
+
+@_query("select r_name as key, 'left' as side, r_regionkey::varchar as value from region union select n_name, 'right', n_nationkey::varchar from nation")
+def q45_tagged_union(spark, sf):
+    left = facts(table(spark, sf, "region"), None, "r_name", "r_regionkey", distinct=False)
+    right = facts(table(spark, sf, "nation"), None, "n_name", "n_nationkey", distinct=False)
+    return programs.tagged_union(left, right, "left", "right").columns("key", "side", "value")
+
+
+@_query("select r_name as name from region where not exists (select 1 from nation where n_name = 'NOWHERE')")
+def q46_or_else(spark, sf):
+    nowhere = facts(table(spark, sf, "nation").where("n_name = 'NOWHERE'"), None, "n_name")
+    return nowhere.or_else(facts(table(spark, sf, "region"), None, "r_name")).columns("name")
+
+
+@_query("""select distinct l_linestatus || '.' || l_returnflag as text from lineitem union select distinct l_linestatus from lineitem""")
+def q47_prefixes(spark, sf):
+    both = facts(table(spark, sf, "lineitem"), None, "l_linestatus", "l_returnflag")
+    return both.flat_map(prefixes).frame.select(text_of(F.col("path")).alias("text"))
