@@ -29,11 +29,15 @@ DEGREE = 16
 BUILD_BEAM = 48
 BEAM = 32
 #: Queries at a time, those of them that are audited, and the part of their links that has to be found.
-BLOCK = 512
+BLOCK = 256
 AUDITED = 32
 RECALL = 0.98
-#: Nodes of a beam that are expanded at a time.
+#: Nodes of a beam that are expanded at a time, at least.
 STEP = 4
+#: Rows that are added to a layer at a time at most; they are compared with each other outright.
+BATCH = 2048
+#: Rows whose links are chosen at a time.
+PORTION = 64
 
 
 class Graph:
@@ -60,11 +64,15 @@ class Graph:
         done = min(size, 2 * degree)
         self._link(links, np.arange(done), np.tile(np.arange(done), (done, 1)))
         while done < size:
-            new = np.arange(done, min(size, 2 * done, done + BLOCK))
-            start = self._descend(self.x[new], above)
-            near, _ = self._beam(self.x[new], links[:done], start, BUILD_BEAM)
-            own = np.argsort(-(self.x[new] @ self.x[new].T), axis=1)[:, : BUILD_BEAM // 2] + done
-            self._link(links, new, np.concatenate([near, own], axis=1))
+            new = np.arange(done, min(size, 2 * done, done + BATCH))
+            x, near = self.x[new], []
+            for i in range(0, len(new), BLOCK):
+                part = x[i : i + BLOCK]
+                old, _ = self._beam(part, links[:done], self._descend(part, above), BUILD_BEAM)
+                beside = part @ x.T
+                k = min(BUILD_BEAM // 2, len(new) - 1)
+                near.append(np.concatenate([old, np.argpartition(-beside, k, axis=1)[:, : k + 1] + done], axis=1))
+            self._link(links, new, np.concatenate(near))
             done = int(new[-1]) + 1
 
     def _chosen(self, rows: np.ndarray, near: np.ndarray, degree: int) -> np.ndarray:
@@ -72,12 +80,12 @@ class Graph:
         near = np.sort(near, axis=1)
         near[:, 1:][near[:, 1:] == near[:, :-1]] = -1
         near[near == rows[:, None]] = -1
-        sims = np.einsum("bd,bcd->bc", self.x[rows], self.x[near])
+        sims = np.matmul(self.x[near], self.x[rows][:, :, None])[:, :, 0]
         sims[near < 0] = -2
-        best = np.argsort(-sims, axis=1)[:, : 3 * degree]
+        best = np.argsort(-sims, axis=1)[:, : 2 * degree]
         near, sims = np.take_along_axis(near, best, 1), np.take_along_axis(sims, best, 1)
         own = self.x[near]
-        among = np.einsum("bcd,bed->bce", own, own)
+        among = np.matmul(own, own.transpose(0, 2, 1))
         taken = np.zeros(near.shape, bool)
         for c in range(near.shape[1]):
             closer = (taken[:, :c] & (among[:, c, :c] > sims[:, c : c + 1])).any(axis=1)
@@ -92,13 +100,15 @@ class Graph:
         degree = links.shape[1]
         if not len(new):
             return
-        links[new] = self._chosen(new, near.astype(np.int64), degree)
+        near = near.astype(np.int64)
+        for i in range(0, len(new), PORTION):
+            links[new[i : i + PORTION]] = self._chosen(new[i : i + PORTION], near[i : i + PORTION], degree)
         back = np.repeat(new, degree)
         to = links[new].ravel()
         back, to = back[to >= 0], to[to >= 0]
         if not len(to):
             return
-        sims = np.einsum("bd,bd->b", self.x[back], self.x[to])
+        sims = self._sims(self.x, back, to)
         by = np.lexsort((-sims, to))
         back, to = back[by], to[by]
         nodes, first, count = np.unique(to, return_index=True, return_counts=True)
@@ -106,9 +116,9 @@ class Graph:
         keep = rank < degree
         more = np.full((len(nodes), degree), -1, np.int64)
         more[np.repeat(np.arange(len(nodes)), count)[keep], rank[keep]] = back[keep]
-        for i in range(0, len(nodes), BLOCK):
-            part = nodes[i : i + BLOCK]
-            links[part] = self._chosen(part, np.concatenate([links[part].astype(np.int64), more[i : i + BLOCK]], axis=1), degree)
+        for i in range(0, len(nodes), PORTION):
+            part = nodes[i : i + PORTION]
+            links[part] = self._chosen(part, np.concatenate([links[part].astype(np.int64), more[i : i + PORTION]], axis=1), degree)
 
     def _descend(self, q: np.ndarray, layers: int) -> np.ndarray:
         """Rows from which to enter the layer below the first ``layers``."""
@@ -117,36 +127,52 @@ class Graph:
             start = self._beam(q, links, start, 4)[0]
         return start
 
+    def _sims(self, q: np.ndarray, at: np.ndarray, rows: np.ndarray) -> np.ndarray:
+        """The cosines of queries ``at`` with ``rows``, pair by pair, in portions that stay in cache."""
+        out = np.empty(len(at), np.float32)
+        for i in range(0, len(at), 2048):
+            part = slice(i, i + 2048)
+            np.einsum("bd,bd->b", q[at[part]], self.x[rows[part]], out=out[part])
+        return out
+
     def _beam(self, q: np.ndarray, links: np.ndarray, start: np.ndarray, width: int) -> tuple[np.ndarray, np.ndarray]:
-        """The ``width`` best rows found for each query, -1 for none, and their cosines, in falling order."""
+        """The ``width`` best rows found for each query, -1 for none, and their cosines, in falling order.
+
+        A beam's entries are integers that sort by falling cosine: the cosine in 32 bits, the row, and whether it has
+        been expanded.
+        """
         n, size = len(q), len(links)
         width = min(width, size)
-        ids = np.full((n, width), -1, np.int64)
-        sims = np.full((n, width), -2, np.float32)
-        opened = np.ones((n, width), bool)
+        step = max(STEP, width // 16)
+        none = np.uint64((1 << 64) - 1)
+        beam = np.full((n, width), none)
         seen = np.zeros((n, size + 1), bool)
         seen[:, size] = True
         active, new = np.arange(n), start
         while True:
             new = np.sort(np.where((new < 0) | (new >= size), size, new), axis=1)
             new[:, 1:][new[:, 1:] == new[:, :-1]] = size
-            fresh = ~seen[active[:, None], new]
-            seen[active[:, None], new] = True
-            row, col = np.nonzero(fresh)
-            found = np.full(new.shape, -2, np.float32)
-            found[row, col] = np.einsum("bd,bd->b", q[active[row]], self.x[new[row, col]])
-            all_ids = np.concatenate([ids[active], np.where(fresh, new, -1)], axis=1)
-            all_sims = np.concatenate([sims[active], found], axis=1)
-            all_open = np.concatenate([opened[active], ~fresh], axis=1)
-            best = np.argsort(-all_sims, axis=1, kind="stable")[:, :width]
-            ids[active], sims[active], opened[active] = (np.take_along_axis(a, best, 1) for a in (all_ids, all_sims, all_open))
-            active = active[~opened[active].all(axis=1)]
-            if not len(active):
-                return ids, sims
-            step = np.argsort(opened[active], axis=1, kind="stable")[:, :STEP]
-            nodes = np.where(np.take_along_axis(opened[active], step, 1), -1, np.take_along_axis(ids[active], step, 1))
-            opened[active[:, None], step] = True
-            new = np.where(nodes[:, :, None] >= 0, links[nodes], -1).reshape(len(active), -1)
+            row, col = np.nonzero(~seen[active[:, None], new])
+            nodes = new[row, col]
+            seen[active[row], nodes] = True
+            far = ((2 - self._sims(q, active[row], nodes).astype(np.float64)) * (1 << 30)).astype(np.uint64)
+            found = np.full((len(active), int(np.bincount(row, minlength=1).max()) if len(row) else 0), none)
+            count = np.bincount(row, minlength=len(active))
+            found[row, np.arange(len(row)) - np.repeat(np.cumsum(count) - count, count)] = far << np.uint64(32) | nodes.astype(np.uint64) << np.uint64(1)
+            merged = np.sort(np.concatenate([beam[active], found], axis=1), axis=1)[:, :width]
+            fresh = (merged & np.uint64(1)) == 0
+            rank = np.cumsum(fresh, axis=1)
+            row, col = np.nonzero(fresh & (rank <= step))
+            nodes = np.full((len(active), step), -1, np.int64)
+            nodes[row, rank[row, col] - 1] = (merged[row, col] & np.uint64((1 << 32) - 1)) >> np.uint64(1)
+            merged[row, col] |= np.uint64(1)
+            beam[active] = merged
+            more = fresh.any(axis=1)
+            if not more.any():
+                ids = np.where(beam == none, -1, ((beam & np.uint64((1 << 32) - 1)) >> np.uint64(1)).astype(np.int64))
+                return ids, np.where(beam == none, -2, 2 - (beam >> np.uint64(32)) / (1 << 30))
+            active, nodes = active[more], nodes[more]
+            new = np.where(nodes[:, :, None] >= 0, links[nodes], -1).reshape(len(active), -1).astype(np.int64)
 
     def within(self, q: np.ndarray, least: float, beam: int = BEAM) -> tuple[np.ndarray, np.ndarray]:
         """``(query, row)`` pairs of cosine ``least`` or more that the beams reach, rows numbered as given."""
