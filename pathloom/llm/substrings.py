@@ -4,8 +4,8 @@ A suffix starts at each word of a document and matters as far as WINDOW words: t
 their suffixes agree so far. First, suffixes that cannot agree with any other are left out: each window has an anchor,
 the least hash of its six-word sequences, so that equal windows have equal anchors, and one whose anchor no second
 document holds is unique. The other suffixes are dealt into groups by a prefix of variable length: four words, or the
-whole window where the anchor is frequent. A group's suffixes, sorted along three edges of 4, 4 and 5 words (hashed in
-64 bits each), are its suffix tree with the leaves in order; a node at full depth is a repeated window, and its leaves
+whole window where the anchor is frequent. A group's suffixes, sorted along their edges of 4 and 9 words (hashed in 64
+bits each), are its suffix tree with the leaves in order; a node at full depth is a repeated window, and its leaves
 beyond the smallest document are to go. Tasks keep one leaf of each window for a batch of documents, the smallest, and
 settle the others at once, so that a passage in very many documents is dealt out thinly.
 """
@@ -25,7 +25,7 @@ from .rolling import Powers, Rolled, mixed
 #: Words of a window, of an anchor, and of the edges of a path.
 WINDOW = 13
 ANCHOR = 6
-EDGES = (4, 4, 5)
+EDGES = (4, 9)
 #: Documents that share an anchor from which on its windows are grouped by their whole length.
 FREQUENT = 4096
 
@@ -42,16 +42,23 @@ def _anchors(rolled: Rolled) -> np.ndarray:
     return least & ~_FREQUENT_BIT
 
 
-def _paths(rolled: Rolled) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """The three edges of each window."""
+def _paths(rolled: Rolled) -> tuple[np.ndarray, np.ndarray]:
+    """The edges of each window."""
     n = len(rolled.ends) - WINDOW + 1
-    four, five = rolled.grams(EDGES[0]), rolled.grams(EDGES[2])
-    return four[:n], four[EDGES[0] : EDGES[0] + n], five[EDGES[0] + EDGES[1] :][:n]
+    return rolled.grams(EDGES[0])[:n], rolled.grams(EDGES[1])[EDGES[0] :][:n]
 
 
-def _named(a: np.ndarray, b: np.ndarray, c: np.ndarray) -> np.ndarray:
+def _named(a: np.ndarray, b: np.ndarray) -> np.ndarray:
     """One hash for a path."""
-    return mixed(a * np.uint64(0x9E3779B97F4A7C15) + mixed(b * np.uint64(0xC2B2AE3D27D4EB4F) + c))
+    return mixed(a * np.uint64(0x9E3779B97F4A7C15) + mixed(b))
+
+
+def _packed(doc: np.ndarray, name: np.ndarray) -> tuple[np.ndarray, list[bytes]]:
+    """The names of each document, one after the other."""
+    by = np.argsort(doc, kind="stable")
+    doc, name = doc[by], name[by]
+    first = np.flatnonzero(np.concatenate([[True], doc[1:] != doc[:-1]])) if len(doc) else np.zeros(0, np.int64)
+    return doc[first], [x.tobytes() for x in np.split(name, first[1:])] if len(doc) else []
 
 
 _ANCHORS = pa.schema([("anchor", pa.int64()), ("doc", pa.int64())])
@@ -103,8 +110,8 @@ def _shared(frequent: int):
     return run
 
 
-_LEAVES = pa.schema([("prefix", pa.int64()), ("b", pa.int64()), ("c", pa.int64()), ("doc", pa.int64()), ("kind", pa.int32())])
-#: Kinds of rows: a leaf under four words, one under the whole window, and a window (in ``b``) that is settled.
+_LEAVES = pa.schema([("prefix", pa.int64()), ("b", pa.int64()), ("doc", pa.int64()), ("kind", pa.int32()), ("settled", pa.binary())])
+#: Kinds of rows: a leaf under four words, one under the whole window, and the windows of a document that are settled.
 _SHORT, _WHOLE, _SETTLED = 0, 1, 2
 
 
@@ -113,6 +120,8 @@ def _leaves(rows: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for batch in rows:
         parts = []
         for doc, text, anchors in zip(batch.column("doc_id").to_pylist(), utf8(batch.column("text")), batch.column("_anchors")):
+            if not anchors.is_valid:
+                continue
             words = (text or b"").split()
             if len(words) < WINDOW:
                 continue
@@ -122,61 +131,71 @@ def _leaves(rows: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             at = np.minimum(np.searchsorted(shared, own), len(shared) - 1)
             frequent = shared[at] & _FREQUENT_BIT
             held = shared[at] & ~_FREQUENT_BIT == own
-            a, b, c = (x[held] for x in _paths(rolled))
-            parts.append((a, b, c, np.full(len(a), doc, np.int64), frequent[held].astype(np.int32)))
+            a, b = (x[held] for x in _paths(rolled))
+            parts.append((a, b, np.full(len(a), doc, np.int64), frequent[held].astype(np.int32)))
         if not parts:
             continue
-        a, b, c, doc, kind = map(np.concatenate, zip(*parts))
-        name = _named(a, b, c)
+        a, b, doc, kind = map(np.concatenate, zip(*parts))
+        name = _named(a, b)
         by = np.lexsort((doc, name))
-        a, b, c, doc, kind, name = (x[by] for x in (a, b, c, doc, kind, name))
+        a, b, doc, kind, name = (x[by] for x in (a, b, doc, kind, name))
         if not len(name):
             continue
         first = np.concatenate([[True], name[1:] != name[:-1]])
         least = doc[np.maximum.accumulate(np.where(first, np.arange(len(name)), 0))]
-        once = np.concatenate([[True], (name[1:] != name[:-1]) | (doc[1:] != doc[:-1])])
+        once = first | np.concatenate([[True], doc[1:] != doc[:-1]])
         settled = once & (doc > least)
-        prefix = np.where(kind == _WHOLE, name, a)
-        prefix[settled] = mixed(name[settled] + doc[settled].astype(np.uint64))  # anywhere
-        b[settled], c[settled], kind[settled] = name[settled], 0, _SETTLED
-        keep = settled | once & (doc == least)
-        columns = (prefix.view(np.int64), b.view(np.int64), c.view(np.int64), doc, kind)
-        yield pa.RecordBatch.from_arrays([pa.array(x[keep]) for x in columns], schema=_LEAVES)
+        keep = once & ~settled
+        prefix = np.where(kind == _WHOLE, name, a)[keep]
+        done, windows = _packed(doc[settled], name[settled])
+        yield pa.RecordBatch.from_arrays(
+            [
+                pa.array(np.concatenate([prefix, mixed(done.astype(np.uint64))]).view(np.int64)),  # anywhere, if settled
+                pa.array(np.concatenate([b[keep], np.zeros(len(done), np.uint64)]).view(np.int64)),
+                pa.array(np.concatenate([doc[keep], done])),
+                pa.array(np.concatenate([kind[keep], np.full(len(done), _SETTLED, np.int32)])),
+                pa.array([*[None] * int(keep.sum()), *windows], pa.binary()),
+            ],
+            schema=_LEAVES,
+        )
 
 
-_LOST = pa.schema([("doc", pa.int64()), ("window", pa.int64())])
+_LOST = pa.schema([("doc", pa.int64()), ("windows", pa.binary())])
 
 
 def _deep_nodes(rows: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """Leaves in order, of equal ones the smallest document first, to the windows that documents lose."""
     path, least = None, 0
     for batch in rows:
-        kind = numbers(batch.column("kind"))
-        prefix, b, c, doc = (numbers(batch.column(n)) for n in ("prefix", "b", "c", "doc"))
+        settled = numbers(batch.column("kind")) == _SETTLED
+        if settled.any():
+            yield pa.RecordBatch.from_arrays([batch.column(c).filter(pa.array(settled)) for c in ("doc", "settled")], schema=_LOST)
+        prefix, b, doc, kind = (numbers(batch.column(n))[~settled] for n in ("prefix", "b", "doc", "kind"))
         if not len(doc):
             continue
-        first = np.concatenate([[True], (prefix[1:] != prefix[:-1]) | (b[1:] != b[:-1]) | (c[1:] != c[:-1])])
-        first[0] = path != (int(prefix[0]), int(b[0]), int(c[0]))
+        first = np.concatenate([[True], (prefix[1:] != prefix[:-1]) | (b[1:] != b[:-1])])
+        first[0] = path != (int(prefix[0]), int(b[0]))
         start = np.maximum.accumulate(np.where(first, np.arange(len(doc)), -1))
         smallest = np.where(start >= 0, doc[np.maximum(start, 0)], least)
-        path, least = (int(prefix[-1]), int(b[-1]), int(c[-1])), int(smallest[-1])
-        a, u, v = (x.view(np.uint64) for x in (prefix, b, c))
-        name = np.where(kind == _SETTLED, u, np.where(kind == _WHOLE, a, _named(a, u, v))).view(np.int64)
-        lost = (kind == _SETTLED) | (doc > smallest)
-        yield pa.RecordBatch.from_arrays([pa.array(doc[lost]), pa.array(name[lost])], schema=_LOST)
+        path, least = (int(prefix[-1]), int(b[-1])), int(smallest[-1])
+        lost = doc > smallest
+        name = np.where(kind == _WHOLE, prefix.view(np.uint64), _named(prefix.view(np.uint64), b.view(np.uint64)))
+        docs, windows = _packed(doc[lost], name[lost])
+        yield pa.RecordBatch.from_arrays([pa.array(docs), pa.array(windows, pa.binary())], schema=_LOST)
 
 
 def lost_windows(docs: DataFrame, frequent: int = FREQUENT) -> DataFrame:
-    """``(_doc, _windows)``: hashes of the windows of ``docs(doc_id, text)`` that a smaller document holds."""
+    """``(_doc, _windows)``: hashes of the windows of ``docs(doc_id, text)`` that a smaller document holds, in pieces."""
     rows = docs.where("doc_id is not null")
     anchors = rows.mapInArrow(_all_anchors, "anchor long, doc long").repartition("anchor").sortWithinPartitions("anchor")
     shared = saved(anchors.mapInArrow(_shared(frequent), "anchor long, doc long"), "shared-anchors")
     held = shared.groupBy(F.col("doc").alias("_doc")).agg(F.collect_list("anchor").alias("_anchors"))
-    both = docs.join(held, docs["doc_id"] == held["_doc"]).select("doc_id", "text", "_anchors")
-    leaves = both.mapInArrow(_leaves, "prefix long, b long, c long, doc long, kind int")
-    dealt = leaves.repartition("prefix").sortWithinPartitions("prefix", "b", "c", "doc")
-    lost = dealt.mapInArrow(_deep_nodes, "doc long, window long")
-    return lost.groupBy(F.col("doc").alias("_doc")).agg(F.collect_list("window").alias("_windows"))
+    # A left join, as the caller's: both then read one shuffle of the texts.
+    both = docs.join(held, docs["doc_id"] == held["_doc"], "left").select("doc_id", "text", "_anchors")
+    leaves = both.mapInArrow(_leaves, "prefix long, b long, doc long, kind int, settled binary")
+    dealt = leaves.repartition("prefix").sortWithinPartitions("prefix", "b", "doc")
+    lost = dealt.mapInArrow(_deep_nodes, "doc long, windows binary")
+    return lost.groupBy(F.col("doc").alias("_doc")).agg(F.collect_list("windows").alias("_windows"))
 
 
 def _cut(rows: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -187,7 +206,7 @@ def _cut(rows: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             words = (text or b"").split()
             total.append(len(words))
             if windows.is_valid and len(words) >= WINDOW:
-                gone = np.isin(_named(*_paths(Rolled(words, powers))), windows.values.to_numpy(zero_copy_only=False).view(np.uint64))
+                gone = np.isin(_named(*_paths(Rolled(words, powers))), np.frombuffer(b"".join(windows.as_py()), np.uint64))
                 edge = np.zeros(len(words) + 1, np.int64)
                 edge[:-WINDOW] += gone
                 edge[WINDOW:] -= gone
@@ -204,7 +223,7 @@ def dedup_substrings(docs: DataFrame, frequent: int = FREQUENT) -> DataFrame:
 
     A word goes if a window of WINDOW words that covers it also starts in a document with a smaller doc_id, as given.
     A null, empty or blank text has no words; shorter ones than a window stay. A row without doc_id loses nothing and
-    takes nothing away; rows that repeat a doc_id are one document. Windows are compared by 192 bits of hashes. Other
+    takes nothing away; rows that repeat a doc_id are one document. Windows are compared by 128 bits of hashes. Other
     columns are not read.
     """
     docs = docs.select(F.col("doc_id").cast("long"), F.col("text").cast("string"))
