@@ -25,7 +25,7 @@ END = 2
 #: Partially filled windows that a task holds at most.
 MOST_OPEN = 2048
 #: Words whose ids a worker remembers, about.
-CACHE = 600_000
+CACHE = 300_000
 
 
 #: Texts with one of these go through the whole tokenizer: beyond Latin letters, where Unicode tables and forms matter,
