@@ -3,7 +3,8 @@
 from __future__ import annotations
 
 import uuid
-from collections.abc import Iterable, Iterator
+from collections.abc import Iterator
+from contextlib import contextmanager
 
 import numpy as np
 import pyarrow as pa
@@ -42,6 +43,18 @@ def checkpointed(df: DataFrame) -> DataFrame:
     return df.checkpoint(eager=True)
 
 
+@contextmanager
+def arrow_rows(spark: SparkSession, rows: int) -> Iterator[None]:
+    """Actions inside hand rows to Python in batches of ``rows`` at most, as for rows of large records."""
+    key = "spark.sql.execution.arrow.maxRecordsPerBatch"
+    before = spark.conf.get(key)
+    spark.conf.set(key, str(min(rows, int(before)) if int(before) > 0 else rows))
+    try:
+        yield
+    finally:
+        spark.conf.set(key, before)
+
+
 def shuffle_partitions(spark: SparkSession) -> int:
     return int(spark.conf.get("spark.sql.shuffle.partitions"))
 
@@ -95,7 +108,3 @@ def components(edges: DataFrame) -> DataFrame:
             break
     roots = e.select(F.col("a").alias("node"), F.col("a").alias("component")).distinct()
     return e.select(F.col("b").alias("node"), F.col("a").alias("component")).unionByName(roots)
-
-
-def batches(names: Iterable[str], columns: Iterable, schema: pa.Schema) -> pa.RecordBatch:
-    return pa.RecordBatch.from_arrays([pa.array(c, type=schema.field(n).type) for n, c in zip(names, columns)], schema=schema)

@@ -18,7 +18,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import new_path, saved, table, utf8
+from .common import arrow_rows, new_path, saved, table, utf8
 
 #: Bytes of a record's block.
 SEGMENT = 1 << 16
@@ -26,6 +26,8 @@ SEGMENT = 1 << 16
 CHUNK = 1 << 13
 #: Records of a file, so that a file is 64 MB at most before compression.
 FILE_RECORDS = 1000
+#: Records, or on reading files, that Python gets at a time.
+BATCH_ROWS = 256
 #: Payloads under so many bytes are never revisits.
 LEAST_REVISIT = 100
 
@@ -122,7 +124,8 @@ def write_archives(pages: DataFrame, path: str, segment: int = SEGMENT) -> None:
     pages = pages.withColumn("digest", F.sha2(F.coalesce("html", F.lit("")), 256))
     rows = pages.join(revisits(pages), ["page_id", "digest"], "left").select("page_id", "url", "html", "refers_to")
     records = rows.mapInArrow(_write(segment), "value binary").select(F.col("value").cast("string"))
-    records.write.option("compression", "gzip").option("maxRecordsPerFile", FILE_RECORDS).text(path)
+    with arrow_rows(pages.sparkSession, BATCH_ROWS):
+        records.write.option("compression", "gzip").option("maxRecordsPerFile", FILE_RECORDS).text(path)
 
 
 _HEADERS = {"record_type": "WARC-Type", "record_id": "WARC-Record-ID", "target_uri": "WARC-Target-URI", "digest": "WARC-Payload-Digest", "page_id": "X-Page-ID", "refers_to": "WARC-Refers-To", "origin": "WARC-Segment-Origin-ID", "number": "WARC-Segment-Number", "total": "WARC-Segment-Total-Length"}
@@ -210,7 +213,9 @@ def archive_index(spark: SparkSession, path: str) -> DataFrame:
     """``(page_id, payload_bytes, payload_digest, record_type, refers_to)``; a revisit's length is its response's."""
     records = read_archives(spark, path)
     digest = F.when(F.col("record_type") == "response", F.sha2("payload", 256)).otherwise(F.substring_index("digest", ":", -1))
-    index = saved(records.select("page_id", F.octet_length("payload").cast("long").alias("payload_bytes"), digest.alias("payload_digest"), "record_type", "refers_to"), "warc-index")
+    columns = ("page_id", F.octet_length("payload").cast("long").alias("payload_bytes"), digest.alias("payload_digest"), "record_type", "refers_to")
+    with arrow_rows(spark, BATCH_ROWS):
+        index = saved(records.select(*columns), "warc-index")
     full = index.where("record_type = 'response'")
     of = full.select(F.col("page_id").alias("refers_to"), "payload_digest", "payload_bytes").distinct()
     again = index.where("record_type = 'revisit'").drop("payload_bytes").join(of, ["refers_to", "payload_digest"], "left")
