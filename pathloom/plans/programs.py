@@ -2,11 +2,11 @@
 
 from __future__ import annotations
 
-from pyspark.sql import SparkSession
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..operators.space import ITEMS, Path, Space
-from .fixpoint import converge, least_fixpoint
+from .fixpoint import MOST_ROUNDS, NotSettled, converge, least_fixpoint
 from .lineage import checkpointed
 
 # Families
@@ -176,3 +176,62 @@ def sudoku_deductions(given: Space, size: int, box: int) -> Space:
 def solved(given: Space, size: int, box: int) -> Space:
     """The given cells with all that single candidates lead to."""
     return converge((given,), lambda known: known, lambda known: (known.union(sudoku_deductions(known, size, box)),))
+
+
+# Terms
+
+
+def _split(term: Space) -> DataFrame:
+    """Leaves as position and symbol."""
+    size = F.size("path")
+    return term.frame.select(F.slice("path", F.lit(1), size - 1).alias("at"), F.element_at("path", -1).alias("s"))
+
+
+def _below(term: Space) -> DataFrame:
+    """What stands below each position, the leaf's own included."""
+    cuts = F.explode(F.sequence(F.lit(0), F.size("path") - 1)).alias("n")
+    rows = term.frame.select("path", cuts)
+    return rows.select(F.slice("path", F.lit(1), F.col("n")).alias("at"), F.slice("path", F.col("n") + 1, F.size("path")).alias("rest"))
+
+
+def differences(x: Space, y: Space) -> Space:
+    """``bind.$v.position-text.rest...`` for variables that face another term, ``conflict.symbol.rest...`` for symbols that do.
+
+    A term is the set of ``position... .symbol`` of its leaves; a symbol that starts with ``$`` is a variable.
+    """
+    parts = []
+    for own, other in ((x, y), (y, x)):
+        variables = _split(own).where(F.col("s").startswith("$"))
+        faced = variables.join(_below(other), "at").where(F.col("rest") != F.array("s"))
+        parts.append(faced.select(F.concat(F.array(F.lit("bind"), "s", F.array_join("at", ".")), "rest").alias("path")))
+    symbols = _split(x).where(~F.col("s").startswith("$"))
+    faced = symbols.join(_below(y), "at").where((F.col("rest") != F.array("s")) & ~((F.size("rest") == 1) & F.get("rest", F.lit(0)).startswith("$")))
+    parts.append(faced.select(F.concat(F.array(F.lit("conflict"), "s"), "rest").alias("path")))
+    return Space(parts[0].unionByName(parts[1]).unionByName(parts[2]).distinct())
+
+
+def substituted(term: Space, variable: str, by: Space) -> Space:
+    """The term with another one in place of each leaf of the variable."""
+    held = term.frame.where(F.element_at("path", -1) == variable)
+    put = held.crossJoin(by.frame.withColumnRenamed("path", "_by")).select(F.concat(F.slice("path", F.lit(1), F.size("path") - 1), "_by").alias("path"))
+    return Space(term.frame.where(F.element_at("path", -1) != variable).unionByName(put).distinct())
+
+
+def unified(x: Space, y: Space) -> Space:
+    """The most general common instance of two terms, or what conflicts.
+
+    Each round binds the first variable that faces another term to it, at the first such position, in both terms.
+    """
+    for _ in range(MOST_ROUNDS):
+        x, y = Space(checkpointed(x.frame)), Space(checkpointed(y.frame))
+        found = Space(checkpointed(differences(x, y).frame))
+        conflict = found.restriction(Space.literal(x.frame.sparkSession, "conflict"))
+        if not conflict.frame.isEmpty():
+            return conflict
+        one = found.unwrap("bind").heads(2).first(1).frame.collect()
+        if not one:
+            return x
+        variable, at = one[0].path
+        term = found.unwrap(Path.of(("bind", variable, at)))
+        x, y = substituted(x, variable, term), substituted(y, variable, term)
+    raise NotSettled("unified")
