@@ -263,6 +263,21 @@ class Space:
             rows = rows.distinct()  # of one length on either side, no two pairs make the same path
         return self._made(rows, other, {a + b for a in self.lengths for b in other.lengths} if known else None)
 
+    def relation(self, other: Space) -> Space:
+        """``a.c`` for the pairs ``a.b`` here and ``b.c`` there."""
+        keys = self.keys | other.keys
+        left = self.frame.where(F.size("path") == 2).select(*self._by, F.get("path", F.lit(0)).alias("_a"), F.get("path", F.lit(1)).alias("_b"))
+        right = other.frame.where(F.size("path") == 2).select(*other._by, F.get("path", F.lit(0)).alias("_b"), F.get("path", F.lit(1)).alias("_c"))
+        rows = left.join(right, [*sorted(self.keys & other.keys), "_b"]).select(*sorted(keys), F.array("_a", "_c").alias("path"))
+        return self._made(rows.distinct(), other, {2})
+
+    def ending_in(self, other: Space) -> Space:
+        """The paths whose last item is a path of ``other``."""
+        keys = self.keys | other.keys
+        of = other.frame.withColumnRenamed("path", "_last")
+        rows = Space(self._over(keys), keys).frame.withColumn("_last", F.slice("path", F.greatest(F.size("path"), F.lit(1)), F.lit(1)))
+        return Space(rows.join(of, [*other._by, "_last"], "left_semi"), keys, self.lengths)
+
     # Projections
 
     def heads(self, k: int = 1) -> Space:
@@ -336,10 +351,13 @@ class Space:
 
     def first(self, n: int) -> Space:
         """The ``n`` smallest paths, compared item by item."""
-        return self._ordered(n, F.col("path").asc())
+        return self._extreme(F.min("path")) if n == 1 else self._ordered(n, F.col("path").asc())
 
     def last(self, n: int) -> Space:
-        return self._ordered(n, F.col("path").desc())
+        return self._extreme(F.max("path")) if n == 1 else self._ordered(n, F.col("path").desc())
+
+    def _extreme(self, path: Column) -> Space:
+        return self._with(self.frame.groupBy(*self._by).agg(path.alias("path")).where("path is not null"), self.lengths)
 
     def _ordered(self, n: int, order: Column) -> Space:
         if not self.keys:

@@ -29,31 +29,21 @@ def parents(family: Space, people: Space) -> Space:
 
 
 def mothers(family: Space, people: Space) -> Space:
-    women = family.unwrap("female")
-    return parents(family, people).iterate(lambda p, its: its.intersection(women).wrap(p))
+    """``person.mother``: the parents who are women."""
+    return parents(family, people).ending_in(family.unwrap("female"))
 
 
 def sisters(family: Space, people: Space) -> Space:
     """``person.sister``: women with a parent in common."""
-    women, down = family.unwrap("female"), family.unwrap("parent")
-
-    def of(p: Path, its: Space) -> Space:
-        near = its.iterate_heads(lambda q: down.unwrap(q))
-        return near.intersection(women).subtraction(Space.single(women.frame.sparkSession, p)).wrap(p)
-
-    return parents(family, people).iterate(of)
+    near = parents(family, people).relation(family.unwrap("parent")).ending_in(family.unwrap("female"))
+    return Space(near.frame.where(F.get("path", F.lit(0)) != F.get("path", F.lit(1))), near.keys, near.lengths)
 
 
 def aunts(family: Space, people: Space) -> Space:
-    """``person.aunt``: the sisters of parents."""
-    up, women, down = family.unwrap("child"), family.unwrap("female"), family.unwrap("parent")
-
-    def of(p: Path, its: Space) -> Space:
-        theirs = its.iterate_heads(lambda q: up.unwrap(q))
-        near = theirs.iterate_heads(lambda g: down.unwrap(g)).intersection(women)
-        return near.subtraction(its).wrap(p)
-
-    return parents(family, people).iterate(of)
+    """``person.aunt``: the women with a parent in common with a parent, parents aside."""
+    up = parents(family, people)
+    near = up.relation(family.unwrap("child")).relation(family.unwrap("parent"))
+    return near.ending_in(family.unwrap("female")).subtraction(up)
 
 
 def ancestors(family: Space, start: Space) -> Space:
@@ -72,10 +62,11 @@ def tagged_union(first: Space, second: Space, one: str, two: str) -> Space:
 
 
 def division(dividend: Space, divisor: Space) -> Space:
-    """The heads of the dividend that stand with every path of the divisor."""
-    heads = dividend.heads()
-    missing = heads.composition(divisor).subtraction(dividend)
-    return heads.subtraction(missing.heads())
+    """The heads of the dividend that stand with every path of the divisor; all of them if it is empty."""
+    some = dividend.iterate(lambda head, rest: rest.intersection(divisor).card().wrap(head))
+    rows = some.frame.select(F.slice("path", 1, 1).alias("path"), F.get("path", F.lit(1)).alias("n"))
+    total = divisor.card().columns("n")
+    return Space(rows.join(total, "n").select("path"), lengths={1})
 
 
 def polynomial_product(a: Space, b: Space) -> Space:

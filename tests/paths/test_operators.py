@@ -214,3 +214,10 @@ def test_random_programs(spark, seed):
     got = program(_Spark(spark), {k: Space.literal(spark, *v) for k, v in given.items()}).frame.collect()
     assert {tuple(r.path) for r in got} == set(want)
     assert len(got) == len(want)
+
+
+def test_relations(s):
+    same(s("a.b", "b.c", "a.c", "x").relation(s("b.d", "c.d", "c.e")), "a.d", "a.e", "b.d", "b.e")
+    same(s("a.b", "b", "c.d.b", "b.a").ending_in(s("b", "q")), "a.b", "b", "c.d.b")
+    x = s("k.a.b", "l.b.c")
+    same(x.iterate(lambda k, t: t.relation(s("b.z", "c.z")).wrap(k)), "k.a.z", "l.b.z")
