@@ -15,7 +15,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from .common import table
+from .common import fresh, table
 
 ORDERS = 3
 #: Length of a language's profile, and of a document's.
@@ -135,16 +135,20 @@ def fit(rows: DataFrame, sample: int = SAMPLE, length: int = PROFILE) -> Profile
 
 
 def predict(docs: DataFrame, profiles: Profiles) -> DataFrame:
-    """``docs`` with ``_lang`` and ``_score``; a null text and one without a letter are ``und`` with score 0."""
+    """``docs`` with two columns at the end, ``_lang`` and ``_score``, with more underscores if docs has such columns.
+
+    A null text and one without a letter are ``und`` with score 0. Other columns pass unchanged.
+    """
+    ends = fresh(docs.columns, "_lang", "_score")
 
     def run(rows: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in rows:
             found = [profiles.predict(t) for t in batch.column("text").to_pylist()]
             own = [pa.array([x for x, _ in found], pa.string()), pa.array([x for _, x in found], pa.float64())]
-            yield pa.RecordBatch.from_arrays([*batch.columns, *own], names=[*batch.schema.names, "_lang", "_score"])
+            yield pa.RecordBatch.from_arrays([*batch.columns, *own], names=[*batch.schema.names, *ends])
 
-    kinds = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in docs.schema) + ", _lang string, _score double"
-    return docs.mapInArrow(run, kinds)
+    kinds = [f"`{f.name}` {f.dataType.simpleString()}" for f in docs.schema]
+    return docs.mapInArrow(run, ", ".join([*kinds, f"{ends[0]} string", f"{ends[1]} double"]))
 
 
 def held_out(doc_id: Column) -> Column:
@@ -159,7 +163,8 @@ def training_rows(docs: DataFrame) -> DataFrame:
 def keep_known(docs: DataFrame) -> DataFrame:
     """The rows of ``docs`` with a language: not ``und``, and scored LEAST_SCORE or more."""
     known = predict(docs, fit(training_rows(docs)))
-    return known.where((F.col("_lang") != UNKNOWN) & (F.col("_score") >= LEAST_SCORE)).select(*docs.columns)
+    lang, score = map(F.col, known.columns[-2:])
+    return known.where((lang != UNKNOWN) & (score >= LEAST_SCORE)).drop(*known.columns[-2:])
 
 
 def op7_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:

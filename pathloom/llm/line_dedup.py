@@ -18,7 +18,7 @@ import xxhash
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import numbers, saved, shuffle_partitions, table, utf8
+from .common import fresh, numbers, saved, shuffle_partitions, table, utf8
 
 LEAST_CHARS = 10
 #: Line hashes in a shard, about.
@@ -158,35 +158,43 @@ def lines_to_drop(docs: DataFrame) -> DataFrame:
     return found.groupBy(F.col("doc_id").alias("_doc")).agg(F.collect_list("key").alias("_keys"))
 
 
-def _strip(rows: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    for batch in rows:
-        kept, total, lost = [], [], []
-        for text, keys in zip(utf8(batch.column("text")), batch.column("_keys").to_pylist()):
-            lines = (text or b"").split(b"\n")
-            total.append(len(lines))
-            if keys:
-                drop = set(keys)
-                lines = [x for x in lines if _digest(line_key(x)) not in drop]
-                text = b"\n".join(lines)
-            lost.append(total[-1] - len(lines))
-            kept.append(text or b"")
-        own = {"text": pa.array(kept, pa.binary()).cast(pa.string()), "_lines": pa.array(total, pa.int64()), "_lost": pa.array(lost, pa.int64())}
-        names = [n for n in batch.schema.names if n not in ("_keys", "_doc")]
-        yield pa.RecordBatch.from_arrays([own.get(n, batch.column(n) if n in names else None) for n in (*names, "_lines", "_lost")], names=[*names, "_lines", "_lost"])
+def _strip(keys_name: str, kept_names: list[str]):
+    """The kept text in place of each text, and how many lines there were and were lost."""
+
+    def run(rows: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in rows:
+            kept, total, lost = [], [], []
+            for text, keys in zip(utf8(batch.column("text")), batch.column(keys_name).to_pylist()):
+                lines = (text or b"").split(b"\n")
+                total.append(len(lines))
+                if keys:
+                    drop = set(keys)
+                    lines = [x for x in lines if _digest(line_key(x)) not in drop]
+                    text = b"\n".join(lines)
+                lost.append(total[-1] - len(lines))
+                kept.append(text or b"")
+            columns = {n: batch.column(n) for n in batch.schema.names if n != keys_name}
+            columns["text"] = pa.array(kept, pa.binary()).cast(pa.string())
+            columns |= zip(kept_names, (pa.array(total, pa.int64()), pa.array(lost, pa.int64())))
+            yield pa.RecordBatch.from_arrays(list(columns.values()), names=list(columns))
+
+    return run
 
 
 def dedup_lines(docs: DataFrame) -> DataFrame:
-    """``docs(doc_id, text, ...)`` with the kept text, and columns ``_lines`` (before) and ``_lost``.
+    """``docs(doc_id, text, ...)`` with the kept text, and two columns at the end: lines before, and lines lost.
 
-    A line's key is the line stripped of ASCII white space with A-Z in lower case. A line whose key has LEAST_CHARS code
-    points or more and stands in several documents stays only in the one with the smallest doc_id, there each time.
-    A null or empty text is one empty line and comes back empty. A row without doc_id loses nothing and counts for
-    nothing; rows that repeat a doc_id are one document. Other columns pass unchanged.
+    They are named ``_lines`` and ``_lost``, with more underscores if docs has such columns. A line's key is the line
+    stripped of ASCII white space with A-Z in lower case. A line whose key has LEAST_CHARS code points or more and
+    stands in several documents stays only in the one with the smallest doc_id, there each time. A null or empty text
+    is one empty line and comes back empty. A row without doc_id loses nothing and counts for nothing; rows that repeat
+    a doc_id are one document. Other columns pass unchanged.
     """
-    drops = lines_to_drop(docs)
-    kinds = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in docs.schema) + ", _lines long, _lost long"
+    doc, keys, *ends = fresh(docs.columns, "_doc", "_keys", "_lines", "_lost")
+    drops = lines_to_drop(docs).withColumnsRenamed({"_doc": doc, "_keys": keys})
     rows = docs.withColumn("text", F.col("text").cast("string"))
-    return rows.join(drops, rows["doc_id"] == drops["_doc"], "left").mapInArrow(_strip, kinds)
+    kinds = ", ".join([f"`{f.name}` {f.dataType.simpleString()}" for f in rows.schema] + [f"{n} long" for n in ends])
+    return rows.join(drops, rows["doc_id"] == drops[doc], "left").drop(doc).mapInArrow(_strip(keys, ends), kinds)
 
 
 def op10_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
