@@ -207,16 +207,57 @@ def _unit(vectors: np.ndarray) -> np.ndarray:
     return vectors / np.sqrt((vectors * vectors).sum(axis=1, keepdims=True))
 
 
-_LINKS = "u long, v long, u_copies long, v_copies long"
+class _Groups:
+    """Which rows of a shard are known to be connected."""
+
+    def __init__(self, n: int):
+        self.label = np.arange(n)
+
+    def join(self, a: np.ndarray, b: np.ndarray) -> np.ndarray:
+        """Connect pairs; gives the places of pairs that connected what wasn't, enough to do so for all."""
+        x, y = self.label[a], self.label[b]
+        apart = np.flatnonzero(x != y)
+        if not len(apart):
+            return apart
+        _, first = np.unique(np.stack([x[apart], y[apart]]), axis=1, return_index=True)
+        root: dict[int, int] = {}
+        used = []
+
+        def find(k: int) -> int:
+            while root.get(k, k) != k:
+                k = root[k]
+            return k
+
+        for k in apart[first].tolist():
+            m, n = sorted((find(int(x[k])), find(int(y[k]))))
+            if m != n:
+                root[n] = m
+                used.append(k)
+        to = np.arange(len(self.label))
+        for k in root:
+            to[k] = find(k)
+        self.label = to[self.label]
+        return np.array(used)
+
+
+_LINKS = "u long, v long, links long"
 
 
 def _search(least: float):
-    """Rows sorted by shard, its members before the queries, to verified links."""
+    """Rows sorted by shard, its members before the queries, to verified links.
+
+    A query gives one row for a shard with links: one of them as ``v``, and the copies of all of them as ``links``. What
+    else it connects comes as rows without links, and only if the shard's rows weren't connected yet: the rows are
+    linear in the vectors however many links there are.
+    """
+
+    def made(u, v, links) -> pa.RecordBatch:
+        return pa.RecordBatch.from_arrays([pa.array(np.asarray(x, np.int64)) for x in (u, v, links)], names=["u", "v", "links"])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         shard, graph, beam = None, None, BEAM
         members: list[tuple[np.ndarray, np.ndarray, np.ndarray]] = []
-        ids = copies = units = None
+        ids = copies = units = groups = None
         for batch in batches:
             keys = np.stack([numbers(batch.column("dim")), numbers(batch.column("shard"))])
             asks = batch.column("query").to_numpy(zero_copy_only=False)
@@ -236,15 +277,22 @@ def _search(least: float):
                     if not members:
                         continue
                     ids, copies, units = map(np.concatenate, zip(*members))
-                    graph, members = Graph(units.astype(np.float32)), []
+                    graph, members, groups = Graph(units.astype(np.float32)), [], _Groups(len(ids))
                 for i in range(0, b - a, BLOCK):
-                    q_ids, q_copies, q = (x[i : i + BLOCK] for x in own)
+                    q_ids, q = own[0][i : i + BLOCK], own[2][i : i + BLOCK]
                     at, row, beam = graph.audited(q.astype(np.float32), least - 1e-4, beam)
                     sure = (np.einsum("bd,bd->b", q[at], units[row]) >= least) & (q_ids[at] != ids[row])
                     at, row = at[sure], row[sure]
-                    if len(at):
-                        columns = (q_ids[at], ids[row], q_copies[at], copies[row])
-                        yield pa.RecordBatch.from_arrays([pa.array(c) for c in columns], names=["u", "v", "u_copies", "v_copies"])
+                    if not len(at):
+                        continue
+                    by = np.lexsort((row, at))
+                    at, row = at[by], row[by]
+                    first = np.flatnonzero(np.concatenate([[True], at[1:] != at[:-1]]))
+                    yield made(q_ids[at[first]], ids[row[first]], np.add.reduceat(copies[row], first))
+                    beside = np.flatnonzero(at[1:] == at[:-1])
+                    new = beside[groups.join(row[beside], row[beside + 1])] if len(beside) else beside
+                    if len(new):
+                        yield made(ids[row[new]], ids[row[new + 1]], np.zeros(len(new)))
 
     return run
 
@@ -269,10 +317,8 @@ def near_vectors(rows: DataFrame, least: float = COSINE, shard_rows: int = SHARD
     every = F.explode(F.sequence(F.lit(0), F.lit(shards - 1))).alias("shard")
     queries = reps.select("rep", "copies", "embedding", "dim", every, F.lit(True).alias("query"))
     dealt = members.unionByName(queries).repartition("dim", "shard").sortWithinPartitions("dim", "shard", "query")
-    found = dealt.mapInArrow(_search(least), _LINKS)
-    back = found.select(F.col("v").alias("u"), F.col("u").alias("v"), F.col("v_copies").alias("u_copies"), F.col("u_copies").alias("v_copies"))
-    links = saved(found.unionByName(back).distinct(), "vector-links")
-    degrees = links.groupBy("u").agg(F.sum("v_copies").alias("n"))
+    links = saved(dealt.mapInArrow(_search(least), _LINKS), "vector-links")
+    degrees = links.groupBy("u").agg(F.sum("links").alias("n"))
     joined = components(links.select("u", "v"))
     of = reps.join(degrees, reps["rep"] == degrees["u"], "left").join(joined, reps["rep"] == joined["node"], "left")
     n_links = (F.coalesce("n", F.lit(0)) + F.col("copies") - 1).cast("long").alias("_n")
