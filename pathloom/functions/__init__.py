@@ -1,0 +1 @@
+"""Functions on paths and sets."""

@@ -1,0 +1 @@
+"""Spaces and pattern queries."""

@@ -1,0 +1 @@
+"""Recursion and worked programs."""

@@ -1,0 +1 @@
+"""Tables and texts to spaces."""

@@ -1,0 +1 @@
+"""Empty: the language of spaces has no streams."""
