@@ -1,0 +1 @@
+"""Operators that prepare training data; nothing outside imports them."""
