@@ -202,7 +202,7 @@ class _Plain:
         return SetSpace([path])
 
 
-@pytest.mark.parametrize("seed", range(60))
+@pytest.mark.parametrize("seed", range(40))
 def test_random_programs(spark, seed):
     rng = random.Random(seed)
     for _ in range(40):
