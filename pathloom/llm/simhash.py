@@ -12,6 +12,7 @@ the same. Cells over ``BLOCK`` fingerprints are cut into blocks and each pair of
 
 from __future__ import annotations
 
+from collections import deque
 from collections.abc import Iterator
 from itertools import combinations, repeat
 
@@ -96,12 +97,12 @@ def _near(fp: np.ndarray, grid: np.ndarray, i: int, among: np.ndarray) -> np.nda
 
 
 def _forest(fp: np.ndarray, grid: np.ndarray) -> tuple[list[int], list[int]]:
-    """A spanning forest of the links among the rows of one cell."""
+    """A spanning forest of the links among the rows of one cell, breadth first from the first row of each tree."""
     rest, us, vs = np.arange(len(fp)), [], []
     while len(rest) > 1:
-        queue, rest = [int(rest[0])], rest[1:]
+        queue, rest = deque([int(rest[0])]), rest[1:]
         while queue and len(rest):
-            i = queue.pop()
+            i = queue.popleft()
             found = _near(fp, grid, i, rest)
             if len(found):
                 us += [i] * len(found)
@@ -126,10 +127,11 @@ def _links(fp: np.ndarray, rep: np.ndarray, first: np.ndarray) -> tuple[np.ndarr
         us.append(at)
         vs.append(at + d)
     for k in np.flatnonzero(size > 8):
-        a, b = first[k], first[k + 1]
-        u, v = _forest(fp[a:b], grid[a:b])
-        us.append(np.array(u, np.int64) + a)
-        vs.append(np.array(v, np.int64) + a)
+        # From the smallest document, so that links lead to few others and components settle early.
+        by = first[k] + np.argsort(rep[first[k] : first[k + 1]], kind="stable")
+        u, v = _forest(fp[by], grid[by])
+        us.append(by[u])
+        vs.append(by[v])
     u, v = (np.concatenate(x) if x else np.zeros(0, np.int64) for x in (us, vs))
     return rep[u], rep[v]
 
