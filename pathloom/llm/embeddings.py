@@ -246,7 +246,7 @@ _LINKS = "u long, v long, links long"
 def _search(least: float):
     """Rows sorted by shard, its members before the queries, to verified links.
 
-    A query gives one row for a shard with links: one of them as ``v``, and the copies of all of them as ``links``. What
+    A query gives one row for a shard with links: the smallest as ``v``, and the copies of all of them as ``links``. What
     else it connects comes as rows without links, and only if the shard's rows weren't connected yet: the rows are
     linear in the vectors however many links there are.
     """
@@ -285,7 +285,7 @@ def _search(least: float):
                     at, row = at[sure], row[sure]
                     if not len(at):
                         continue
-                    by = np.lexsort((row, at))
+                    by = np.lexsort((ids[row], at))
                     at, row = at[by], row[by]
                     first = np.flatnonzero(np.concatenate([[True], at[1:] != at[:-1]]))
                     yield made(q_ids[at[first]], ids[row[first]], np.add.reduceat(copies[row], first))
