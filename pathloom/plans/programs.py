@@ -77,13 +77,22 @@ def polynomial_product(a: Space, b: Space) -> Space:
 # Sequences
 
 
-def suffix_index(sequences: Space, depth: int = 5) -> Space:
-    """``item... .id`` for each ``id.item...`` and each of its first suffixes."""
+def suffix_index(sequences: Space, depth: int | None = 5, width: int | None = None) -> Space:
+    """``item... .id`` for each ``id.item...`` and each of its first ``depth`` suffixes, all for None.
+
+    ``width`` is the number of items that are kept of a suffix, all for None; phrases of more aren't found.
+    """
     path = F.col("path")
-    starts = F.explode(F.sequence(F.lit(2), F.least(F.lit(depth + 1), F.size(path)))).alias("at")
-    rows = sequences.frame.where(F.size(path) > 1).select("path", starts)
-    suffix = F.slice(path, F.col("at"), F.size(path))
-    return Space(rows.select(F.concat(suffix, F.slice(path, 1, 1)).alias("path")).distinct())
+    last = F.size(path) if depth is None else F.least(F.lit(depth + 1), F.size(path))
+    rows = sequences.frame.where(F.size(path) > 1)
+    if width is None:
+        rows = rows.select("path", F.explode(F.sequence(F.lit(2), last)).alias("at"))
+        rows = rows.select(F.get("path", F.lit(0)).alias("id"), F.slice(path, F.col("at"), F.size(path)).alias("s"))
+    else:
+        # Cut before the rows are made, so that no row carries a whole sequence.
+        cuts = F.transform(F.sequence(F.lit(2), last), lambda n: F.slice(path, n, F.lit(width)))
+        rows = rows.select(F.get("path", F.lit(0)).alias("id"), F.explode(cuts).alias("s"))
+    return Space(rows.select(F.concat("s", F.array("id")).alias("path")).distinct())
 
 
 def containing(index: Space, phrase: str | tuple[str, ...]) -> Space:
