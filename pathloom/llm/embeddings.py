@@ -333,4 +333,13 @@ def op4_embedding_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES = {"op4_embedding_dedup": op4_embedding_dedup}
-ORACLES: dict = {}
+#: All pairs outright.
+ORACLES = {
+    "op4_embedding_dedup": f"""
+with recursive e as (select vec_id, embedding::double[] as v from embeddings where embedding is not null),
+l as (select a.vec_id as u, b.vec_id as w from e a join e b on a.vec_id <> b.vec_id and list_cosine_similarity(a.v, b.v) >= {COSINE}),
+c as (select vec_id as n, vec_id as m from embeddings union select c.n, l.w from c join l on c.m = l.u),
+d as (select u, count(*) as k from l group by u), g as (select n, min(m) as least from c group by n)
+select vec_id, coalesce(k, 0)::bigint as n_links, least as component_id, vec_id = least as kept
+from embeddings left join d on vec_id = u join g on vec_id = n"""
+}
