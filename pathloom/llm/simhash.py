@@ -6,8 +6,9 @@ within 3 bits differs on at most 3 of 6 groups of axes and shares the coordinate
 groups is a grid whose cells hold the fingerprints with the same coordinates there. Within a cell, pairs pass the
 Manhattan bound on all axes first and are then verified by exact Hamming distance.
 
-Only distinct fingerprints enter the cells. A cell gives a spanning forest of its links, not its pairs: components are
-the same. Cells over ``BLOCK`` fingerprints are cut into blocks and each pair of blocks becomes a cell of its own.
+Only distinct fingerprints enter the cells. A cell gives no pairs but, for each group that its links make, the smallest
+document with each of the others: components are the same. Cells over ``BLOCK`` fingerprints are cut into blocks and
+each pair of blocks becomes a cell of its own.
 """
 
 from __future__ import annotations
@@ -97,15 +98,15 @@ def _near(fp: np.ndarray, grid: np.ndarray, i: int, among: np.ndarray) -> np.nda
 
 
 def _forest(fp: np.ndarray, grid: np.ndarray) -> tuple[list[int], list[int]]:
-    """A spanning forest of the links among the rows of one cell, breadth first from the first row of each tree."""
+    """The groups that links make among the rows of one cell: the first row of each with each of its others."""
     rest, us, vs = np.arange(len(fp)), [], []
     while len(rest) > 1:
-        queue, rest = deque([int(rest[0])]), rest[1:]
+        first, rest = int(rest[0]), rest[1:]
+        queue = deque([first])
         while queue and len(rest):
-            i = queue.popleft()
-            found = _near(fp, grid, i, rest)
+            found = _near(fp, grid, queue.popleft(), rest)
             if len(found):
-                us += [i] * len(found)
+                us += [first] * len(found)
                 vs += found.tolist()
                 queue += found.tolist()
                 rest = np.setdiff1d(rest, found, assume_unique=True)
@@ -127,7 +128,7 @@ def _links(fp: np.ndarray, rep: np.ndarray, first: np.ndarray) -> tuple[np.ndarr
         us.append(at)
         vs.append(at + d)
     for k in np.flatnonzero(size > 8):
-        # From the smallest document, so that links lead to few others and components settle early.
+        # The smallest document stands for its group, so that no document has many smaller ones in the component rounds.
         by = first[k] + np.argsort(rep[first[k] : first[k + 1]], kind="stable")
         u, v = _forest(fp[by], grid[by])
         us.append(by[u])
@@ -202,7 +203,10 @@ def _in_cells(rows: DataFrame, limit: int) -> DataFrame:
 
 
 def fingerprint_links(prints: DataFrame, block: int = BLOCK) -> DataFrame:
-    """Links ``(u, v)`` that connect the distinct ``prints(fp, rep)`` within MOST_BITS; u and v are ``rep`` values."""
+    """Pairs ``(u, v)`` of ``rep`` values that connect just what links of the distinct ``prints(fp, rep)`` connect.
+
+    A link is a pair within MOST_BITS. Small cells give their links, others each group of theirs by its smallest rep.
+    """
     masks = F.explode(F.array(*[F.struct(F.lit(i).alias("grid"), F.lit(m).alias("mask")) for i, m in enumerate(grids())]))
     rows = prints.withColumn("point", embedding(F.col("fp"))).select("fp", "rep", "point", masks.alias("g"))
     rows = rows.select("g.grid", F.col("point").bitwiseAND(F.col("g.mask")).alias("cell"), F.lit(0).alias("i"), F.lit(0).alias("j"), "fp", "rep")
