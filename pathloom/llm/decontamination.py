@@ -4,7 +4,8 @@ Texts are sequences of words in lower case. A seed is the hash of TILE consecuti
 of the documents keeps only the seeds that pass a bit filter of fixed size; these are joined to the items' seeds.
 For each document and item so found, tiling marks the longest match of unmarked words on both sides, found by running
 Karp-Rabin hashes, again and again until none has TILE words. As the tiles may lie in any order, their coverage of
-the item also catches reordered passages.
+the item also catches reordered passages. A document is contaminated if its tiles cover COVERAGE of an item, or
+PASSAGE words of it, whatever the item's length.
 """
 
 from __future__ import annotations
@@ -22,6 +23,8 @@ from .rolling import Powers, sequence_hashes
 
 TILE = 5
 COVERAGE = 0.8
+#: Words of an item, in one tile or several, that count as a leak even where they are a small part of it.
+PASSAGE = 13
 #: Bits of the filter, as a power of two: 2 MB whatever the size of the benchmark.
 FILTER = 24
 
@@ -128,8 +131,10 @@ def _tile(rows: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         yield pa.RecordBatch.from_arrays([pa.array(list(c), k) for c, k in zip(columns, kinds)], names=names)
 
 
-def contaminated(docs: DataFrame, benchmark: DataFrame, coverage: float = COVERAGE, bits: int = FILTER) -> DataFrame:
-    """``(doc_id, item_id, n_tiles, covered, item_words, coverage)`` of documents that tile ``coverage`` of an item.
+def contaminated(docs: DataFrame, benchmark: DataFrame, coverage: float = COVERAGE, bits: int = FILTER, passage: int | None = None) -> DataFrame:
+    """``(doc_id, item_id, n_tiles, covered, item_words, coverage)`` of documents that tile enough of an item.
+
+    Enough is ``coverage`` of its words, or ``passage`` of them if that is given.
 
     ``docs(doc_id, text, ...)``, ``benchmark(item_id, text, ...)``. Items under TILE words have no seed and match
     nothing, nor do null and empty texts. Repeated rows of a document or an item are tiled once for each different
@@ -147,19 +152,21 @@ def contaminated(docs: DataFrame, benchmark: DataFrame, coverage: float = COVERA
     texts = seeds.select("item_id", F.xxhash64("words").alias("item_key"), F.col("words").alias("item_words")).distinct()
     whole = pairs.join(texts, ["item_id", "item_key"]).join(hits.select("doc_id", "text_key", "words").distinct(), ["doc_id", "text_key"])
     tiled = whole.select("doc_id", "item_id", "words", "item_words").mapInArrow(_tile, _TILED)
-    best = tiled.where(F.col("coverage") >= coverage).groupBy("doc_id", "item_id")
+    enough = F.col("coverage") >= coverage
+    enough = enough if passage is None else enough | (F.col("covered") >= passage)
+    best = tiled.where(enough).groupBy("doc_id", "item_id")
     of = F.max(F.struct("coverage", "covered", "n_tiles", "item_words")).alias("b")
     return best.agg(of).select("doc_id", "item_id", "b.n_tiles", "b.covered", "b.item_words", "b.coverage")
 
 
 def keep_clean(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
     """The rows of ``docs`` that aren't contaminated."""
-    leaked = contaminated(docs, benchmark).select(F.col("doc_id").alias("_leaked")).distinct()
+    leaked = contaminated(docs, benchmark, passage=PASSAGE).select(F.col("doc_id").alias("_leaked")).distinct()
     return docs.join(leaked, docs["doc_id"] == leaked["_leaked"], "left_anti")
 
 
 def op2_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return contaminated(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
+    return contaminated(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"), passage=PASSAGE)
 
 
 QUERIES = {"op2_decontamination": op2_decontamination}

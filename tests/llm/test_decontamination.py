@@ -94,3 +94,13 @@ def test_against_all_pairs(spark):
     got = dc.contaminated(spark.createDataFrame(docs, "doc_id long, text string"), spark.createDataFrame(items, "item_id long, text string"))
     assert {(r.doc_id, r.item_id, r.covered) for r in got.collect()} == want and len(want) > 10
     assert np.all([0.8 <= r.coverage <= 1 for r in got.collect()])
+
+
+def test_a_long_passage_counts_whatever_the_length_of_the_item(spark):
+    w = [f"w{k}" for k in range(100)]
+    docs = [(1, "a b " + " ".join(w[20:33])), (2, " ".join(w[20:32])), (3, " ".join(w[:7] + ["x"] + w[50:56])), (4, "clean text of six more words")]
+    d = spark.createDataFrame(docs, "doc_id long, text string")
+    b = spark.createDataFrame([(1, " ".join(w))], "item_id long, text string")
+    got = {r.doc_id: (r.n_tiles, r.covered) for r in dc.contaminated(d, b, passage=dc.PASSAGE).collect()}
+    assert got == {1: (1, 13), 3: (2, 13)}
+    assert sorted(r.doc_id for r in dc.keep_clean(d, b).collect()) == [2, 4]
