@@ -23,7 +23,7 @@ import xxhash
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import components, numbers, saved, table, utf8
+from .common import components, numbers, saved, spread_join, table, utf8
 
 SHINGLE = 3
 SEED = 42
@@ -233,7 +233,7 @@ def near_duplicates(docs: DataFrame, block: int = BLOCK) -> DataFrame:
     linked = components(fingerprint_links(reps.where("rep is not null"), block))
     named = reps.join(linked, reps.rep == linked.node, "left").select("fp", F.coalesce("component", "rep").alias("component_id"))
     digits = F.lower(F.lpad(F.hex("fp"), 16, "0"))
-    return rows.join(named, "fp").select("doc_id", digits.alias("fingerprint"), "component_id")
+    return spread_join(rows, named, "fp", "doc_id").select("doc_id", digits.alias("fingerprint"), "component_id")
 
 
 def keep_one(docs: DataFrame) -> DataFrame:

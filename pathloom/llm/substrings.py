@@ -1,13 +1,17 @@
 """Substring dedup by prefix-partitioned suffix trees.
 
 A suffix starts at each word of a document and matters as far as WINDOW words: two documents share a passage if two of
-their suffixes agree so far. First, suffixes that cannot agree with any other are left out: each window has an anchor,
-the least hash of its six-word sequences, so that equal windows have equal anchors, and one whose anchor no second
-document holds is unique. The other suffixes are dealt into groups by a prefix of variable length: four words, or the
-whole window where the anchor is frequent. A group's suffixes, sorted along their edges of 4 and 9 words (hashed in 64
-bits each), are its suffix tree with the leaves in order; a node at full depth is a repeated window, and its leaves
-beyond the smallest document are to go. Tasks keep one leaf of each window for a batch of documents, the smallest, and
-settle the others at once, so that a passage in very many documents is dealt out thinly.
+their suffixes agree so far. Documents of the same words in the same order are one document, the smallest. A filter
+then leaves out suffixes that cannot agree with any other: each window has an anchor, the least hash of its six-word
+sequences, so that equal windows have equal anchors, and one whose anchor no second document holds is unique. Hashes
+only filter and deal; what repeats is decided by the words themselves.
+
+The suffixes left are counted by their first words. A prefix of LENGTHS[0] words with more than GROUP suffixes is cut
+into longer ones, again and again, so that each prefix names a group that fits in memory. A group's suffixes in order,
+with the number of words that each shares with the one before, are its suffix tree: a run of them that share a number
+of words is an internal node of that depth. The nodes of depth WINDOW are the repeated passages; their leaves beyond
+the smallest document lose them, and the runs of what a document loses are its maximal repeats. A whole window of more
+than GROUP leaves is one node already, and needs a grouped minimum only.
 """
 
 from __future__ import annotations
@@ -16,220 +20,340 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, SparkSession
+import pyarrow.compute as pc
+import xxhash
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import numbers, saved, table, utf8
+from .common import dropped, numbers, saved, spread_join, table, utf8
 from .rolling import Powers, Rolled, mixed
 
-#: Words of a window, of an anchor, and of the edges of a path.
+#: Words of a window and of an anchor.
 WINDOW = 13
 ANCHOR = 6
-EDGES = (4, 9)
-#: Documents that share an anchor from which on its windows are grouped by their whole length.
-FREQUENT = 4096
+#: Words of a group's prefix, the shortest first; the last is a whole window.
+LENGTHS = (4, 7, 10, WINDOW)
+#: Suffixes of a group at most.
+GROUP = 1 << 17
+#: Suffixes of neighbouring documents that a task looks at together before it gives their leaves.
+TOGETHER = 1 << 18
 
-_FREQUENT_BIT = np.uint64(1)
+
+def _digest(words: list[bytes]) -> bytes:
+    return xxhash.xxh3_128_digest(b" ".join(words))
+
+
+def _row_of(digest: bytes) -> int:
+    """Tells the rows of one doc_id apart."""
+    return int.from_bytes(digest[:8], "little", signed=True)
+
+
+_COPIES = "doc long, digest binary"
+
+
+def _digests(rows: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    for batch in rows:
+        ids, digests = [], []
+        for doc, text in zip(batch.column("doc_id").to_pylist(), utf8(batch.column("text"))):
+            words = (text or b"").split()
+            if len(words) >= WINDOW:
+                ids.append(doc)
+                digests.append(_digest(words))
+        yield pa.RecordBatch.from_arrays([pa.array(ids, pa.int64()), pa.array(digests, pa.binary())], names=["doc", "digest"])
+
+
+def copies(rows: DataFrame) -> DataFrame:
+    """``(doc, digest)`` of the rows whose sequence of words a smaller document has too; shorter ones than a window aside."""
+    every = saved(rows.mapInArrow(_digests, _COPIES), "word-digests")
+    least = every.groupBy("digest").agg(F.min("doc").alias("least"), F.max("doc").alias("most")).where("least < most")
+    return saved(spread_join(every, least.select("digest", "least"), "digest", "doc").where("doc > least").select("doc", "digest").distinct(), "word-copies")
 
 
 def _anchors(rolled: Rolled) -> np.ndarray:
-    """The anchor of each window; the lowest bit is free."""
+    """The anchor of each window."""
     least, wide, whole = rolled.grams(ANCHOR), 1, WINDOW - ANCHOR + 1
     while 2 * wide <= whole:
         least, wide = np.minimum(least[:-wide], least[wide:]), 2 * wide
     if wide < whole:
         least = np.minimum(least[: len(least) - (whole - wide)], least[whole - wide :])
-    return least & ~_FREQUENT_BIT
+    return least
 
 
-def _paths(rolled: Rolled) -> tuple[np.ndarray, np.ndarray]:
-    """The edges of each window."""
-    n = len(rolled.ends) - WINDOW + 1
-    return rolled.grams(EDGES[0])[:n], rolled.grams(EDGES[1])[EDGES[0] :][:n]
+def _runs(x: np.ndarray) -> np.ndarray:
+    """Whether each element differs from the one before."""
+    return np.concatenate([[True], x[1:] != x[:-1]]) if len(x) else np.zeros(0, bool)
 
 
-def _named(a: np.ndarray, b: np.ndarray) -> np.ndarray:
-    """One hash for a path."""
-    return mixed(a * np.uint64(0x9E3779B97F4A7C15) + mixed(b))
+_ANCHORS = pa.schema([("key", pa.int64()), ("anchor", pa.int64()), ("doc", pa.int64()), ("shared", pa.bool_())])
 
 
-def _packed(doc: np.ndarray, name: np.ndarray) -> tuple[np.ndarray, list[bytes]]:
-    """The names of each document, one after the other."""
-    by = np.argsort(doc, kind="stable")
-    doc, name = doc[by], name[by]
-    first = np.flatnonzero(np.concatenate([[True], doc[1:] != doc[:-1]])) if len(doc) else np.zeros(0, np.int64)
-    return doc[first], [x.tobytes() for x in np.split(name, first[1:])] if len(doc) else []
+def _all_anchors(copied: str):
+    """An anchor that several documents of a batch hold is shared: one row goes to where it is compared, others anywhere."""
+
+    def run(rows: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        powers = Powers()
+        for batch in rows:
+            found, docs = [np.zeros(0, np.uint64)], [np.zeros(0, np.int64)]
+            for doc, text, drop in zip(batch.column("doc_id").to_pylist(), utf8(batch.column("text")), batch.column(copied).to_pylist()):
+                words = (text or b"").split()
+                if len(words) >= WINDOW and not (drop and _digest(words) in drop):
+                    found.append(np.unique(_anchors(Rolled(words, powers))))
+                    docs.append(np.full(len(found[-1]), doc))
+            anchor, doc = np.concatenate(found), np.concatenate(docs)
+            by = np.lexsort((doc, anchor))
+            anchor, doc = anchor[by], doc[by]
+            first = _runs(anchor)
+            start = np.flatnonzero(first)
+            size = np.diff(np.append(start, len(anchor)))
+            several = np.repeat(doc[start + size - 1] != doc[start], size)
+            key = np.where(first, anchor, mixed(doc.view(np.uint64)))
+            keep = first | several
+            columns = (key.view(np.int64), anchor.view(np.int64), doc, several)
+            yield pa.RecordBatch.from_arrays([pa.array(c[keep]) for c in columns], schema=_ANCHORS)
+
+    return run
+
 
+_SHARED = pa.schema([("doc", pa.int64()), ("anchors", pa.binary())])
 
-_ANCHORS = pa.schema([("anchor", pa.int64()), ("doc", pa.int64())])
 
+def _packed(doc: np.ndarray, values: np.ndarray) -> tuple[np.ndarray, list[bytes]]:
+    """The values of each document, one after the other."""
+    by = np.argsort(doc, kind="stable")
+    doc, values = doc[by], values[by]
+    first = np.flatnonzero(_runs(doc))
+    return doc[first], [x.tobytes() for x in np.split(values, first[1:])] if len(doc) else []
+
+
+def _shared(rows: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Rows sorted by key and anchor to those whose anchor is shared, the anchors of a document together.
 
-def _all_anchors(rows: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    powers = Powers()
+    Only the first row of an anchor can be waiting for a second one.
+    """
+    last, least = None, None  # the anchor of the row before; its document while it waits
     for batch in rows:
-        found, docs = [np.zeros(0, np.uint64)], [np.zeros(0, np.int64)]
-        for doc, text in zip(batch.column("doc_id").to_pylist(), utf8(batch.column("text"))):
-            words = (text or b"").split()
-            if len(words) >= WINDOW:
-                found.append(np.unique(_anchors(Rolled(words, powers))))
-                docs.append(np.full(len(found[-1]), doc))
-        yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(found).view(np.int64)), pa.array(np.concatenate(docs))], schema=_ANCHORS)
-
-
-class _Shared:
-    """Reads rows sorted by anchor and gives those that several hold; holds FREQUENT rows besides the batch at most."""
-
-    def __init__(self, frequent: int):
-        self.frequent = frequent
-        self.anchor, self.doc = np.zeros(0, np.int64), np.zeros(0, np.int64)
-        self.long: int | None = None  # the anchor of which more than that came before
-
-    def read(self, anchor: np.ndarray, doc: np.ndarray, last: bool) -> pa.RecordBatch:
-        anchor, doc = np.concatenate([self.anchor, anchor]), np.concatenate([self.doc, doc])
-        n = len(anchor)
-        first = np.flatnonzero(np.concatenate([[True], anchor[1:] != anchor[:-1]])) if n else np.zeros(0, np.int64)
-        size = np.diff(np.append(first, n))
-        long = size > self.frequent
-        if n and self.long is not None:
-            long[0] |= anchor[0] == self.long
-        end = n if last or not n or long[-1] else first[-1]
-        many = np.repeat((size > 1) | long, size)[:end]
-        out = anchor[:end] | np.repeat(long, size)[:end]
-        self.long = int(anchor[-1]) if n and long[-1] else None
-        self.anchor, self.doc = anchor[end:], doc[end:]
-        return pa.RecordBatch.from_arrays([pa.array(out[many]), pa.array(doc[:end][many])], schema=_ANCHORS)
-
-
-def _shared(frequent: int):
+        key, anchor, doc = (numbers(batch.column(c)) for c in ("key", "anchor", "doc"))
+        known = batch.column("shared").to_numpy(zero_copy_only=False).astype(bool)
+        out_doc, out_anchor = [], []
+        if len(key):
+            if least is not None and key[0] == anchor[0] == last:
+                out_doc.append([least])
+                out_anchor.append([last])
+            own = key == anchor
+            before = np.concatenate([[last == anchor[0] and bool(own[0])], (anchor[1:] == anchor[:-1]) & own[1:] & own[:-1]])
+            after = np.concatenate([before[1:], [False]])
+            keep = known | before | after
+            out_doc.append(doc[keep])
+            out_anchor.append(anchor[keep])
+            last = int(anchor[-1]) if own[-1] else None
+            least = int(doc[-1]) if own[-1] and not keep[-1] else None
+        docs, packed = _packed(np.concatenate(out_doc).astype(np.int64), np.concatenate(out_anchor).astype(np.int64)) if out_doc else (np.zeros(0, np.int64), [])
+        yield pa.RecordBatch.from_arrays([pa.array(docs), pa.array(packed, pa.binary())], schema=_SHARED)
+
+
+#: A leaf: the words of a suffix, its document and row, and where it starts there, as 32-bit numbers. Without words: the
+#: starts of suffixes that a smaller document of the same task has.
+_LEAVES = pa.schema([("suffix", pa.string()), ("doc", pa.int64()), ("row", pa.int64()), ("at", pa.binary())])
+_LEAF = "suffix string, doc long, row long, at binary"
+_LOST = pa.schema([("doc", pa.int64()), ("row", pa.int64()), ("at", pa.binary())])
+
+
+def _settled(suffix: list[bytes], doc: np.ndarray, row: np.ndarray, at: np.ndarray) -> pa.RecordBatch:
+    """The leaves of some suffixes: of equal ones those of the smallest document, of each row one with all its starts."""
+    seen: dict[bytes, int] = {}
+    name = np.fromiter(map(seen.setdefault, suffix, range(len(suffix))), np.int64, len(suffix))
+    by = np.lexsort((at, row, doc, name))
+    name, doc, row, at = name[by], doc[by], row[by], at[by]
+    first = _runs(name)
+    least = doc[np.maximum.accumulate(np.where(first, np.arange(len(name)), 0))]
+    leaf = doc == least
+    start = np.flatnonzero((first | _runs(row) | _runs(doc)) & leaf)
+    cuts = [x.tobytes() for x in np.split(at[leaf], np.cumsum(leaf)[start][1:] - 1)] if len(start) else []
+    out = [[suffix[k] for k in name[start]], doc[start], row[start], cuts]
+    doc, row, at = doc[~leaf], row[~leaf], at[~leaf]
+    by = np.lexsort((at, row, doc))
+    doc, row, at = doc[by], row[by], at[by]
+    start = np.flatnonzero(_runs(doc) | _runs(row))
+    rest = [x.tobytes() for x in np.split(at, start[1:])] if len(start) else []
+    # In the order of the documents, so that a table of leaves holds overlapping texts side by side.
+    by = np.argsort(out[1], kind="stable")
+    text = pa.array(out[0], pa.binary()).cast(pa.string()).take(pa.array(by))
+    ends = [pa.array(np.concatenate([a[by], b])) for a, b in ((out[1], doc[start]), (out[2], row[start]))]
+    return pa.RecordBatch.from_arrays([pa.concat_arrays([text, pa.nulls(len(start), pa.string())]), *ends, pa.array([cuts[k] for k in by] + rest, pa.binary())], schema=_LEAVES)
+
+
+def _leaves(together: int):
     def run(rows: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        state, none = _Shared(frequent), np.zeros(0, np.int64)
-        for batch in rows:
-            yield state.read(numbers(batch.column("anchor")), numbers(batch.column("doc")), last=False)
-        yield state.read(none, none, last=True)
+        powers = Powers()
+        suffix: list[bytes] = []
+        parts: list[tuple] = []
 
-    return run
+        def given() -> pa.RecordBatch:
+            nonlocal suffix, parts
+            doc, row, at = (np.concatenate(x) for x in zip(*parts)) if parts else (np.zeros(0, np.int64), np.zeros(0, np.int64), np.zeros(0, np.int32))
+            out, suffix, parts = _settled(suffix, doc, row, at), [], []
+            return out
 
+        for batch in rows:
+            for doc, text, anchors, drop in zip(*(batch.column("doc_id").to_pylist(), utf8(batch.column("text")), batch.column("_anchors").to_pylist(), batch.column("_copied").to_pylist())):
+                words = (text or b"").split() if anchors else []
+                if len(words) < WINDOW or drop and _digest(words) in drop:
+                    continue
+                rolled = Rolled(words, powers)
+                shared = np.sort(np.frombuffer(b"".join(anchors), np.uint64))
+                own = _anchors(rolled)
+                held = np.flatnonzero(shared[np.minimum(np.searchsorted(shared, own), len(shared) - 1)] == own)
+                joined, row = b" ".join(words), _row_of(_digest(words))
+                for i in range(0, len(held), together):
+                    at = held[i : i + together]
+                    ends = rolled.ends[at + WINDOW - 1]
+                    suffix += map(joined.__getitem__, map(slice, rolled.starts[at].tolist(), ends.tolist()))
+                    parts.append((np.full(len(at), doc, np.int64), np.full(len(at), row, np.int64), at.astype(np.int32)))
+                    if len(suffix) >= together:
+                        yield given()
+        yield given()
 
-_LEAVES = pa.schema([("prefix", pa.int64()), ("b", pa.int64()), ("doc", pa.int64()), ("kind", pa.int32()), ("settled", pa.binary())])
-#: Kinds of rows: a leaf under four words, one under the whole window, and the windows of a document that are settled.
-_SHORT, _WHOLE, _SETTLED = 0, 1, 2
+    return run
 
 
-def _leaves(rows: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    powers = Powers()
-    for batch in rows:
-        parts = []
-        for doc, text, anchors in zip(batch.column("doc_id").to_pylist(), utf8(batch.column("text")), batch.column("_anchors")):
-            if not anchors.is_valid:
-                continue
-            words = (text or b"").split()
-            if len(words) < WINDOW:
-                continue
-            shared = np.sort(anchors.values.to_numpy(zero_copy_only=False).view(np.uint64))
-            rolled = Rolled(words, powers)
-            own = _anchors(rolled)
-            at = np.minimum(np.searchsorted(shared, own), len(shared) - 1)
-            frequent = shared[at] & _FREQUENT_BIT
-            held = shared[at] & ~_FREQUENT_BIT == own
-            a, b = (x[held] for x in _paths(rolled))
-            parts.append((a, b, np.full(len(a), doc, np.int64), frequent[held].astype(np.int32)))
-        if not parts:
-            continue
-        a, b, doc, kind = map(np.concatenate, zip(*parts))
-        name = _named(a, b)
-        by = np.lexsort((doc, name))
-        a, b, doc, kind, name = (x[by] for x in (a, b, doc, kind, name))
-        if not len(name):
-            continue
-        first = np.concatenate([[True], name[1:] != name[:-1]])
-        least = doc[np.maximum.accumulate(np.where(first, np.arange(len(name)), 0))]
-        once = first | np.concatenate([[True], doc[1:] != doc[:-1]])
-        settled = once & (doc > least)
-        keep = once & ~settled
-        prefix = np.where(kind == _WHOLE, name, a)[keep]
-        done, windows = _packed(doc[settled], name[settled])
-        yield pa.RecordBatch.from_arrays(
-            [
-                pa.array(np.concatenate([prefix, mixed(done.astype(np.uint64))]).view(np.int64)),  # anywhere, if settled
-                pa.array(np.concatenate([b[keep], np.zeros(len(done), np.uint64)]).view(np.int64)),
-                pa.array(np.concatenate([doc[keep], done])),
-                pa.array(np.concatenate([kind[keep], np.full(len(done), _SETTLED, np.int32)])),
-                pa.array([*[None] * int(keep.sum()), *windows], pa.binary()),
-            ],
-            schema=_LEAVES,
-        )
-
-
-_LOST = pa.schema([("doc", pa.int64()), ("windows", pa.binary())])
-
-
-def _deep_nodes(rows: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Leaves in order, of equal ones the smallest document first, to the windows that documents lose."""
-    path, least = None, 0
+def leaves(docs: DataFrame, copied: DataFrame, together: int = TOGETHER) -> DataFrame:
+    """The suffixes ``(suffix, doc, row, at)`` of ``docs(doc_id, text)`` that may repeat, as a saved table."""
+    drop = copied.groupBy("doc").agg(F.collect_list("digest").alias("_copied"))
+    rows = docs.where("doc_id is not null").join(drop, F.col("doc_id") == drop["doc"], "left").select("doc_id", "text", "_copied")
+    dealt = rows.mapInArrow(_all_anchors("_copied"), "key long, anchor long, doc long, shared boolean").repartition("key").sortWithinPartitions("key", "anchor")
+    shared = saved(dealt.mapInArrow(_shared, "doc long, anchors binary"), "shared-anchors")
+    held = shared.groupBy(F.col("doc").alias("_doc")).agg(F.collect_list("anchors").alias("_anchors"))
+    both = rows.join(held, rows["doc_id"] == held["_doc"])
+    out = saved(both.mapInArrow(_leaves(together), _LEAF), "suffixes")
+    dropped(shared)
+    return out
+
+
+def _prefix(length: int) -> Column:
+    return F.xxhash64(F.lit(length), F.substring_index("suffix", " ", length))
+
+
+def grouped(suffixes: DataFrame, group: int = GROUP) -> tuple[DataFrame, DataFrame | None]:
+    """The suffixes with the ``prefix`` that names their group, of ``group`` rows at most, and those of whole windows
+    that more have, with the smallest document in ``least``."""
+    prefix, rest, out = _prefix(LENGTHS[0]), suffixes, suffixes
+    for length, longer in zip(LENGTHS, (*LENGTHS[1:], None)):
+        last = longer is None
+        by, also = (["suffix"], [F.min("doc").alias("least")]) if last else ([_prefix(length).alias("_p")], [])
+        many = saved(rest.groupBy(*by).agg(F.count(F.lit(1)).alias("_n"), *also).where(F.col("_n") > group), "prefixes")
+        if many.isEmpty():
+            return out.withColumn("prefix", prefix), None
+        if last:
+            break
+        # Of the suffixes under such a prefix, the next longer one counts.
+        name = f"_m{length}"
+        out = out.withColumn("_p", _prefix(length)).join(many.select("_p", F.lit(True).alias(name)), "_p", "left").drop("_p")
+        rest = out.where(name)
+        prefix = F.when(F.col(name), _prefix(longer)).otherwise(prefix)
+    out = out.withColumn("prefix", prefix)
+    held = many.select("suffix", "least")
+    return out.join(held.select("suffix"), "suffix", "left_anti"), spread_join(suffixes, held, "suffix", "doc")
+
+
+def shared_words(suffix: pa.Array) -> np.ndarray:
+    """How many words each of some sorted suffixes of WINDOW words shares with the one before, from the start."""
+    words = pc.split_pattern(suffix, " ")
+    codes = words.flatten().dictionary_encode().indices.to_numpy(zero_copy_only=False).reshape(len(suffix), -1)
+    differ = codes[1:] != codes[:-1]
+    lcp = np.where(differ.any(axis=1), differ.argmax(axis=1), codes.shape[1]) if len(codes) else np.zeros(0, int)
+    return np.concatenate([[0], lcp])[: len(suffix)]
+
+
+def nodes(lcp: np.ndarray, depth: int) -> np.ndarray:
+    """The number of the node of ``depth`` that each suffix is under: a run of those that share so many words."""
+    return np.cumsum(lcp < depth) - 1
+
+
+def _trees(rows: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Suffixes sorted by prefix, words and document to the starts that documents lose.
+
+    A batch may end within a node, so that its words and smallest document are carried over.
+    """
+    words, least = None, 0
     for batch in rows:
-        settled = numbers(batch.column("kind")) == _SETTLED
-        if settled.any():
-            yield pa.RecordBatch.from_arrays([batch.column(c).filter(pa.array(settled)) for c in ("doc", "settled")], schema=_LOST)
-        prefix, b, doc, kind = (numbers(batch.column(n))[~settled] for n in ("prefix", "b", "doc", "kind"))
-        if not len(doc):
+        if not batch.num_rows:
             continue
-        first = np.concatenate([[True], (prefix[1:] != prefix[:-1]) | (b[1:] != b[:-1])])
-        first[0] = path != (int(prefix[0]), int(b[0]))
-        start = np.maximum.accumulate(np.where(first, np.arange(len(doc)), -1))
-        smallest = np.where(start >= 0, doc[np.maximum(start, 0)], least)
-        path, least = (int(prefix[-1]), int(b[-1])), int(smallest[-1])
-        lost = doc > smallest
-        name = np.where(kind == _WHOLE, prefix.view(np.uint64), _named(prefix.view(np.uint64), b.view(np.uint64)))
-        docs, windows = _packed(doc[lost], name[lost])
-        yield pa.RecordBatch.from_arrays([pa.array(docs), pa.array(windows, pa.binary())], schema=_LOST)
-
-
-def lost_windows(docs: DataFrame, frequent: int = FREQUENT) -> DataFrame:
-    """``(_doc, _windows)``: hashes of the windows of ``docs(doc_id, text)`` that a smaller document holds, in pieces."""
-    rows = docs.where("doc_id is not null")
-    anchors = rows.mapInArrow(_all_anchors, "anchor long, doc long").repartition("anchor").sortWithinPartitions("anchor")
-    shared = saved(anchors.mapInArrow(_shared(frequent), "anchor long, doc long"), "shared-anchors")
-    held = shared.groupBy(F.col("doc").alias("_doc")).agg(F.collect_list("anchor").alias("_anchors"))
-    # A left join, as the caller's: both then read one shuffle of the texts.
-    both = docs.join(held, docs["doc_id"] == held["_doc"], "left").select("doc_id", "text", "_anchors")
-    leaves = both.mapInArrow(_leaves, "prefix long, b long, doc long, kind int, settled binary")
-    dealt = leaves.repartition("prefix").sortWithinPartitions("prefix", "b", "doc")
-    lost = dealt.mapInArrow(_deep_nodes, "doc long, windows binary")
-    return lost.groupBy(F.col("doc").alias("_doc")).agg(F.collect_list("windows").alias("_windows"))
+        suffix, doc = batch.column("suffix"), numbers(batch.column("doc"))
+        node = nodes(shared_words(suffix), WINDOW)
+        first = np.flatnonzero(_runs(node))
+        smallest = doc[first]
+        if suffix[0].as_py() == words:
+            smallest[0] = least
+        words, least = suffix[len(suffix) - 1].as_py(), int(smallest[-1])
+        lost = pa.array(doc > smallest[node])
+        yield pa.RecordBatch.from_arrays([batch.column(c).filter(lost) for c in ("doc", "row", "at")], schema=_LOST)
+
+
+_LOSS = "doc long, row long, at binary"
+
+
+def lost_starts(docs: DataFrame, copied: DataFrame, group: int = GROUP, together: int = TOGETHER) -> DataFrame:
+    """``(doc, row, at)``: where suffixes of a row start that a smaller document has too, in pieces; a saved table."""
+    every = leaves(docs, copied, together)
+    rest, many = grouped(every.where("suffix is not null"), group)
+    dealt = rest.select("prefix", "suffix", "doc", "row", "at").repartition("prefix").sortWithinPartitions("prefix", "suffix", "doc")
+    lost = dealt.select("suffix", "doc", "row", "at").mapInArrow(_trees, _LOSS).unionByName(every.where("suffix is null").select("doc", "row", "at"))
+    if many is not None:
+        lost = lost.unionByName(many.where("doc > least").select("doc", "row", "at"))
+    out = saved(lost, "lost-suffixes")
+    dropped(every)
+    return out
 
 
 def _cut(rows: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    powers = Powers()
     for batch in rows:
-        kept, total, lost = [], [], []
-        for text, windows in zip(utf8(batch.column("text")), batch.column("_windows")):
+        kept, total, lost, spans = [], [], [], []
+        for text, own, drop in zip(utf8(batch.column("text")), batch.column("_lost"), batch.column("_copied").to_pylist()):
             words = (text or b"").split()
             total.append(len(words))
-            if windows.is_valid and len(words) >= WINDOW:
-                gone = np.isin(_named(*_paths(Rolled(words, powers))), np.frombuffer(b"".join(windows.as_py()), np.uint64))
+            gone = np.zeros(0, np.int64)
+            if len(words) >= WINDOW and (own.is_valid or drop):
+                digest = _digest(words)
+                if drop and digest in drop:
+                    gone = np.arange(len(words) - WINDOW + 1)
+                elif own.is_valid:
+                    row = _row_of(digest)
+                    parts = [p["at"] for p in own.as_py() if p["row"] == row]
+                    gone = np.frombuffer(b"".join(parts), np.int32)
+            found = []
+            if len(gone):
                 edge = np.zeros(len(words) + 1, np.int64)
-                edge[:-WINDOW] += gone
-                edge[WINDOW:] -= gone
+                np.add.at(edge, gone, 1)
+                np.add.at(edge, gone + WINDOW, -1)
                 covered = np.cumsum(edge[:-1]) > 0
+                bounds = np.flatnonzero(np.diff(np.concatenate([[0], covered, [0]])))
+                found = [{"start": int(a), "end": int(b)} for a, b in bounds.reshape(-1, 2)]
                 words = [w for w, x in zip(words, covered.tolist()) if not x]
             lost.append(total[-1] - len(words))
             kept.append(b" ".join(words))
-        own = [pa.array(kept, pa.binary()).cast(pa.string()), pa.array(total, pa.int64()), pa.array(lost, pa.int64())]
-        yield pa.RecordBatch.from_arrays([batch.column("doc_id"), *own], names=["doc_id", "text", "n_words", "n_removed"])
+            spans.append(found)
+        span = pa.list_(pa.struct([("start", pa.int64()), ("end", pa.int64())]))
+        own = [pa.array(kept, pa.binary()).cast(pa.string()), pa.array(total, pa.int64()), pa.array(lost, pa.int64()), pa.array(spans, span)]
+        yield pa.RecordBatch.from_arrays([batch.column("doc_id"), *own], names=["doc_id", "text", "n_words", "n_removed", "repeats"])
 
 
-def dedup_substrings(docs: DataFrame, frequent: int = FREQUENT) -> DataFrame:
-    """``(doc_id, text, n_words, n_removed)`` of each row of ``docs(doc_id, text, ...)``: the kept words, one space between.
+def dedup_substrings(docs: DataFrame, group: int = GROUP, together: int = TOGETHER) -> DataFrame:
+    """``(doc_id, text, n_words, n_removed, repeats)`` of each row of ``docs(doc_id, text, ...)``.
 
-    A word goes if a window of WINDOW words that covers it also starts in a document with a smaller doc_id, as given.
-    A null, empty or blank text has no words; shorter ones than a window stay. A row without doc_id loses nothing and
-    takes nothing away; rows that repeat a doc_id are one document. Windows are compared by 128 bits of hashes. Other
-    columns are not read.
+    ``text`` is the kept words, one space between, and ``repeats`` the maximal runs of words that went, as word numbers
+    ``(start, end)``, end exclusive. A word goes if a window of WINDOW words that covers it also starts in a document
+    with a smaller doc_id, as given. A null, empty or blank text has no words; shorter ones than a window stay. A row
+    without doc_id loses nothing and takes nothing away; rows that repeat a doc_id are one document, and are told apart
+    by 64 bits of their words' hash, as are the texts of copies by 128. Long texts are looked at in pieces of
+    ``together`` windows. Other columns are not read.
     """
     docs = docs.select(F.col("doc_id").cast("long"), F.col("text").cast("string"))
-    lost = lost_windows(docs, frequent)
-    rows = docs.join(lost, docs["doc_id"] == lost["_doc"], "left").select("doc_id", "text", "_windows")
-    return rows.mapInArrow(_cut, "doc_id long, text string, n_words long, n_removed long")
+    copied = copies(docs.where("doc_id is not null"))
+    lost = lost_starts(docs, copied, group, together)
+    of = lost.groupBy(F.col("doc").alias("_doc")).agg(F.collect_list(F.struct("row", "at")).alias("_lost"))
+    drop = copied.groupBy(F.col("doc").alias("_of")).agg(F.collect_list("digest").alias("_copied"))
+    rows = docs.join(drop, docs["doc_id"] == drop["_of"], "left").join(of, docs["doc_id"] == of["_doc"], "left").select("doc_id", "text", "_copied", "_lost")
+    return rows.mapInArrow(_cut, "doc_id long, text string, n_words long, n_removed long, repeats array<struct<start: long, end: long>>")
 
 
 def op6_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:

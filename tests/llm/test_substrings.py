@@ -2,6 +2,7 @@ import random
 from collections import defaultdict
 
 import numpy as np
+import pyarrow as pa
 import pytest
 
 from pathloom.llm import substrings as ss
@@ -40,25 +41,61 @@ def rows():
     return out
 
 
-@pytest.mark.parametrize("frequent", [1, 5, 4096])
-def test_brute_force(spark, frequent):
+@pytest.mark.parametrize("group,together", [(1, 7), (8, 1 << 18), (1 << 17, 100)])
+def test_brute_force(spark, group, together):
     df = spark.createDataFrame([(*r, 1, "x") for r in rows()], "doc_id long, text string, doc long, prefix string").repartition(3)
-    assert sorted(map(tuple, ss.dedup_substrings(df, frequent).collect()), key=str) == plain(rows())
+    out = ss.dedup_substrings(df, group, together).collect()
+    assert sorted(((r.doc_id, r.text, r.n_words, r.n_removed) for r in out), key=str) == plain(rows())
+    for r in out:
+        assert sum(b - a for a, b in r.repeats) == r.n_removed and all(b - a >= 13 for a, b in r.repeats)
+        assert all(x[1] < y[0] for x, y in zip(r.repeats, r.repeats[1:]))
+
+
+def test_words_whose_polynomial_hashes_collide(spark):
+    thue = "".join("ab"[bin(k).count("1") % 2] for k in range(1024))
+    tail = " ".join(f"w{k}" for k in range(12))
+    other = thue.translate(str.maketrans("ab", "ba"))
+    docs = spark.createDataFrame([(1, f"{thue} {tail}"), (2, f"{other} {tail}"), (3, f"x {thue} {tail} y")], "doc_id long, text string")
+    assert {r.doc_id: r.n_removed for r in ss.dedup_substrings(docs).collect()} == {1: 0, 2: 0, 3: 13}
+
+
+@pytest.mark.parametrize("group", [3, 20])
+def test_no_group_exceeds_its_bound(spark, group):
+    rng = random.Random(3)
+    made = [["a", "b", "c", "d", *rng.choices("xyz", k=3), *rng.choices("pq", k=6)] for _ in range(300)] + [["same"] * 13] * 60
+    made = [(" ".join(w), k, k, b"0000") for k, w in enumerate(made)]
+    every = spark.createDataFrame(made, "suffix string, doc long, row long, at binary")
+    rest, many = ss.grouped(every, group)
+    assert max(r["count"] for r in rest.groupBy("prefix").count().collect()) <= group
+    assert {(r.suffix, r.least) for r in many.collect()} >= {("same " * 12 + "same", 300)}
+    assert rest.count() + many.count() == len(made)
+
+
+def test_the_tree_of_a_group():
+    rng = random.Random(1)
+    made = sorted([" ".join(rng.choices(["a", "b", "é"], k=13)) for _ in range(500)] + ["z " * 12 + "z"] * 3)
+    split = [x.split() for x in made]
+    want = [0] + [next((i for i in range(13) if a[i] != b[i]), 13) for a, b in zip(split, split[1:])]
+    got = ss.shared_words(pa.array(made))
+    assert got.tolist() == want
+    for depth in (1, 4, 13):
+        names = [tuple(w[:depth]) for w in split]
+        assert ss.nodes(got, depth).tolist() == [sorted(set(names)).index(n) for n in names]
 
 
 def test_empty(spark):
     assert ss.dedup_substrings(spark.createDataFrame([], "doc_id long, text string")).collect() == []
 
 
-@pytest.mark.parametrize("frequent", [1, 3, 100])
-def test_shared_anchors_over_batches(frequent):
+def test_shared_anchors_over_batches():
     rng = np.random.default_rng(6)
-    anchor = np.sort(rng.integers(0, 60, 300) * 2 + 0 * (np.arange(300) < 100))
+    anchor = np.sort(rng.integers(0, 200, 300))
+    known = rng.random(300) < 0.1
     count = np.bincount(anchor, minlength=200)
     for size in (1, 7, 300):
-        state, got = ss._Shared(frequent), []
-        for i in range(0, 300, size):
-            got.append(state.read(anchor[i : i + size], np.arange(300)[i : i + size], False))
-        got.append(state.read(anchor[:0], anchor[:0], True))
-        pairs = [p for b in got for p in zip(b.column("anchor").to_pylist(), b.column("doc").to_pylist())]
-        assert pairs == [(int(a) | int(count[a] > frequent), i) for i, a in enumerate(anchor) if count[a] > 1]
+        batches = [pa.RecordBatch.from_arrays([pa.array(x[i : i + size]) for x in (anchor, anchor, np.arange(300), known)], schema=ss._ANCHORS) for i in range(0, 300, size)]
+        got = []
+        for b in ss._shared(iter(batches)):
+            for doc, packed in zip(b.column("doc").to_pylist(), b.column("anchors").to_pylist()):
+                got += [(int(a), doc) for a in np.frombuffer(packed, np.int64)]
+        assert sorted(got) == [(int(a), i) for i, a in enumerate(anchor) if count[a] > 1 or known[i]]
