@@ -1,17 +1,19 @@
 """Substring dedup by prefix-partitioned suffix trees.
 
-A suffix starts at each word of a document and matters as far as WINDOW words: two documents share a passage if two of
-their suffixes agree so far. Documents of the same words in the same order are one document, the smallest. A filter
-then leaves out suffixes that cannot agree with any other: each window has an anchor, the least hash of its six-word
-sequences, so that equal windows have equal anchors, and one whose anchor no second document holds is unique. Hashes
-only filter and deal; what repeats is decided by the words themselves.
-
-The suffixes left are counted by their first words. A prefix of LENGTHS[0] words with more than GROUP suffixes is cut
-into longer ones, again and again, so that each prefix names a group that fits in memory. A group's suffixes in order,
-with the number of words that each shares with the one before, are its suffix tree: a run of them that share a number
-of words is an internal node of that depth. The nodes of depth WINDOW are the repeated passages; their leaves beyond
-the smallest document lose them, and the runs of what a document loses are its maximal repeats. A whole window of more
-than GROUP leaves is one node already, and needs a grouped minimum only.
+A suffix starts at a word of a document; two documents share a passage if windows of WINDOW words agree. Documents of
+the same words in the same order are one document, the smallest. Suffixes are sampled: each window has an anchor, the
+least hash of its six-word sequences and the first of equals, so that equal windows have equal anchors at the same
+place. Only suffixes that start at an anchor are kept, each with the words before it that a window around the anchor
+may hold, and only if a second document has the anchor. Hashes sample, filter and deal; what repeats is decided by the
+words themselves.
+
+The suffixes left are counted by their first words. A prefix names a group that fits in memory: GROUP suffixes at most.
+A group's suffixes in order, with the number of words that each shares with the one before, are its suffix tree: a run
+of them that share ``d`` words is an internal node of depth ``d``. The leaves of a node that also share ``WINDOW - d``
+words before the anchor hold one repeated window; those beyond the smallest document lose it, and the runs of what a
+document loses are its maximal repeats. Under a prefix of more than GROUP suffixes, all windows become suffixes of their
+own and their prefixes longer, again and again; a whole window that more than GROUP of them hold is one node already
+and needs a grouped minimum only.
 """
 
 from __future__ import annotations
@@ -31,12 +33,12 @@ from .rolling import Powers, Rolled, mixed
 #: Words of a window and of an anchor.
 WINDOW = 13
 ANCHOR = 6
-#: Words of a group's prefix, the shortest first; the last is a whole window.
-LENGTHS = (4, 7, 10, WINDOW)
+#: Words of the prefix of a group of windows, the shortest first; the last is a whole window.
+LENGTHS = (ANCHOR + 1, 10, WINDOW)
 #: Suffixes of a group at most.
-GROUP = 1 << 17
-#: Suffixes of neighbouring documents that a task looks at together before it gives their leaves.
-TOGETHER = 1 << 18
+GROUP = 1 << 16
+#: Suffixes of neighbouring documents from which a task makes leaves together, about.
+TOGETHER = 1 << 16
 
 
 def _digest(words: list[bytes]) -> bytes:
@@ -63,15 +65,19 @@ def _digests(rows: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
 
 def copies(rows: DataFrame) -> DataFrame:
-    """``(doc, digest)`` of the rows whose sequence of words a smaller document has too; shorter ones than a window aside."""
+    """``(doc, digests)``, a row a document: the sequences of words that a smaller document has too, shorter ones than a
+    window aside."""
     every = saved(rows.mapInArrow(_digests, _COPIES), "word-digests")
     least = every.groupBy("digest").agg(F.min("doc").alias("least"), F.max("doc").alias("most")).where("least < most")
-    return saved(spread_join(every, least.select("digest", "least"), "digest", "doc").where("doc > least").select("doc", "digest").distinct(), "word-copies")
+    later = spread_join(every, least.select("digest", "least"), "digest", "doc").where("doc > least")
+    out = saved(later.groupBy("doc").agg(F.collect_set("digest").alias("digests")), "word-copies")
+    dropped(every)
+    return out
 
 
-def _anchors(rolled: Rolled) -> np.ndarray:
-    """The anchor of each window."""
-    least, wide, whole = rolled.grams(ANCHOR), 1, WINDOW - ANCHOR + 1
+def _anchors(grams: np.ndarray) -> np.ndarray:
+    """The anchor of each window, from the hashes of the sequences of ANCHOR words."""
+    least, wide, whole = grams, 1, WINDOW - ANCHOR + 1
     while 2 * wide <= whole:
         least, wide = np.minimum(least[:-wide], least[wide:]), 2 * wide
     if wide < whole:
@@ -79,6 +85,14 @@ def _anchors(rolled: Rolled) -> np.ndarray:
     return least
 
 
+def _places(grams: np.ndarray, least: np.ndarray) -> np.ndarray:
+    """Where the anchor of each window first stands."""
+    at = np.zeros(len(least), np.int64)
+    for k in range(WINDOW - ANCHOR, -1, -1):
+        at[grams[k : k + len(least)] == least] = k
+    return at + np.arange(len(least))
+
+
 def _runs(x: np.ndarray) -> np.ndarray:
     """Whether each element differs from the one before."""
     return np.concatenate([[True], x[1:] != x[:-1]]) if len(x) else np.zeros(0, bool)
@@ -87,31 +101,27 @@ def _runs(x: np.ndarray) -> np.ndarray:
 _ANCHORS = pa.schema([("key", pa.int64()), ("anchor", pa.int64()), ("doc", pa.int64()), ("shared", pa.bool_())])
 
 
-def _all_anchors(copied: str):
+def _all_anchors(rows: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """An anchor that several documents of a batch hold is shared: one row goes to where it is compared, others anywhere."""
-
-    def run(rows: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        powers = Powers()
-        for batch in rows:
-            found, docs = [np.zeros(0, np.uint64)], [np.zeros(0, np.int64)]
-            for doc, text, drop in zip(batch.column("doc_id").to_pylist(), utf8(batch.column("text")), batch.column(copied).to_pylist()):
-                words = (text or b"").split()
-                if len(words) >= WINDOW and not (drop and _digest(words) in drop):
-                    found.append(np.unique(_anchors(Rolled(words, powers))))
-                    docs.append(np.full(len(found[-1]), doc))
-            anchor, doc = np.concatenate(found), np.concatenate(docs)
-            by = np.lexsort((doc, anchor))
-            anchor, doc = anchor[by], doc[by]
-            first = _runs(anchor)
-            start = np.flatnonzero(first)
-            size = np.diff(np.append(start, len(anchor)))
-            several = np.repeat(doc[start + size - 1] != doc[start], size)
-            key = np.where(first, anchor, mixed(doc.view(np.uint64)))
-            keep = first | several
-            columns = (key.view(np.int64), anchor.view(np.int64), doc, several)
-            yield pa.RecordBatch.from_arrays([pa.array(c[keep]) for c in columns], schema=_ANCHORS)
-
-    return run
+    powers = Powers()
+    for batch in rows:
+        found, docs = [np.zeros(0, np.uint64)], [np.zeros(0, np.int64)]
+        for doc, text, drop in zip(batch.column("doc_id").to_pylist(), utf8(batch.column("text")), batch.column("digests").to_pylist()):
+            words = (text or b"").split()
+            if len(words) >= WINDOW and not (drop and _digest(words) in drop):
+                found.append(np.unique(_anchors(Rolled(words, powers).grams(ANCHOR))))
+                docs.append(np.full(len(found[-1]), doc))
+        anchor, doc = np.concatenate(found), np.concatenate(docs)
+        by = np.lexsort((doc, anchor))
+        anchor, doc = anchor[by], doc[by]
+        first = _runs(anchor)
+        start = np.flatnonzero(first)
+        size = np.diff(np.append(start, len(anchor)))
+        several = np.repeat(doc[start + size - 1] != doc[start], size)
+        key = np.where(first, anchor, mixed(doc.view(np.uint64)))
+        keep = first | several
+        columns = (key.view(np.int64), anchor.view(np.int64), doc, several)
+        yield pa.RecordBatch.from_arrays([pa.array(c[keep]) for c in columns], schema=_ANCHORS)
 
 
 _SHARED = pa.schema([("doc", pa.int64()), ("anchors", pa.binary())])
@@ -151,76 +161,97 @@ def _shared(rows: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         yield pa.RecordBatch.from_arrays([pa.array(docs), pa.array(packed, pa.binary())], schema=_SHARED)
 
 
-#: A leaf: the words of a suffix, its document and row, and where it starts there, as 32-bit numbers. Without words: the
-#: starts of suffixes that a smaller document of the same task has.
-_LEAVES = pa.schema([("suffix", pa.string()), ("doc", pa.int64()), ("row", pa.int64()), ("at", pa.binary())])
-_LEAF = "suffix string, doc long, row long, at binary"
+#: Words before an anchor that a window around it may hold.
+BEFORE = WINDOW - ANCHOR
+#: A leaf: the words of a suffix, with a space after each, and those before it; its document and row, and where it
+#: starts there, as 32-bit numbers. Without words: where windows start that a smaller document of the same task has.
+_LEAVES = pa.schema([("suffix", pa.string()), ("left", pa.string()), ("doc", pa.int64()), ("row", pa.int64()), ("at", pa.binary())])
+_LEAF = "suffix string, left string, doc long, row long, at binary"
 _LOST = pa.schema([("doc", pa.int64()), ("row", pa.int64()), ("at", pa.binary())])
 
 
-def _settled(suffix: list[bytes], doc: np.ndarray, row: np.ndarray, at: np.ndarray) -> pa.RecordBatch:
-    """The leaves of some suffixes: of equal ones those of the smallest document, of each row one with all its starts."""
-    seen: dict[bytes, int] = {}
-    name = np.fromiter(map(seen.setdefault, suffix, range(len(suffix))), np.int64, len(suffix))
-    by = np.lexsort((at, row, doc, name))
-    name, doc, row, at = name[by], doc[by], row[by], at[by]
-    first = _runs(name)
-    least = doc[np.maximum.accumulate(np.where(first, np.arange(len(name)), 0))]
-    leaf = doc == least
-    start = np.flatnonzero((first | _runs(row) | _runs(doc)) & leaf)
-    cuts = [x.tobytes() for x in np.split(at[leaf], np.cumsum(leaf)[start][1:] - 1)] if len(start) else []
-    out = [[suffix[k] for k in name[start]], doc[start], row[start], cuts]
-    doc, row, at = doc[~leaf], row[~leaf], at[~leaf]
+def _by_row(doc: np.ndarray, row: np.ndarray, at: np.ndarray) -> tuple[np.ndarray, np.ndarray, list[bytes]]:
+    """The starts of each row of a document, one after the other."""
     by = np.lexsort((at, row, doc))
     doc, row, at = doc[by], row[by], at[by]
-    start = np.flatnonzero(_runs(doc) | _runs(row))
-    rest = [x.tobytes() for x in np.split(at, start[1:])] if len(start) else []
-    # In the order of the documents, so that a table of leaves holds overlapping texts side by side.
-    by = np.argsort(out[1], kind="stable")
-    text = pa.array(out[0], pa.binary()).cast(pa.string()).take(pa.array(by))
-    ends = [pa.array(np.concatenate([a[by], b])) for a, b in ((out[1], doc[start]), (out[2], row[start]))]
-    return pa.RecordBatch.from_arrays([pa.concat_arrays([text, pa.nulls(len(start), pa.string())]), *ends, pa.array([cuts[k] for k in by] + rest, pa.binary())], schema=_LEAVES)
+    first = np.flatnonzero(_runs(doc) | _runs(row))
+    return doc[first], row[first], [x.astype(np.int32).tobytes() for x in np.split(at, first[1:])] if len(first) else []
+
+
+class _Together:
+    """The suffixes of neighbouring documents, from which their leaves are made."""
+
+    def __init__(self):
+        self.words: list[bytes] = []  # of a suffix, with those before it
+        self.parts: list[tuple[np.ndarray, ...]] = []
+
+    def add(self, doc: int, row: int, joined: bytes, rolled: Rolled, at: np.ndarray) -> None:
+        n = len(rolled.ends)
+        before, after = np.minimum(at, BEFORE), np.minimum(n - at, WINDOW)
+        begin, cut, end = rolled.starts[at - before], rolled.starts[at], rolled.ends[at + after - 1]
+        self.words += map(joined.__getitem__, map(slice, begin.tolist(), end.tolist()))
+        same = np.full(len(at), 1, np.int64)
+        self.parts.append((doc * same, row * same, at, before, after, cut - begin))
+
+    def given(self) -> pa.RecordBatch:
+        """Of suffixes with equal words all around, those of the smallest document are a leaf for each of its rows."""
+        doc, row, at, before, after, cut = (np.concatenate(x) for x in zip(*self.parts)) if self.parts else [np.zeros(0, np.int64)] * 6
+        seen: dict[tuple[int, bytes], int] = {}
+        name = np.fromiter(map(seen.setdefault, zip(before.tolist(), self.words), range(len(at))), np.int64, len(at))
+        by = np.lexsort((at, row, doc, name))
+        name, doc, row, at, before, after = name[by], doc[by], row[by], at[by], before[by], after[by]
+        first = _runs(name)
+        leaf = doc == doc[np.maximum.accumulate(np.where(first, np.arange(len(name)), 0))]
+        start = (first | _runs(row) | _runs(doc))[leaf]
+        own = np.flatnonzero(leaf)[start]
+        cuts = np.split(at[leaf].astype(np.int32), np.flatnonzero(start)[1:]) if len(own) else []
+        # In the order of the documents, so that a table of leaves holds overlapping texts side by side.
+        by = np.lexsort((at[own], doc[own]))
+        own, cuts = own[by], [cuts[k].tobytes() for k in by]
+        texts = [self.words[k] for k in name[own]]
+        ends = cut[name[own]].tolist()
+        lost = [np.zeros((3, 0), np.int64)]
+        for l in range(BEFORE + 1):
+            hit = ~leaf & (before >= l) & (after >= WINDOW - l)
+            lost.append(np.stack([doc[hit], row[hit], at[hit] - l]))
+        docs, rows, rest = _by_row(*np.concatenate(lost, axis=1))
+        none = pa.nulls(len(docs), pa.string())
+        columns = [
+            pa.concat_arrays([pa.array([t[e:] + b" " for t, e in zip(texts, ends)], pa.binary()).cast(pa.string()), none]),
+            pa.concat_arrays([pa.array([t[: max(0, e - 1)] for t, e in zip(texts, ends)], pa.binary()).cast(pa.string()), none]),
+            pa.array(np.concatenate([doc[own], docs])), pa.array(np.concatenate([row[own], rows])), pa.array(cuts + rest, pa.binary()),
+        ]
+        self.words, self.parts = [], []
+        return pa.RecordBatch.from_arrays(columns, schema=_LEAVES)
 
 
 def _leaves(together: int):
     def run(rows: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        powers = Powers()
-        suffix: list[bytes] = []
-        parts: list[tuple] = []
-
-        def given() -> pa.RecordBatch:
-            nonlocal suffix, parts
-            doc, row, at = (np.concatenate(x) for x in zip(*parts)) if parts else (np.zeros(0, np.int64), np.zeros(0, np.int64), np.zeros(0, np.int32))
-            out, suffix, parts = _settled(suffix, doc, row, at), [], []
-            return out
-
+        powers, held = Powers(), _Together()
         for batch in rows:
-            for doc, text, anchors, drop in zip(*(batch.column("doc_id").to_pylist(), utf8(batch.column("text")), batch.column("_anchors").to_pylist(), batch.column("_copied").to_pylist())):
+            for doc, text, anchors, drop in zip(batch.column("doc_id").to_pylist(), utf8(batch.column("text")), batch.column("_anchors").to_pylist(), batch.column("digests").to_pylist()):
                 words = (text or b"").split() if anchors else []
-                if len(words) < WINDOW or drop and _digest(words) in drop:
+                digest = _digest(words)
+                if len(words) < WINDOW or drop and digest in drop:
                     continue
                 rolled = Rolled(words, powers)
-                shared = np.sort(np.frombuffer(b"".join(anchors), np.uint64))
-                own = _anchors(rolled)
-                held = np.flatnonzero(shared[np.minimum(np.searchsorted(shared, own), len(shared) - 1)] == own)
-                joined, row = b" ".join(words), _row_of(_digest(words))
-                for i in range(0, len(held), together):
-                    at = held[i : i + together]
-                    ends = rolled.ends[at + WINDOW - 1]
-                    suffix += map(joined.__getitem__, map(slice, rolled.starts[at].tolist(), ends.tolist()))
-                    parts.append((np.full(len(at), doc, np.int64), np.full(len(at), row, np.int64), at.astype(np.int32)))
-                    if len(suffix) >= together:
-                        yield given()
-        yield given()
+                grams = rolled.grams(ANCHOR)
+                own, shared = _anchors(grams), np.sort(np.frombuffer(b"".join(anchors), np.uint64))
+                is_shared = shared[np.minimum(np.searchsorted(shared, own), len(shared) - 1)] == own
+                places, joined = np.unique(_places(grams, own)[is_shared]), b" ".join(words)
+                for i in range(0, len(places), together):
+                    held.add(doc, _row_of(digest), joined, rolled, places[i : i + together])
+                    if len(held.words) >= together:
+                        yield held.given()
+        yield held.given()
 
     return run
 
 
 def leaves(docs: DataFrame, copied: DataFrame, together: int = TOGETHER) -> DataFrame:
-    """The suffixes ``(suffix, doc, row, at)`` of ``docs(doc_id, text)`` that may repeat, as a saved table."""
-    drop = copied.groupBy("doc").agg(F.collect_list("digest").alias("_copied"))
-    rows = docs.where("doc_id is not null").join(drop, F.col("doc_id") == drop["doc"], "left").select("doc_id", "text", "_copied")
-    dealt = rows.mapInArrow(_all_anchors("_copied"), "key long, anchor long, doc long, shared boolean").repartition("key").sortWithinPartitions("key", "anchor")
+    """The sampled suffixes of ``docs(doc_id, text)`` that may repeat, as a saved table of leaves."""
+    rows = docs.where("doc_id is not null").join(copied, F.col("doc_id") == copied["doc"], "left").select("doc_id", "text", "digests")
+    dealt = rows.mapInArrow(_all_anchors, "key long, anchor long, doc long, shared boolean").repartition("key").sortWithinPartitions("key", "anchor")
     shared = saved(dealt.mapInArrow(_shared, "doc long, anchors binary"), "shared-anchors")
     held = shared.groupBy(F.col("doc").alias("_doc")).agg(F.collect_list("anchors").alias("_anchors"))
     both = rows.join(held, rows["doc_id"] == held["_doc"])
@@ -233,35 +264,48 @@ def _prefix(length: int) -> Column:
     return F.xxhash64(F.lit(length), F.substring_index("suffix", " ", length))
 
 
-def grouped(suffixes: DataFrame, group: int = GROUP) -> tuple[DataFrame, DataFrame | None]:
-    """The suffixes with the ``prefix`` that names their group, of ``group`` rows at most, and those of whole windows
-    that more have, with the smallest document in ``least``."""
-    prefix, rest, out = _prefix(LENGTHS[0]), suffixes, suffixes
-    for length, longer in zip(LENGTHS, (*LENGTHS[1:], None)):
-        last = longer is None
-        by, also = (["suffix"], [F.min("doc").alias("least")]) if last else ([_prefix(length).alias("_p")], [])
-        many = saved(rest.groupBy(*by).agg(F.count(F.lit(1)).alias("_n"), *also).where(F.col("_n") > group), "prefixes")
+def grouped(suffixes: DataFrame, lengths: tuple[int, ...], group: int = GROUP) -> tuple[DataFrame, DataFrame | None]:
+    """The suffixes with the ``prefix`` that names their group, and those under the last length that more than ``group`` have.
+
+    The first word counts that a prefix may have are ``lengths``; the shortest with ``group`` suffixes at most is taken.
+    """
+    prefix, rest, out, many = _prefix(lengths[0]), suffixes, suffixes, None
+    for length, longer in zip(lengths, (*lengths[1:], None)):
+        counts = rest.groupBy(_prefix(length).alias("_p")).agg(F.count(F.lit(1)).alias("_n")).where(F.col("_n") > group)
+        many = saved(counts.select("_p"), "prefixes")
         if many.isEmpty():
-            return out.withColumn("prefix", prefix), None
-        if last:
-            break
+            dropped(many)
+            return out.withColumn("prefix", prefix).drop("_over"), None
         # Of the suffixes under such a prefix, the next longer one counts.
-        name = f"_m{length}"
-        out = out.withColumn("_p", _prefix(length)).join(many.select("_p", F.lit(True).alias(name)), "_p", "left").drop("_p")
-        rest = out.where(name)
-        prefix = F.when(F.col(name), _prefix(longer)).otherwise(prefix)
-    out = out.withColumn("prefix", prefix)
-    held = many.select("suffix", "least")
-    return out.join(held.select("suffix"), "suffix", "left_anti"), spread_join(suffixes, held, "suffix", "doc")
-
-
-def shared_words(suffix: pa.Array) -> np.ndarray:
-    """How many words each of some sorted suffixes of WINDOW words shares with the one before, from the start."""
-    words = pc.split_pattern(suffix, " ")
-    codes = words.flatten().dictionary_encode().indices.to_numpy(zero_copy_only=False).reshape(len(suffix), -1)
+        out = out.drop("_over").withColumn("_p", _prefix(length)).join(many.withColumn("_over", F.lit(True)), "_p", "left").drop("_p")
+        if longer is not None:
+            prefix, rest = F.when(F.col("_over"), _prefix(longer)).otherwise(prefix), out.where("_over")
+            out = out.withColumn("_next", prefix)
+            prefix = F.col("_next")
+    over = out.where("_over").drop("_over", "_next")
+    return out.where("_over is null").withColumn("prefix", prefix).drop("_over", "_next"), over
+
+
+def _codes(texts: pa.Array, width: int, backwards: bool, words: dict) -> np.ndarray:
+    """A number for each word of each text, up to ``width``, from the first or from the last; other than all for none."""
+    split = pc.split_pattern(texts, " ")
+    flat = split.flatten().dictionary_encode()
+    ids = np.array([words.setdefault(w, len(words)) for w in flat.dictionary.to_pylist()], np.int64)
+    flat = ids[flat.indices.to_numpy(zero_copy_only=False)] if len(ids) else np.zeros(0, np.int64)
+    ends = np.concatenate([[0], np.cumsum(pc.list_value_length(split).to_numpy(zero_copy_only=False))]).astype(np.int64)
+    out = np.repeat(-1 - np.arange(len(texts), dtype=np.int64)[:, None], width, axis=1)
+    for k in range(width):
+        at = ends[1:] - 1 - k if backwards else ends[:-1] + k
+        held = (at >= ends[:-1]) & (at < ends[1:])
+        out[held, k] = flat[at[held]]
+    return out
+
+
+def shared_words(codes: np.ndarray) -> np.ndarray:
+    """How many words each of some sorted suffixes shares with the one before, from the start."""
     differ = codes[1:] != codes[:-1]
     lcp = np.where(differ.any(axis=1), differ.argmax(axis=1), codes.shape[1]) if len(codes) else np.zeros(0, int)
-    return np.concatenate([[0], lcp])[: len(suffix)]
+    return np.concatenate([[0], lcp])[: len(codes)]
 
 
 def nodes(lcp: np.ndarray, depth: int) -> np.ndarray:
@@ -269,38 +313,103 @@ def nodes(lcp: np.ndarray, depth: int) -> np.ndarray:
     return np.cumsum(lcp < depth) - 1
 
 
-def _trees(rows: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Suffixes sorted by prefix, words and document to the starts that documents lose.
+def _tree(suffix: pa.Array, left: pa.Array, doc: np.ndarray) -> list[np.ndarray]:
+    """For 0 to BEFORE words before the anchor, whether each leaf's window from there on is in a smaller document.
 
-    A batch may end within a node, so that its words and smallest document are carried over.
+    Suffixes come in order, whole groups of them.
     """
-    words, least = None, 0
+    words: dict[str, int] = {"": -(1 << 40)}
+    right = _codes(suffix, WINDOW, False, words)
+    right = np.where(right == words[""], -1 - np.arange(len(doc))[:, None], right)  # what follows the last space
+    back = _codes(left, BEFORE, True, words)
+    back = np.where(back == words[""], -1 - np.arange(len(doc))[:, None], back)  # of no words at all
+    lcp, name, lost = shared_words(right), np.zeros(len(doc), np.int64), []
+    for l in range(BEFORE + 1):
+        depth = WINDOW - l
+        if l:
+            _, word = np.unique(back[:, l - 1], return_inverse=True)
+            _, name = np.unique(name * (int(word.max()) + 1) + word, return_inverse=True)
+        fits = np.flatnonzero((right[:, depth - 1] >= 0) & (back[:, l - 1] >= 0 if l else True))
+        window = nodes(lcp, depth)[fits] * (int(name.max()) + 1) + name[fits] if len(fits) else fits
+        _, window = np.unique(window, return_inverse=True)
+        least = np.full(len(fits), np.iinfo(np.int64).max)
+        np.minimum.at(least, window, doc[fits])
+        out = np.zeros(len(doc), bool)
+        out[fits] = doc[fits] > least[window]
+        lost.append(out)
+    return lost
+
+
+def _trees(rows: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Leaves sorted by prefix and words to the starts of windows that documents lose; a group is held until it is whole."""
+    held: list[pa.RecordBatch] = []
+
+    def given(group: pa.Table) -> pa.RecordBatch:
+        doc, row = numbers(group.column("doc").combine_chunks()), numbers(group.column("row").combine_chunks())
+        lost = _tree(group.column("suffix").combine_chunks(), group.column("left").combine_chunks(), doc)
+        at = list(utf8(group.column("at")))
+        count = np.array([len(x) // 4 for x in at], np.int64)
+        flat = np.frombuffer(b"".join(at), np.int32)
+        parts = [np.zeros((3, 0), np.int64)]
+        for l, gone in enumerate(lost):
+            gone = np.repeat(gone, count)
+            parts.append(np.stack([np.repeat(doc, count)[gone], np.repeat(row, count)[gone], flat[gone] - l]))
+        docs, rows, starts = _by_row(*np.concatenate(parts, axis=1))
+        return pa.RecordBatch.from_arrays([pa.array(docs), pa.array(rows), pa.array(starts, pa.binary())], schema=_LOST)
+
     for batch in rows:
-        if not batch.num_rows:
+        prefix = numbers(batch.column("prefix"))
+        if not len(prefix):
             continue
-        suffix, doc = batch.column("suffix"), numbers(batch.column("doc"))
-        node = nodes(shared_words(suffix), WINDOW)
-        first = np.flatnonzero(_runs(node))
-        smallest = doc[first]
-        if suffix[0].as_py() == words:
-            smallest[0] = least
-        words, least = suffix[len(suffix) - 1].as_py(), int(smallest[-1])
-        lost = pa.array(doc > smallest[node])
-        yield pa.RecordBatch.from_arrays([batch.column(c).filter(lost) for c in ("doc", "row", "at")], schema=_LOST)
+        last = numbers(held[-1].column("prefix"))[-1] if held else None
+        change = np.flatnonzero(prefix[1:] != prefix[:-1]) + 1
+        if held and prefix[0] != last:
+            yield given(pa.Table.from_batches(held))
+            held = []
+        if len(change):
+            yield given(pa.Table.from_batches([*held, batch.slice(0, change[-1])]))
+            held = []
+        held.append(batch.slice(change[-1] if len(change) else 0))
+    if held:
+        yield given(pa.Table.from_batches(held))
+
+
+def _windows(rows: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Leaves to all windows around their anchors, each a suffix without words before it."""
+    for batch in rows:
+        for suffix, left, doc, row, at in zip(*(batch.column(c).to_pylist() for c in _LEAVES.names)):
+            before, words = left.split(" ") if left else [], suffix.split(" ")[:-1]
+            starts, texts, cuts = np.frombuffer(at, np.int32), [], []
+            for l in range(len(before) + 1):
+                if len(words) >= WINDOW - l:
+                    texts.append(" ".join(before[len(before) - l :] + words[: WINDOW - l]) + " ")
+                    cuts.append((starts - l).tobytes())
+            n = len(texts)
+            yield pa.RecordBatch.from_arrays([pa.array(texts, pa.string()), pa.array([""] * n, pa.string()), pa.array([doc] * n, pa.int64()), pa.array([row] * n, pa.int64()), pa.array(cuts, pa.binary())], schema=_LEAVES)
 
 
 _LOSS = "doc long, row long, at binary"
 
 
+def _in_groups(leaves: DataFrame) -> DataFrame:
+    dealt = leaves.repartition("prefix").sortWithinPartitions("prefix", "suffix").select("prefix", *_LEAVES.names)
+    return dealt.mapInArrow(_trees, _LOSS)
+
+
 def lost_starts(docs: DataFrame, copied: DataFrame, group: int = GROUP, together: int = TOGETHER) -> DataFrame:
-    """``(doc, row, at)``: where suffixes of a row start that a smaller document has too, in pieces; a saved table."""
+    """``(doc, row, at)``: where windows of a row start that a smaller document has too, in pieces; a saved table."""
     every = leaves(docs, copied, together)
-    rest, many = grouped(every.where("suffix is not null"), group)
-    dealt = rest.select("prefix", "suffix", "doc", "row", "at").repartition("prefix").sortWithinPartitions("prefix", "suffix", "doc")
-    lost = dealt.select("suffix", "doc", "row", "at").mapInArrow(_trees, _LOSS).unionByName(every.where("suffix is null").select("doc", "row", "at"))
-    if many is not None:
-        lost = lost.unionByName(many.where("doc > least").select("doc", "row", "at"))
-    out = saved(lost, "lost-suffixes")
+    sampled, over = grouped(every.where("suffix is not null"), (ANCHOR,), group)
+    lost = _in_groups(sampled).unionByName(every.where("suffix is null").select("doc", "row", "at"))
+    if over is not None:
+        windows = saved(over.mapInArrow(_windows, _LEAF), "windows")
+        few, many = grouped(windows, LENGTHS, group)
+        lost = lost.unionByName(_in_groups(few))
+        if many is not None:
+            many = saved(many, "frequent-windows")
+            least = many.groupBy("suffix").agg(F.min("doc").alias("least"))
+            lost = lost.unionByName(spread_join(many, least, "suffix", "doc").where("doc > least").select("doc", "row", "at"))
+    out = saved(lost, "lost-windows")
     dropped(every)
     return out
 
@@ -308,7 +417,7 @@ def lost_starts(docs: DataFrame, copied: DataFrame, group: int = GROUP, together
 def _cut(rows: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for batch in rows:
         kept, total, lost, spans = [], [], [], []
-        for text, own, drop in zip(utf8(batch.column("text")), batch.column("_lost"), batch.column("_copied").to_pylist()):
+        for text, own, drop in zip(utf8(batch.column("text")), batch.column("_lost"), batch.column("digests").to_pylist()):
             words = (text or b"").split()
             total.append(len(words))
             gone = np.zeros(0, np.int64)
@@ -345,14 +454,13 @@ def dedup_substrings(docs: DataFrame, group: int = GROUP, together: int = TOGETH
     with a smaller doc_id, as given. A null, empty or blank text has no words; shorter ones than a window stay. A row
     without doc_id loses nothing and takes nothing away; rows that repeat a doc_id are one document, and are told apart
     by 64 bits of their words' hash, as are the texts of copies by 128. Long texts are looked at in pieces of
-    ``together`` windows. Other columns are not read.
+    ``together`` suffixes. Other columns are not read.
     """
     docs = docs.select(F.col("doc_id").cast("long"), F.col("text").cast("string"))
     copied = copies(docs.where("doc_id is not null"))
     lost = lost_starts(docs, copied, group, together)
     of = lost.groupBy(F.col("doc").alias("_doc")).agg(F.collect_list(F.struct("row", "at")).alias("_lost"))
-    drop = copied.groupBy(F.col("doc").alias("_of")).agg(F.collect_list("digest").alias("_copied"))
-    rows = docs.join(drop, docs["doc_id"] == drop["_of"], "left").join(of, docs["doc_id"] == of["_doc"], "left").select("doc_id", "text", "_copied", "_lost")
+    rows = docs.join(copied, docs["doc_id"] == copied["doc"], "left").join(of, docs["doc_id"] == of["_doc"], "left").select("doc_id", "text", "digests", "_lost")
     return rows.mapInArrow(_cut, "doc_id long, text string, n_words long, n_removed long, repeats array<struct<start: long, end: long>>")
 
 

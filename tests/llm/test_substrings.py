@@ -1,5 +1,5 @@
 import random
-from collections import defaultdict
+from collections import Counter, defaultdict
 
 import numpy as np
 import pyarrow as pa
@@ -41,7 +41,7 @@ def rows():
     return out
 
 
-@pytest.mark.parametrize("group,together", [(1, 7), (8, 1 << 18), (1 << 17, 100)])
+@pytest.mark.parametrize("group,together", [(1, 7), (8, 1 << 16), (1 << 16, 100)])
 def test_brute_force(spark, group, together):
     df = spark.createDataFrame([(*r, 1, "x") for r in rows()], "doc_id long, text string, doc long, prefix string").repartition(3)
     out = ss.dedup_substrings(df, group, together).collect()
@@ -62,25 +62,32 @@ def test_words_whose_polynomial_hashes_collide(spark):
 @pytest.mark.parametrize("group", [3, 20])
 def test_no_group_exceeds_its_bound(spark, group):
     rng = random.Random(3)
-    made = [["a", "b", "c", "d", *rng.choices("xyz", k=3), *rng.choices("pq", k=6)] for _ in range(300)] + [["same"] * 13] * 60
-    made = [(" ".join(w), k, k, b"0000") for k, w in enumerate(made)]
-    every = spark.createDataFrame(made, "suffix string, doc long, row long, at binary")
-    rest, many = ss.grouped(every, group)
-    assert max(r["count"] for r in rest.groupBy("prefix").count().collect()) <= group
-    assert {(r.suffix, r.least) for r in many.collect()} >= {("same " * 12 + "same", 300)}
-    assert rest.count() + many.count() == len(made)
+    made = [["a", "b", "c", "d", "e", "f", *rng.choices("xyz", k=3), *rng.choices("pq", k=4)] for _ in range(300)] + [["same"] * 13] * 60
+    every = spark.createDataFrame([(" ".join(w) + " ", k) for k, w in enumerate(made)], "suffix string, doc long")
+    few, many = ss.grouped(every, ss.LENGTHS, group)
+    held = few.collect()
+    count = Counter(r.prefix for r in held)
+    assert max(count.values()) <= group and len({r.suffix.split(" ")[0] for r in held}) == 1
+    assert "same " * 13 in {r.suffix for r in many.collect()} and len(held) + many.count() == len(made)
+    names = defaultdict(set)
+    for r in held:
+        names[r.prefix].add(tuple(r.suffix.split()))
+    assert any(len(w) > 1 for w in names.values()) == (group == 20)  # a prefix of ten words, or whole windows
 
 
 def test_the_tree_of_a_group():
     rng = random.Random(1)
-    made = sorted([" ".join(rng.choices(["a", "b", "é"], k=13)) for _ in range(500)] + ["z " * 12 + "z"] * 3)
+    made = sorted([" ".join(rng.choices(["a", "b", "é"], k=13)) + " " for _ in range(500)] + ["z " * 13] * 3 + ["z " * 12, "a "])
     split = [x.split() for x in made]
-    want = [0] + [next((i for i in range(13) if a[i] != b[i]), 13) for a, b in zip(split, split[1:])]
-    got = ss.shared_words(pa.array(made))
+    want = [0] + [next((i for i in range(min(len(a), len(b))) if a[i] != b[i]), min(len(a), len(b))) for a, b in zip(split, split[1:])]
+    codes = ss._codes(pa.array([x[:-1] for x in made]), 13, False, {})
+    got = ss.shared_words(codes)
     assert got.tolist() == want
-    for depth in (1, 4, 13):
+    for depth in (1, 4, 12):
         names = [tuple(w[:depth]) for w in split]
-        assert ss.nodes(got, depth).tolist() == [sorted(set(names)).index(n) for n in names]
+        runs = [0] + [int(a != b) for a, b in zip(names, names[1:])]
+        whole = [k for k, w in enumerate(split) if len(w) >= depth]
+        assert [ss.nodes(got, depth)[k] == ss.nodes(got, depth)[k - 1] for k in whole if k and k - 1 in whole] == [not runs[k] for k in whole if k and k - 1 in whole]
 
 
 def test_empty(spark):
