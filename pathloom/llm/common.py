@@ -109,10 +109,6 @@ def fresh(columns: list[str], *names: str) -> list[str]:
     return out
 
 
-def shuffle_partitions(spark: SparkSession) -> int:
-    return int(spark.conf.get("spark.sql.shuffle.partitions"))
-
-
 def utf8(column: pa.Array) -> Iterator[bytes | None]:
     """The UTF-8 bytes of each string of an Arrow column, without a round trip over ``str``."""
     if isinstance(column, pa.ChunkedArray):

@@ -4,7 +4,7 @@ The 128-bit hashes of the lines that two or more documents hold are dealt to sha
 minimal perfect hash in levels of bit arrays (keys that collide on a level go to the next; a key's rank among the set
 bits is its index), which indexes arrays of fingerprints, document counts and smallest documents. Documents probe the
 arrays: their line hashes meet a copy of the shard's arrays, streamed past them, and the lines themselves are never
-joined. A line of one document alone is in no shard and its fingerprint matches nothing.
+joined. A shard has as many copies as its probes need, so that those of a line in very many documents are dealt out. A line of one document alone is in no shard and its fingerprint matches nothing.
 """
 
 from __future__ import annotations
@@ -18,13 +18,13 @@ import xxhash
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import fresh, numbers, saved, shuffle_partitions, table, utf8
+from .common import SHARES, fresh, numbers, saved, table, utf8
 
 LEAST_CHARS = 10
 #: Line hashes in a shard, about.
 SHARD_KEYS = 1 << 16
-#: Copies of a shard, at least, over which the probes of a frequent line are dealt.
-COPIES = 16
+#: Probes, about, for each copy of a shard: a frequent line's are dealt over as many copies as it takes.
+COPY_PROBES = 1 << 16
 #: Bits of a level for each key.
 LOAD = 2
 
@@ -139,19 +139,31 @@ def _probe(rows: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
                 yield pa.RecordBatch.from_arrays([part.column(c).filter(pa.array(known)) for c in ("doc_id", "key")], schema=_HASHES)
 
 
-def lines_to_drop(docs: DataFrame) -> DataFrame:
+def copies_of(probes: DataFrame, shards: int, copy_probes: int = COPY_PROBES) -> tuple[int, DataFrame]:
+    """How many copies a shard has, and ``(shard, _copies)`` of those that have more for the probes of frequent lines.
+
+    More is for shards with over 1 / SHARES of all probes and twice the mean; there are SHARES of them at most.
+    """
+    total = probes.count()
+    usual = max(1, math.ceil(total / shards / copy_probes))
+    limit = max(2 * usual * copy_probes, total // SHARES)
+    n = probes.groupBy("shard").agg(F.count(F.lit(1)).alias("_n")).where(F.col("_n") > limit)
+    return usual, n.select("shard", F.ceil(F.col("_n") / copy_probes).cast("int").alias("_copies"))
+
+
+def lines_to_drop(docs: DataFrame, shard_keys: int = SHARD_KEYS, copy_probes: int = COPY_PROBES) -> DataFrame:
     """``(_doc, _keys)``: the hashes of the lines that a document loses."""
-    spark = docs.sparkSession
     text = docs.select(F.col("doc_id").cast("long"), F.col("text").cast("string"))
     hashes = saved(text.mapInArrow(_line_hashes, "doc_id long, key binary"), "line-hashes")
     shared = saved(shared_lines(hashes), "shared-lines")
-    shards = max(1, math.ceil(shared.count() / SHARD_KEYS))
-    copies = max(COPIES, math.ceil(2 * shuffle_partitions(spark) / shards))
+    shards = max(1, math.ceil(shared.count() / shard_keys))
     shard = F.pmod(F.xxhash64("key"), F.lit(shards)).cast("int").alias("shard")
-    index = shared.select(shard, "key", "n", "least").groupBy("shard").applyInArrow(_build, _SHARD)
-    index = index.withColumn("copy", F.explode(F.sequence(F.lit(0), F.lit(copies - 1))))
-    copy = F.pmod(F.xxhash64("doc_id"), F.lit(copies)).cast("int").alias("copy")
-    probes = hashes.select(shard, copy, "doc_id", "key")
+    probes = hashes.select(shard, "doc_id", "key")
+    usual, more = copies_of(probes, shards, copy_probes)
+    more, copies = F.broadcast(saved(more, "shard-copies")), F.coalesce("_copies", F.lit(usual))
+    index = shared.select(shard, "key", "n", "least").groupBy("shard").applyInArrow(_build, _SHARD).join(more, "shard", "left")
+    index = index.withColumn("copy", F.explode(F.sequence(F.lit(0), copies - 1))).drop("_copies")
+    probes = probes.join(more, "shard", "left").withColumn("copy", F.pmod(F.xxhash64("doc_id"), copies).cast("int")).drop("_copies")
     both = probes.unionByName(index, allowMissingColumns=True).repartition("shard", "copy")
     both = both.withColumn("kind", F.col("sizes").isNull()).sortWithinPartitions("shard", "copy", "kind")
     found = both.select("doc_id", "key", "sizes", "bits", "prints", "counts", "least").mapInArrow(_probe, "doc_id long, key binary")
@@ -181,7 +193,7 @@ def _strip(keys_name: str, kept_names: list[str]):
     return run
 
 
-def dedup_lines(docs: DataFrame) -> DataFrame:
+def dedup_lines(docs: DataFrame, shard_keys: int = SHARD_KEYS, copy_probes: int = COPY_PROBES) -> DataFrame:
     """``docs(doc_id, text, ...)`` with the kept text, and two columns at the end: lines before, and lines lost.
 
     They are named ``_lines`` and ``_lost``, with more underscores if docs has such columns. A line's key is the line
@@ -191,7 +203,7 @@ def dedup_lines(docs: DataFrame) -> DataFrame:
     a doc_id are one document. Other columns pass unchanged.
     """
     doc, keys, *ends = fresh(docs.columns, "_doc", "_keys", "_lines", "_lost")
-    drops = lines_to_drop(docs).withColumnsRenamed({"_doc": doc, "_keys": keys})
+    drops = lines_to_drop(docs, shard_keys, copy_probes).withColumnsRenamed({"_doc": doc, "_keys": keys})
     rows = docs.withColumn("text", F.col("text").cast("string"))
     kinds = ", ".join([f"`{f.name}` {f.dataType.simpleString()}" for f in rows.schema] + [f"{n} long" for n in ends])
     return rows.join(drops, rows["doc_id"] == drops[doc], "left").drop(doc).mapInArrow(_strip(keys, ends), kinds)

@@ -1,4 +1,7 @@
-"""Karp-Rabin hashes of word sequences over the bytes of a text, as array operations."""
+"""Karp-Rabin hashes of word sequences over the bytes of a text, as array operations.
+
+They are polynomials modulo 2 ** 64, of which different sequences made for it can be equal: callers compare the words.
+"""
 
 from __future__ import annotations
 
@@ -54,6 +57,11 @@ class Rolled:
         starts, ends = self.starts[: max(0, len(self.ends) - n + 1)], self.ends[n - 1 :]
         return mixed((self.sums[ends] - self.sums[starts]) * self.down[starts] + (ends - starts).astype(np.uint64))
 
+    def windows(self, at: np.ndarray, n: int) -> np.ndarray:
+        """The hashes of the ``n`` words from each of some starts."""
+        starts, ends = self.starts[at], self.ends[at + n - 1]
+        return mixed((self.sums[ends] - self.sums[starts]) * self.down[starts] + (ends - starts).astype(np.uint64))
+
 
 def sequence_hashes(words: list[bytes], n: int, powers: Powers) -> np.ndarray:
     return Rolled(words, powers).grams(n) if len(words) >= n else np.zeros(0, np.uint64)

@@ -1,4 +1,5 @@
 import random
+import time
 
 import numpy as np
 
@@ -36,6 +37,39 @@ def test_tiles_brute_force():
             assert dc.tiles(doc, item, least) == plain_tiles(doc, item, least)
 
 
+def test_tiles_of_long_repetitive_texts():
+    same, thue = [b"same"] * 200_000, [b"ab"[k.bit_count() % 2 :][:1] for k in range(4096)]
+    began = time.process_time()
+    assert dc.tiles(same, same[:500]) == [(0, 0, 500)]
+    assert dc.tiles(same, [b"same", b"x"] * 200) == []
+    assert dc.tiles(thue * 20, thue[100:700]) == [(100, 0, 600)]
+    got = dc.tiles(same[:1000] + [b"x"], same[:300] + [b"x"] + same[:300])
+    assert got == [(0, 301, 300), (700, 0, 301)][::-1]
+    assert time.process_time() - began < 60
+
+
+def test_pairs_with_few_common_seeds_are_not_tiled(spark, monkeypatch):
+    seen = []
+    saved = dc.saved
+
+    def count(df, what):
+        out = saved(df, what)
+        seen.append((what, out.count()))
+        return out
+
+    monkeypatch.setattr(dc, "saved", count)
+    phrase = "at the end of the day"
+    docs = [(k, f"document {k} says {phrase} and no more") for k in range(50)] + [(99, f"{phrase} we counted all the sheep in the green field again")]
+    items = [(k, f"{phrase} item {k} has {k} other words that nothing repeats") for k in range(40)] + [(77, docs[-1][1])]
+    d, b = spark.createDataFrame(docs, "doc_id long, text string"), spark.createDataFrame(items, "item_id long, text string")
+    got = [(r.doc_id, r.item_id) for r in dc.contaminated(d, b, passage=13).collect()]
+    assert got == [(99, 77)] and dict(seen)["benchmark-tiles"] == 1
+
+
+def test_filter_grows_with_the_seeds():
+    assert [dc.filter_bits(n) for n in (0, 10, 100_000, 1 << 40)] == [16, 16, 21, 27]
+
+
 def test_hashes_depend_on_the_words_alone():
     powers = Powers()
     x, y = [b"q", b"some", b"words", b"here"], [b"\xc3\xa9t\xc3\xa9", b"more", b"some", b"words", b"here"]
@@ -57,7 +91,7 @@ def test_documents(spark):
     items = [(1, ITEM), (2, None), (3, ""), (4, "three short words"), (1, ITEM), (5, "five words are long enough")]
     d = spark.createDataFrame([(i, t, "x", 1) for i, t in docs], "doc_id long, text string, words string, item_id long")
     b = spark.createDataFrame([(i, t, 1) for i, t in items], "item_id long, text string, doc_id long")
-    for bits in (24, 8):
+    for bits in (None, 24, 8):
         got = {r.doc_id: r for r in dc.contaminated(d, b, bits=bits).collect()}
         assert sorted(got) == [1, 2, 3, 8, 9, 10]
         assert {r.item_id for r in got.values()} == {1}

@@ -38,9 +38,9 @@ ROWS = [
 KIND = "doc_id long, text string, lang string, key string, least long"
 
 
-def result(spark, rows):
+def result(spark, rows, **more):
     df = spark.createDataFrame([(d, t, "en", "k", 1) for d, t in rows], KIND)
-    got = line_dedup.dedup_lines(df)
+    got = line_dedup.dedup_lines(df, **more)
     assert got.columns == [*df.columns, "_lines", "_lost"]
     return sorted(((r.doc_id, r._lines, r._lost, r.text) for r in got.collect()), key=str)
 
@@ -49,9 +49,15 @@ def test_brute_force(spark):
     assert result(spark, ROWS) == expected(ROWS)
 
 
-def test_many_shards(spark, monkeypatch):
-    monkeypatch.setattr(line_dedup, "SHARD_KEYS", 200)
-    assert result(spark, ROWS) == expected(ROWS)
+def test_many_shards_and_copies(spark):
+    frequent = [(100 + k, f"a very frequent line\nline of document {k}") for k in range(400)]
+    assert result(spark, ROWS + frequent, shard_keys=200, copy_probes=50) == expected(ROWS + frequent)
+
+
+def test_frequent_lines_get_more_copies(spark):
+    probes = spark.createDataFrame([(k % 8, k) for k in range(800)] + [(3, k) for k in range(5000)], "shard int, doc_id long")
+    usual, more = line_dedup.copies_of(probes, 8, 200)
+    assert usual == 4 and [tuple(r) for r in more.collect()] == [(3, 26)]
 
 
 def test_empty(spark):
