@@ -1,10 +1,11 @@
 """Embedding near-dedup by hierarchical navigable small-world graphs.
 
-Distinct vectors are dealt to shards of bounded size by a hash of their id. A task builds the graph of its shard, and
-every vector is streamed past every shard as a query, in blocks. A query's beam is doubled until its worst result lies
-under the threshold, so that a dense group is found whole; a block's starting beam is doubled until audited queries,
-compared with all vectors of the shard, reach the recall asked for. Found links are verified by cosine in double
-precision and joined up into components. Equal vectors are one node with a number of copies.
+Distinct vectors are dealt to shards of bounded size by a hash of their id. A task builds the graph of a shard, and
+graphs are written to a table once. All vectors are queries, in blocks; every block is asked of every shard, each such
+pair a piece of work of its own that reads one row of either table. A query's beam is doubled until its worst result
+lies under the threshold, so that a dense group is found whole; a block's starting beam is doubled until audited
+queries, compared with all vectors of the shard, reach the recall asked for. Found links are verified by cosine in
+double precision and joined up into components. Equal vectors are one node with a number of copies.
 """
 
 from __future__ import annotations
@@ -17,7 +18,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import components, numbers, saved, table
+from .common import arrow_rows, components, dropped, numbers, saved, setting, table
 
 COSINE = 0.9
 #: Vectors of a shard, about, and shards at least.
@@ -28,6 +29,8 @@ DEGREE = 16
 #: Beams: while building, and a query's first.
 BUILD_BEAM = 48
 BEAM = 32
+#: Queries of a block, which is asked of one shard at a time.
+BLOCK_ROWS = 1 << 12
 #: Queries at a time, those of them that are audited, and the part of their links that has to be found.
 BLOCK = 256
 AUDITED = 32
@@ -46,7 +49,11 @@ class Graph:
     Rows are renumbered by falling level, so that a layer holds the rows below its size and is built after those above.
     """
 
-    def __init__(self, x: np.ndarray, degree: int = DEGREE, seed: int = 0):
+    def __init__(self, x: np.ndarray, degree: int = DEGREE, seed: int = 0, made: tuple[np.ndarray, list[np.ndarray]] | None = None):
+        if made:
+            self.order, self.layers = made
+            self.x = np.ascontiguousarray(x[self.order])
+            return
         n = len(x)
         draw = np.random.default_rng(seed).random(n)
         level = np.minimum(np.floor(-np.log(np.maximum(draw, 1e-12)) / math.log(degree)), 8).astype(int)
@@ -240,69 +247,137 @@ class _Groups:
         return np.array(used)
 
 
+_BLOCKS = pa.schema([("dim", pa.int32()), ("ids", pa.binary()), ("copies", pa.binary()), ("units", pa.binary())])
+_GRAPHS = pa.schema([*_BLOCKS, ("rows_of", pa.binary()), ("degrees", pa.binary()), ("neighbours", pa.binary())])
 _LINKS = "u long, v long, links long"
 
 
+def _vectors(batch: pa.RecordBatch) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    flat = batch.column("embedding").flatten().to_numpy(zero_copy_only=False)
+    return numbers(batch.column("rep")), numbers(batch.column("copies")), _unit(flat.reshape(batch.num_rows, -1))
+
+
+def _row(schema: pa.Schema, dim: int, *arrays: np.ndarray) -> pa.RecordBatch:
+    return pa.RecordBatch.from_arrays([pa.array([dim], pa.int32()), *(pa.array([a.tobytes()], pa.binary()) for a in arrays)], schema=schema)
+
+
+def _blocks(size: int):
+    """Vectors to blocks of one length, ``size`` vectors at most."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held: dict[int, list[tuple[np.ndarray, ...]]] = {}
+        for batch in batches:
+            dims = numbers(batch.column("dim"))
+            for dim in np.unique(dims).tolist():
+                of = held.setdefault(dim, [])
+                of.append(_vectors(batch.filter(pa.array(dims == dim))))
+                while sum(len(x[0]) for x in of) >= size:
+                    whole = [np.concatenate(x) for x in zip(*of)]
+                    yield _row(_BLOCKS, dim, *(x[:size] for x in whole))
+                    of[:] = [tuple(x[size:] for x in whole)]
+        for dim, of in held.items():
+            whole = [np.concatenate(x) for x in zip(*of)]
+            if len(whole[0]):
+                yield _row(_BLOCKS, dim, *whole)
+
+    return run
+
+
+def _graphs(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Vectors sorted by shard to a graph for each."""
+    key: tuple[int, int] | None = None
+    held: list[tuple[np.ndarray, ...]] = []
+
+    def made() -> pa.RecordBatch:
+        ids, copies, units = map(np.concatenate, zip(*held))
+        graph = Graph(units.astype(np.float32))
+        shape = np.array([x.shape for x in graph.layers], np.int64)
+        return _row(_GRAPHS, key[0], ids, copies, units, graph.order.astype(np.int64), shape, np.concatenate([x.ravel() for x in graph.layers]))
+
+    for batch in batches:
+        dims, shards = numbers(batch.column("dim")), numbers(batch.column("shard"))
+        cut = np.flatnonzero((dims[1:] != dims[:-1]) | (shards[1:] != shards[:-1])) + 1
+        for a, b in zip([0, *cut], [*cut, batch.num_rows]):
+            if a == b:
+                continue
+            if held and key != (int(dims[a]), int(shards[a])):
+                yield made()
+                held = []
+            key = int(dims[a]), int(shards[a])
+            held.append(_vectors(batch.slice(a, b - a)))
+    if held:
+        yield made()
+
+
 def _search(least: float):
-    """Rows sorted by shard, its members before the queries, to verified links.
+    """Rows of a block beside a graph to verified links.
 
     A query gives one row for a shard with links: the smallest as ``v``, and the copies of all of them as ``links``. What
-    else it connects comes as rows without links, and only if the shard's rows weren't connected yet: the rows are
-    linear in the vectors however many links there are.
+    else it connects comes as rows without links, and only if the block hasn't connected the shard's rows yet: the rows
+    are linear in the vectors however many links there are.
     """
 
-    def made(u, v, links) -> pa.RecordBatch:
-        return pa.RecordBatch.from_arrays([pa.array(np.asarray(x, np.int64)) for x in (u, v, links)], names=["u", "v", "links"])
+    def links(u, v, n) -> pa.RecordBatch:
+        return pa.RecordBatch.from_arrays([pa.array(np.asarray(x, np.int64)) for x in (u, v, n)], names=["u", "v", "links"])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        shard, graph, beam = None, None, BEAM
-        members: list[tuple[np.ndarray, np.ndarray, np.ndarray]] = []
-        ids = copies = units = groups = None
         for batch in batches:
-            keys = np.stack([numbers(batch.column("dim")), numbers(batch.column("shard"))])
-            asks = batch.column("query").to_numpy(zero_copy_only=False)
-            cut = np.flatnonzero((keys[:, 1:] != keys[:, :-1]).any(axis=0) | (asks[1:] != asks[:-1])) + 1
-            for a, b in zip([0, *cut], [*cut, batch.num_rows]):
-                if a == b:
-                    continue
-                part = batch.slice(a, b - a)
-                flat = part.column("embedding").flatten().to_numpy(zero_copy_only=False)
-                own = (numbers(part.column("rep")), numbers(part.column("copies")), _unit(flat.reshape(b - a, -1)))
-                if shard != (key := tuple(keys[:, a])):
-                    shard, graph, members, beam = key, None, [], BEAM
-                if not asks[a]:
-                    members.append(own)
-                    continue
-                if graph is None:
-                    if not members:
-                        continue
-                    ids, copies, units = map(np.concatenate, zip(*members))
-                    graph, members, groups = Graph(units.astype(np.float32)), [], _Groups(len(ids))
-                for i in range(0, b - a, BLOCK):
-                    q_ids, q = own[0][i : i + BLOCK], own[2][i : i + BLOCK]
-                    at, row, beam = graph.audited(q.astype(np.float32), least - 1e-4, beam)
-                    sure = (np.einsum("bd,bd->b", q[at], units[row]) >= least) & (q_ids[at] != ids[row])
-                    at, row = at[sure], row[sure]
+            for row in range(batch.num_rows):
+                one = {n: np.frombuffer(batch.column(n)[row].as_buffer(), k) for n, k in (("ids", np.int64), ("copies", np.int64), ("rows_of", np.int64), ("degrees", np.int64), ("neighbours", np.int32), ("q_ids", np.int64))}
+                ids, copies = one["ids"], one["copies"]
+                units, asked = (np.frombuffer(batch.column(n)[row].as_buffer(), np.float64).reshape(k, -1) for n, k in (("units", len(ids)), ("q_units", len(one["q_ids"]))))
+                shape = one["degrees"].reshape(-1, 2)
+                layers = [x.reshape(s) for x, s in zip(np.split(one["neighbours"], np.cumsum(shape.prod(axis=1))[:-1]), shape)]
+                graph, groups, beam = Graph(units.astype(np.float32), made=(one["rows_of"], layers)), _Groups(len(ids)), BEAM
+                for i in range(0, len(asked), BLOCK):
+                    q_ids, q = one["q_ids"][i : i + BLOCK], asked[i : i + BLOCK]
+                    at, near, beam = graph.audited(q.astype(np.float32), least - 1e-4, beam)
+                    sure = (np.einsum("bd,bd->b", q[at], units[near]) >= least) & (q_ids[at] != ids[near])
+                    at, near = at[sure], near[sure]
                     if not len(at):
                         continue
-                    by = np.lexsort((ids[row], at))
-                    at, row = at[by], row[by]
+                    by = np.lexsort((ids[near], at))
+                    at, near = at[by], near[by]
                     first = np.flatnonzero(np.concatenate([[True], at[1:] != at[:-1]]))
-                    yield made(q_ids[at[first]], ids[row[first]], np.add.reduceat(copies[row], first))
+                    yield links(q_ids[at[first]], ids[near[first]], np.add.reduceat(copies[near], first))
                     beside = np.flatnonzero(at[1:] == at[:-1])
-                    new = beside[groups.join(row[beside], row[beside + 1])] if len(beside) else beside
+                    new = beside[groups.join(near[beside], near[beside + 1])] if len(beside) else beside
                     if len(new):
-                        yield made(ids[row[new]], ids[row[new + 1]], np.zeros(len(new)))
+                        yield links(ids[near[new]], ids[near[new + 1]], np.zeros(len(new)))
 
     return run
 
 
-def near_vectors(rows: DataFrame, least: float = COSINE, shard_rows: int = SHARD_ROWS, shards: int = LEAST_SHARDS) -> DataFrame:
+def _kinds(schema: pa.Schema) -> str:
+    return ", ".join(f"{f.name} {'int' if f.type == pa.int32() else 'binary'}" for f in schema)
+
+
+def graph_links(reps: DataFrame, least: float, shard_rows: int, shards: int, block_rows: int) -> DataFrame:
+    """``(u, v, links)`` of the vectors ``reps(rep, copies, embedding, dim)``, a saved table; see ``_search``."""
+    spark = reps.sparkSession
+    shards = max(shards, math.ceil(reps.count() / shard_rows))
+    shard = F.pmod(F.xxhash64("rep"), F.lit(shards)).cast("int").alias("shard")
+    members = reps.select("rep", "copies", "embedding", "dim", shard).repartition("dim", "shard").sortWithinPartitions("dim", "shard")
+    with setting(spark, "spark.sql.adaptive.coalescePartitions.enabled", "false"):  # a task for each shard, however small
+        graphs = saved(members.mapInArrow(_graphs, _kinds(_GRAPHS)), "vector-graphs")
+    blocks = saved(reps.select("rep", "copies", "embedding", "dim").mapInArrow(_blocks(block_rows), _kinds(_BLOCKS)), "vector-blocks")
+    # Every block meets every graph of its length; both are read where they are, and neither is shuffled or broadcast.
+    asked = blocks.select("dim", F.col("ids").alias("q_ids"), F.col("units").alias("q_units")).hint("shuffle_replicate_nl")
+    pairs = asked.join(graphs.hint("shuffle_replicate_nl"), "dim").drop("dim")
+    with arrow_rows(spark, 1):  # a row is megabytes
+        out = saved(pairs.mapInArrow(_search(least), _LINKS), "vector-links")
+    dropped(graphs)
+    dropped(blocks)
+    return out
+
+
+def near_vectors(rows: DataFrame, least: float = COSINE, shard_rows: int = SHARD_ROWS, shards: int = LEAST_SHARDS, block_rows: int = BLOCK_ROWS) -> DataFrame:
     """``(vec_id, n_links, component_id, kept)`` of each row of ``rows(vec_id, embedding, ...)``.
 
     A vector that is null, empty, zero or holds a null or non-finite component links with nothing, nor do vectors of
-    different lengths link. Rows that repeat a vec_id are one node; equal vectors under different ids are linked. A row
-    without vec_id is alone: no link, no component, not kept. Other columns are not read.
+    different lengths link. Equal vectors under different ids are linked. Rows that repeat a vec_id are one node with each
+    of their different vectors: each row shows the links of them all, a link for each vector. A row without vec_id is
+    alone: no link, no component, not kept. Other columns are not read.
     """
     value = F.col("embedding")
     finite = F.forall(value, lambda x: x.isNotNull() & ~F.isnan(x) & (F.abs(x) < float("inf"))) & F.exists(value, lambda x: x != 0)
@@ -312,12 +387,7 @@ def near_vectors(rows: DataFrame, least: float = COSINE, shard_rows: int = SHARD
     distinct = rows.where(usable).select("vec_id", "embedding", *keys).dropDuplicates(["vec_id", "k1", "k2"])
     reps = distinct.groupBy("k1", "k2").agg(F.min("vec_id").alias("rep"), F.count(F.lit(1)).alias("copies"), F.min_by("embedding", "vec_id").alias("embedding"))
     reps = saved(reps.withColumn("dim", F.size("embedding")), "vectors")
-    shards = max(shards, math.ceil(reps.count() / shard_rows))
-    members = reps.select("rep", "copies", "embedding", "dim", F.pmod(F.xxhash64("rep"), F.lit(shards)).cast("int").alias("shard"), F.lit(False).alias("query"))
-    every = F.explode(F.sequence(F.lit(0), F.lit(shards - 1))).alias("shard")
-    queries = reps.select("rep", "copies", "embedding", "dim", every, F.lit(True).alias("query"))
-    dealt = members.unionByName(queries).repartition("dim", "shard").sortWithinPartitions("dim", "shard", "query")
-    links = saved(dealt.mapInArrow(_search(least), _LINKS), "vector-links")
+    links = graph_links(reps, least, shard_rows, shards, block_rows)
     degrees = links.groupBy("u").agg(F.sum("links").alias("n"))
     joined = components(links.select("u", "v"))
     of = reps.join(degrees, reps["rep"] == degrees["u"], "left").join(joined, reps["rep"] == joined["node"], "left")

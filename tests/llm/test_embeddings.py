@@ -43,10 +43,27 @@ def test_edges(spark):
     rows += [(200, rows[0][1]), (201, rows[0][1]), (202, [2 * x for x in rows[1][1]]), (203, None), (204, []), (205, [0.0] * 8), (206, [float("nan")] * 8),
              (207, [float("inf")] + [0.0] * 7), (208, [None] + [1.0] * 7), (209, [1.0, 2.0]), (210, [2.0, 4.0]), (211, [1.0] * 9), (None, rows[0][1]), (5, rows[5][1])]
     df = spark.createDataFrame([(i, v, 1, "x") for i, v in rows], "vec_id long, embedding array<float>, rep long, shard string")
-    got = result(df, shard_rows=40)
+    got = result(df, shard_rows=40, block_rows=25)
     assert got == sorted(plain(rows), key=str)
 
 
+def test_a_graph_and_a_block_are_read_once_and_nothing_is_shuffled(spark, monkeypatch):
+    plans = []
+    saved = em.saved
+    monkeypatch.setattr(em, "saved", lambda df, what: (plans.append((what, df._jdf.queryExecution().executedPlan().toString())), saved(df, what))[1])
+    df = spark.createDataFrame([(k, [1.0, k / 100, 0.5]) for k in range(90)], "vec_id long, embedding array<double>")
+    got = result(df, shards=3, block_rows=20)
+    plan = dict(plans)["vector-links"]
+    assert "CartesianProduct" in plan and "Exchange" not in plan
+    assert got == sorted(plain([(r.vec_id, r.embedding) for r in df.collect()]), key=str)
+
+
+def test_rows_that_repeat_an_id_with_different_vectors(spark):
+    rows = [(1, [1.0, 0.0]), (1, [0.0, 1.0]), (2, [1.0, 0.01]), (3, [0.01, 1.0]), (3, [0.01, 1.0])]
+    got = result(spark.createDataFrame(rows, "vec_id long, embedding array<double>"))
+    assert got == sorted([(1, 2, 1, True), (1, 2, 1, True), (2, 1, 1, False), (3, 1, 1, False), (3, 1, 1, False)])
+
+
 def test_empty(spark):
     df = spark.createDataFrame([], "vec_id long, embedding array<float>")
     assert result(df) == []
