@@ -15,18 +15,18 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from .common import fresh, table
+from .common import fresh, saved, table
 
 ORDERS = 3
 #: Length of a language's profile, and of a document's.
 PROFILE = 400
 #: Labelled rows, about, from which the profile of each language is counted.
 SAMPLE = 2000
-#: Profiles are in every task; more values of ``lang`` are an error.
-MOST_LANGUAGES = 1000
+#: Profiles that documents are compared with in one pass.
+LANGUAGES_AT_ONCE = 1000
 UNKNOWN = "und"
-#: The pipeline rejects a document whose n-grams resemble no learned language even this much.
-LEAST_SCORE = 0.05
+#: The pipeline rejects a document that scores less than this part of a low quantile of its language's labelled rows.
+PART, QUANTILE = 0.7, 0.01
 #: Characters that are counted at a time.
 CHUNK = 1 << 20
 
@@ -72,15 +72,22 @@ def top(keys: np.ndarray, counts: np.ndarray, n: int = PROFILE) -> np.ndarray:
 
 
 class Profiles:
-    """Ranks of n-grams by language."""
+    """Ranks of n-grams by language: for each n-gram the languages that have it, one after the other."""
 
     def __init__(self, ranked: dict[str, list[int]], length: int = PROFILE):
-        self.names, self.length = sorted(ranked), length
-        self.keys = np.unique(np.array([k for v in ranked.values() for k in v], np.uint64))
-        self.ranks = np.full((len(self.keys) + 1, len(self.names)), -1, np.int64)
-        for j, name in enumerate(self.names):
-            at = np.searchsorted(self.keys, np.array(ranked[name], np.uint64))
-            self.ranks[at, j] = np.arange(len(at))
+        self.names, self.length, self.ranked = sorted(ranked), length, ranked
+        grams = [np.array(ranked[n], np.uint64) for n in self.names]
+        every = np.concatenate([np.zeros(0, np.uint64), *grams])
+        by = np.argsort(every, kind="stable")
+        self.lang = np.repeat(np.arange(len(grams)), [len(g) for g in grams])[by]
+        self.rank = np.concatenate([np.zeros(0, np.int64), *(np.arange(len(g)) for g in grams)])[by]
+        self.keys, first = np.unique(every[by], return_index=True)
+        self.first = np.append(first, len(every))
+
+    def parts(self, languages: int) -> Iterator[Profiles]:
+        """The same in profiles of so many languages, in order."""
+        for i in range(0, max(1, len(self.names)), languages):
+            yield Profiles({n: self.ranked[n] for n in self.names[i : i + languages]}, self.length)
 
     def predict(self, text: str | None) -> tuple[str, float]:
         """The nearest language, the first by name of equals, and one less its part of the largest distance."""
@@ -88,11 +95,15 @@ class Profiles:
         if not len(grams) or not self.names:
             return UNKNOWN, 0.0
         at = np.searchsorted(self.keys, grams)
-        at[(at == len(self.keys)) | (self.keys[np.minimum(at, len(self.keys) - 1)] != grams)] = len(self.keys)
-        ranks = self.ranks[at]
-        away = np.where(ranks < 0, self.length, np.abs(ranks - np.arange(len(grams))[:, None])).sum(0)
-        best = int(away.argmin())
-        return self.names[best], float(1 - away[best] / (self.length * len(grams)))
+        place = np.flatnonzero(self.keys[np.minimum(at, len(self.keys) - 1)] == grams) if len(self.keys) else at[:0]
+        begin = self.first[at[place]]
+        count = self.first[at[place] + 1] - begin
+        held = np.repeat(begin - np.cumsum(count) + count, count) + np.arange(count.sum())
+        # What an n-gram takes off the largest distance, which it adds where a profile lacks it.
+        near = self.length - np.abs(self.rank[held] - np.repeat(place, count))
+        near = np.bincount(self.lang[held], near, len(self.names))
+        best = int(near.argmax())
+        return self.names[best], float(near[best] / (self.length * len(grams)))
 
 
 _COUNTS = pa.schema([("lang", pa.string()), ("gram", pa.int64()), ("n", pa.int64())])
@@ -111,44 +122,62 @@ def _count(rows: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             yield pa.RecordBatch.from_arrays([pa.array([lang] * len(keys), pa.string()), pa.array(keys.astype(np.int64)), pa.array(counts.astype(np.int64))], schema=_COUNTS)
 
 
+def chosen(rows: DataFrame, sample: int = SAMPLE) -> DataFrame:
+    """``(text, lang)`` of about ``sample`` rows of each language of ``rows(doc_id, text, lang)``, by a hash of doc_id."""
+    rows = rows.where("lang is not null and text is not null").select(F.col("doc_id").cast("long"), "text", "lang")
+    sizes = saved(rows.groupBy("lang").agg(F.count(F.lit(1)).alias("_n")), "languages")
+    draw = F.pmod(F.xxhash64("doc_id", F.lit("profile")), F.lit(1 << 20)) / F.lit(float(1 << 20))
+    return rows.join(sizes, "lang").where(draw < sample / F.col("_n")).select("text", "lang")
+
+
 def fit(rows: DataFrame, sample: int = SAMPLE, length: int = PROFILE) -> Profiles:
     """Profiles from ``rows(doc_id, text, lang)``, of each language from about ``sample`` rows chosen by a hash of doc_id.
 
-    The driver gets ``length`` n-grams for each language, of which there may be MOST_LANGUAGES.
+    The driver gets ``length`` n-grams for each language, and nothing of the documents.
     """
-    rows = rows.where("lang is not null and text is not null").select(F.col("doc_id").cast("long"), "text", "lang")
-    sizes = rows.groupBy("lang").agg(F.count(F.lit(1)).alias("n")).limit(MOST_LANGUAGES + 1).collect()
-    if len(sizes) > MOST_LANGUAGES:
-        raise ValueError(f"lang has over {MOST_LANGUAGES} values")
-    if not sizes:
-        return Profiles({}, length)
-    draw = F.pmod(F.xxhash64("doc_id", F.lit("profile")), F.lit(1 << 20)) / F.lit(float(1 << 20))
-    share = F.create_map(*[F.lit(x) for r in sizes for x in (r.lang, sample / r.n)])[F.col("lang")]
-    chosen = rows.where(draw < share)
-    counts = chosen.select("lang", "text").mapInArrow(_count, "lang string, gram long, n long")
+    counts = chosen(rows, sample).select("lang", "text").mapInArrow(_count, "lang string, gram long, n long")
     rank = F.row_number().over(Window.partitionBy("lang").orderBy(F.desc("n"), "gram")).alias("rank")
     ranked = counts.groupBy("lang", "gram").agg(F.sum("n").alias("n")).select("lang", "gram", rank).where(F.col("rank") <= length)
+    found = ranked.toArrow().sort_by("rank")
     out: dict[str, list] = {}
-    for r in sorted(ranked.collect(), key=lambda r: r["rank"]):
-        out.setdefault(r["lang"], []).append(r["gram"])
+    for lang, gram in zip(found.column("lang").to_pylist(), found.column("gram").to_pylist()):
+        out.setdefault(lang, []).append(gram)
     return Profiles(out, length)
 
 
-def predict(docs: DataFrame, profiles: Profiles) -> DataFrame:
+def predict(docs: DataFrame, profiles: Profiles, at_once: int = LANGUAGES_AT_ONCE) -> DataFrame:
     """``docs`` with two columns at the end, ``_lang`` and ``_score``, with more underscores if docs has such columns.
 
-    A null text and one without a letter are ``und`` with score 0. Other columns pass unchanged.
+    A null text and one without a letter are ``und`` with score 0. Whole texts count, however long; of languages that
+    are as near, the first by name is taken. Rows that repeat a doc_id are predicted each for itself. There is a pass
+    over the documents for each ``at_once`` languages. Other columns pass unchanged.
     """
     ends = fresh(docs.columns, "_lang", "_score")
+    kinds = ", ".join([*[f"`{f.name}` {f.dataType.simpleString()}" for f in docs.schema], f"{ends[0]} string", f"{ends[1]} double"])
 
-    def run(rows: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in rows:
-            found = [profiles.predict(t) for t in batch.column("text").to_pylist()]
-            own = [pa.array([x for x, _ in found], pa.string()), pa.array([x for _, x in found], pa.float64())]
-            yield pa.RecordBatch.from_arrays([*batch.columns, *own], names=[*batch.schema.names, *ends])
+    def within(part: Profiles):
+        def run(rows: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            for batch in rows:
+                found = [part.predict(t) for t in batch.column("text").to_pylist()]
+                if ends[0] in batch.schema.names:
+                    before = zip(batch.column(ends[0]).to_pylist(), batch.column(ends[1]).to_pylist())
+                    found = [new if new[1] > old[1] else old for new, old in zip(found, before)]
+                    batch = batch.drop_columns(ends)
+                own = [pa.array([x for x, _ in found], pa.string()), pa.array([x for _, x in found], pa.float64())]
+                yield pa.RecordBatch.from_arrays([*batch.columns, *own], names=[*batch.schema.names, *ends])
 
-    kinds = [f"`{f.name}` {f.dataType.simpleString()}" for f in docs.schema]
-    return docs.mapInArrow(run, ", ".join([*kinds, f"{ends[0]} string", f"{ends[1]} double"]))
+        return run
+
+    for part in profiles.parts(at_once):
+        docs = docs.mapInArrow(within(part), kinds)
+    return docs
+
+
+def least_scores(rows: DataFrame, profiles: Profiles, sample: int = SAMPLE, part: float = PART, quantile: float = QUANTILE) -> DataFrame:
+    """``(_name, _least)``: the score from which on a document is taken for a language, from the rows that ``fit`` reads."""
+    scored = predict(chosen(rows, sample).select("text", F.col("lang").alias("label")), profiles)
+    of = scored.where(F.col("label") == F.col("_lang")).groupBy(F.col("_lang").alias("_name"))
+    return of.agg((part * F.percentile("_score", quantile)).alias("_least"))
 
 
 def held_out(doc_id: Column) -> Column:
@@ -161,10 +190,18 @@ def training_rows(docs: DataFrame) -> DataFrame:
 
 
 def keep_known(docs: DataFrame) -> DataFrame:
-    """The rows of ``docs`` with a language: not ``und``, and scored LEAST_SCORE or more."""
-    known = predict(docs, fit(training_rows(docs)))
-    lang, score = map(F.col, known.columns[-2:])
-    return known.where((lang != UNKNOWN) & (score >= LEAST_SCORE)).drop(*known.columns[-2:])
+    """The rows of ``docs`` with a language: not ``und``, and not below the least score of the language.
+
+    A language none of whose own labelled rows is predicted as it has no least score.
+    """
+    training = training_rows(docs)
+    profiles = fit(training)
+    known = predict(docs, profiles)
+    lang, score = known.columns[-2:]
+    name, least = fresh(known.columns, "_name", "_least")
+    limits = saved(least_scores(training, profiles).withColumnsRenamed({"_name": name, "_least": least}), "least-scores")
+    rows = known.where(F.col(lang) != UNKNOWN).join(limits, F.col(lang) == F.col(name), "left")
+    return rows.where(F.col(score) >= F.coalesce(F.col(least), F.lit(0.0))).select(*docs.columns)
 
 
 def op7_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:

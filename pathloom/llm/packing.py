@@ -2,12 +2,14 @@
 
 Each task packs the documents of its partition in order. A level array counts the partially filled windows at each
 fill level; a document goes to the level, or to a new window, for which the sum of the squared counts grows least.
-Documents over a window fill whole windows first. Windows that are still open at the end, or when too many are, are
-closed by cutting: their pieces run on into full windows, and the last remainder is cut at powers of two.
+Documents over a window fill whole windows first. When too many windows are open, the fullest are closed by cutting:
+their pieces run on into full windows, and what is left over is an open window again. At the end all are closed like
+that, and the last remainder is cut at powers of two.
 """
 
 from __future__ import annotations
 
+import json
 import re
 import zlib
 from collections.abc import Iterator
@@ -43,11 +45,32 @@ def _byte_letters() -> list[str]:
     return [chr(b) if b in printable else chr(next(rest)) for b in range(256)]
 
 
+#: What a tokenizers file says of texts if ``Tokens`` may take it word by word.
+_SPLIT = r"'s|'t|'re|'ve|'m|'ll|'d|[\p{L}]+|[\p{N}]|[^\s\p{L}\p{N}]+"
+_BY_WORD = {
+    "normalizer": {"type": "Sequence", "normalizers": [{"type": "NFC"}, {"type": "Replace", "pattern": {"Regex": r"\s+"}, "content": " "}, {"type": "Lowercase"}]},
+    "pre_tokenizer": {
+        "type": "Sequence",
+        "pretokenizers": [
+            {"type": "Split", "pattern": {"Regex": _SPLIT}, "behavior": "Removed", "invert": True},
+            {"type": "ByteLevel", "add_prefix_space": False, "trim_offsets": True, "use_regex": False},
+        ],
+    },
+    "post_processor": None,
+}
+
+
+def _is_by_word(spec: dict) -> bool:
+    special = all(t["content"].startswith("<|") and not (t["lstrip"] or t["rstrip"] or t["single_word"] or t["normalized"]) for t in spec["added_tokens"])
+    return special and spec["model"]["type"] == "BPE" and all(spec[k] == v for k, v in _BY_WORD.items())
+
+
 class Tokens:
-    """Ids of texts as little-endian unsigned 32-bit numbers, of a lower-case tokenizer that drops white space.
+    """Ids of texts as little-endian unsigned 32-bit numbers.
 
-    It never joins across white space nor across its own split, so that a text's ids are those of its words, which are
-    remembered, and a new word's those of its parts. In texts with unusual characters, a word goes through it whole.
+    A tokenizer whose file says that it takes lower-case words, split as above, never joins across white space nor
+    across its own split, so that a text's ids are those of its words, which are remembered, and a new word's those of
+    its parts. In texts with unusual characters, a word goes through it whole. Any other tokenizer gets whole texts.
     """
 
     def __init__(self, path: str):
@@ -57,6 +80,7 @@ class Tokens:
         from tokenizers import Tokenizer
 
         self.tokenizer = Tokenizer.from_file(path)
+        self.by_word = _is_by_word(json.loads(self.tokenizer.to_str()))
         self.model, self.letters = self.tokenizer.model, _byte_letters()
         self.parts: dict[str, bytes] = {}
         self.usual: dict[str, bytes] = {}
@@ -79,6 +103,8 @@ class Tokens:
 
     def ids(self, text: str | None) -> bytes:
         text = text or ""
+        if not self.by_word:
+            return self._word(text)
         if any(map(text.__contains__, _UNUSUAL_ASCII)) or not text.isascii() and _UNUSUAL.search(text):
             known, make, words = self.unusual, self._word, re.split(r"[\x20\x09-\x0d]+", text)
         else:
@@ -147,14 +173,31 @@ class Packer:
             self.level[at + n] += 1
             self.open.setdefault(at + n, []).append(pieces)
         if self.windows > self.most_open:
-            self.flush()
+            self._close_fullest(2 + self.most_open // 8)
+
+    def _close_fullest(self, n: int) -> None:
+        """Close the ``n`` fullest windows; a rest that fills no window stays open."""
+        held: list[tuple] = []
+        while n:
+            at = int(np.flatnonzero(self.level)[-1])
+            taken = self.open[at][-n:]
+            del self.open[at][-n:]
+            self.level[at] -= len(taken)
+            self.windows -= len(taken)
+            held += [p for w in taken for p in w]
+            n -= len(taken)
+        self._run_on(held, self.window)
 
     def flush(self) -> None:
         """Close all open windows, the fullest first."""
         held = [p for at in sorted(self.open, reverse=True) for w in self.open[at] for p in w]
         self.level[:], self.open, self.windows = 0, {}, 0
+        self._run_on(held, None)
+
+    def _run_on(self, held: list[tuple], size: int | None) -> None:
+        """Pieces into windows of ``size``, the last of which stays open; into full ones and powers of two for None."""
         left = sum(len(p[2]) for p in held) // 4
-        pieces, room = [], self._next_size(left)
+        pieces, room = [], size or self._next_size(left)
         for doc, start, ids, total in held:
             while ids:
                 part, ids = ids[: 4 * room], ids[4 * room :]
@@ -163,7 +206,12 @@ class Packer:
                 start, room, left = start + n, room - n, left - n
                 if not room:
                     self._close(pieces)
-                    pieces, room = [], self._next_size(left)
+                    pieces, room = [], size or self._next_size(left)
+        if pieces:
+            at = self.window - room
+            self.level[at] += 1
+            self.windows += 1
+            self.open.setdefault(at, []).append(pieces)
 
     def _next_size(self, left: int) -> int:
         return self.window if left >= self.window else 1 << (left.bit_length() - 1) if left else self.window
@@ -175,8 +223,10 @@ _PIECES = pa.schema([(n, pa.int64()) for n in ("doc_id", "start", "length", "ids
 def pack(docs: DataFrame, tokenizer: str, window: int = WINDOW, end: int = END, most_open: int = MOST_OPEN) -> DataFrame:
     """One row for each piece of each row of ``docs(doc_id, text, ...)``.
 
-    ``tokenizer`` is the path, on every machine, of a tokenizers file of the kind that ``Tokens`` reads. Each row is a document of its own, also where a doc_id is null or repeated; a null or empty text has the
-    id ``end`` alone. Sequence ids are unique: the task's partition and a number. Other columns are not read.
+    ``tokenizer`` is the path, on every machine, of a tokenizers file. Each row is a document of its own, also where a
+    doc_id is null or repeated; a null or empty text has the id ``end`` alone. A long text is cut into whole windows and
+    a rest. Of windows that fit as well, the fullest is taken. Sequence ids are unique: the task's partition and a
+    number. Other columns are not read.
     """
 
     def run(rows: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:

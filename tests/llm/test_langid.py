@@ -1,3 +1,4 @@
+import random
 from collections import Counter
 
 import pytest
@@ -56,6 +57,30 @@ def test_edges(spark):
     assert kept.columns == docs.columns
 
 
+def test_more_languages_than_a_pass_takes(spark):
+    rng = random.Random(3)
+    letters = [rng.sample("abcdefghijklmnopqrstuvwxyzàéîõüßøåçñ", 7) for _ in range(1200)]
+    word = lambda k: "".join(rng.choices(letters[k], k=4))
+    rows = [(k, " ".join(word(k) for _ in range(30)), f"l{k:04d}") for k in range(1200)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, lang string")
+    profiles = langid.fit(docs, length=60)
+    assert len(profiles.names) == 1200
+    some = docs.where("doc_id % 20 = 0")
+    whole = {r.doc_id: (r._lang, r._score) for r in langid.predict(some, profiles).collect()}
+    dealt = {r.doc_id: (r._lang, r._score) for r in langid.predict(some, profiles, at_once=500).collect()}
+    assert whole == dealt and all(whole[k][0] == f"l{k:04d}" for k in whole)
+
+
+def test_what_resembles_no_language_is_rejected(spark):
+    rng = random.Random(7)
+    junk = [" ".join("".join(rng.choices("abcdefghijklmnopqrstuvwxyz", k=rng.randrange(2, 9))) for _ in range(n)) for n in (20, 200, 2000)]
+    polish = "Wszyscy ludzie rodzą się wolni i równi pod względem swej godności i swych praw. Są oni obdarzeni rozumem i sumieniem i powinni postępować"
+    docs = spark.read.parquet(DATA).select("doc_id", "text", "lang")
+    more = spark.createDataFrame([(-1 - k, t, None) for k, t in enumerate([*junk, polish, "12 34"])], docs.schema)
+    kept = {r.doc_id for r in langid.keep_known(docs.unionByName(more)).select("doc_id").collect()}
+    assert kept == {r.doc_id for r in docs.where("text rlike '[A-Za-z]'").select("doc_id").collect()}
+
+
 def test_nothing_to_learn_from(spark):
     docs = spark.createDataFrame([(1, "text", None)], "doc_id long, text string, lang string")
     profiles = langid.fit(langid.training_rows(docs))

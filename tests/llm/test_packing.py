@@ -87,9 +87,39 @@ def test_open_windows_are_bounded():
     for k in range(100):
         packer.add(k, b"\0" * 4 * (9 + k % 6))
         assert packer.windows <= 3
+        assert packer.windows == packer.level.sum() == sum(map(len, packer.open.values()))
     packer.flush()
     assert sum(r[2] for r in packer.out) == sum(9 + k % 6 for k in range(100))
 
 
+def test_only_the_fullest_windows_close_early():
+    packer = packing.Packer(0, window=64, most_open=16)
+    for k in range(16):
+        packer.add(k, b"\0" * 4 * (33 + k))
+    assert packer.windows == 16 and not packer.out
+    packer.add(16, b"\0" * 4 * 50)
+    assert {r[0] for r in packer.out} <= {13, 14, 15, 16} and sum(r[2] for r in packer.out) == 64 * len({r[5] for r in packer.out})
+    assert set(range(13)) <= {p[0] for ws in packer.open.values() for w in ws for p in w}
+
+
+def test_another_tokenizer(spark):
+    import glob
+    import os
+
+    from tokenizers import Tokenizer
+
+    others = []
+    for path in sorted(glob.glob(os.path.join(os.path.dirname(TOKENIZER), "**", "*.json"), recursive=True)):
+        try:
+            others.append((path, Tokenizer.from_file(path)))
+        except Exception:
+            continue
+    assert others
+    for path, tokenizer in others:
+        tokens = packing.Tokens(path)
+        for t in [x for _, x in TEXTS[:9]] + ["e\u0301 Ünïcode \U0001f600 x"]:
+            assert tokens.ids(t) == np.array(tokenizer.encode(t or "", add_special_tokens=False).ids, "<u4").tobytes(), (path, t)
+
+
 def test_empty(spark):
     assert packing.pack(spark.createDataFrame([], "doc_id long, text string"), TOKENIZER).collect() == []

@@ -1,7 +1,11 @@
 import hashlib
+import random
 import re
+import time
 from collections import defaultdict
 
+from pyspark.sql import functions as F
+
 from pathloom.llm import secrets
 
 BASE = {
@@ -58,9 +62,39 @@ def test_ownership_counts(spark):
     df = spark.createDataFrame([(1, "token=samplevalue1", "a"), (2, "token=samplevalue1 token=samplevalue1", "b"), (3, "token=samplevalue1", "b"), (4, "token=ownvalue99", "b")], "doc_id long, text string, source string")
     rows = secrets.ownership(secrets.candidates(df, "source")).collect()
     assert sorted((r.owners, r.repositories) for r in rows) == [(1, 1), (2, 3)]
+    again = secrets.ownership(secrets.candidates(df.unionByName(df), "source")).collect()
+    assert sorted((r.owners, r.repositories) for r in again) == [(1, 1), (2, 3)]  # repeated rows are no more repositories
     by = {r.doc_id: (r.n_live, r.n_copied) for r in secrets.scan(df).collect()}
     assert by == {1: (0, 1), 2: (0, 2), 3: (0, 1), 4: (1, 0)}
 
 
+def test_a_value_in_many_repositories_of_one_owner_is_copied(spark):
+    rows = [(k, "token=everywhere99 password=own%08d" % k, "one") for k in range(secrets.MOST_REPOSITORIES + 1)]
+    df = spark.createDataFrame(rows, "doc_id long, text string, source string")
+    assert {(r.n_live, r.n_copied) for r in secrets.scan(df).collect()} == {(1, 1)}
+    assert {(r.n_live, r.n_copied) for r in secrets.scan(df.limit(secrets.MOST_REPOSITORIES)).collect()} == {(2, 0)}
+
+
+def test_spans_apart_brute_force(spark):
+    rng = random.Random(4)
+    rows = []
+    for _ in range(60):
+        base = sorted((a, rng.randrange(3), a + rng.randrange(1, 30), b"") for a in (rng.randrange(900) for _ in range(rng.randrange(60))))
+        cuts = sorted(rng.sample(range(900), 2 * rng.randrange(60)))
+        rows.append((base, [(a, 3, b, b"") for a, b in zip(cuts[::2], cuts[1::2])]))
+    df = spark.createDataFrame(rows, f"base {secrets._SPAN}, more {secrets._SPAN}")
+    for r in df.withColumn("got", secrets._apart(F.col("base"), F.col("more"))).collect():
+        want = [x for x in r.more if not any(b.start < x.end and x.start < b.end for b in r.base)]
+        assert r.got == want
+
+
+def test_many_spans_in_one_text(spark):
+    text = " ".join(f"token=abcdefgh{k:06d} Zx9aB3dE6gH9jK2mN5pQ{k:06d}" for k in range(50_000))
+    df = spark.createDataFrame([(1, text, "a")], "doc_id long, text string, source string")
+    began = time.time()
+    r = secrets.scan(df).select(F.size("base"), F.size("added"), "n_live").first()
+    assert tuple(r) == (50_000, 50_000, 100_000) and time.time() - began < 60
+
+
 def test_empty(spark):
     assert secrets.scan(spark.createDataFrame([], "doc_id long, text string, source string")).collect() == []
