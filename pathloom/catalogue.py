@@ -12,7 +12,7 @@ from .functions.paths import interval, prefixes, text_of
 from .operators import patterns
 from .operators.space import ITEMS, Path, Space
 from .plans import fixpoint, programs
-from .sources.tables import facts, table
+from .sources.tables import facts, from_texts, table
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLES: dict[str, str] = {}
@@ -48,7 +48,7 @@ def _sells(spark, sf):
 
 
 def _did(spark, sf):
-    return facts(table(spark, sf, "events").where("value > 100"), None, "user_id", "event_type")
+    return facts(table(spark, sf, "events"), None, "user_id", "event_type")
 
 
 def _lines(spark, sf):
@@ -59,11 +59,18 @@ def _priorities(spark, sf):
     return facts(table(spark, sf, "orders"), None, "o_custkey", "o_orderpriority")
 
 
-_GRAPH = "select distinct (o_custkey % 60)::varchar as a, ((o_custkey * 7 + 3) % 60)::varchar as b from orders"
+#: From each customer to the one with the last order of a part: the least of the customer's first order.
+_GRAPH = """select distinct a::varchar as a, o_custkey::varchar as b from (select o_custkey as a, min(o_orderkey) as k from orders group by 1)
+ join (select l_orderkey as k, min(l_partkey) as p from lineitem group by 1) using (k)
+ join (select l_partkey as p, max(l_orderkey) as last from lineitem group by 1) using (p) join orders on o_orderkey = last"""
 
 
 def _graph(spark, sf):
-    return facts(table(spark, sf, "orders"), None, F.col("o_custkey") % 60, (F.col("o_custkey") * 7 + 3) % 60)
+    orders, lines = table(spark, sf, "orders"), table(spark, sf, "lineitem")
+    first = orders.groupBy(F.col("o_custkey").alias("a")).agg(F.min("o_orderkey").alias("k"))
+    part = lines.groupBy(F.col("l_orderkey").alias("k")).agg(F.min("l_partkey").alias("p"))
+    last = lines.groupBy(F.col("l_partkey").alias("p")).agg(F.max("l_orderkey").alias("o_orderkey"))
+    return facts(first.join(part, "k").join(last, "p").join(orders, "o_orderkey"), None, "a", "o_custkey")
 
 
 _CLOSURE = f"with recursive e as ({_GRAPH}), c as (select a, b from e union select c.a, e.b from c join e on c.b = e.a)"
@@ -84,10 +91,10 @@ def q03_intersect(spark, sf):
     return facts(table(spark, sf, "customer"), None, "c_nationkey").intersection(facts(table(spark, sf, "supplier"), None, "s_nationkey")).columns("nationkey")
 
 
-@_query("select c_nationkey::varchar as nationkey from customer except select s_nationkey::varchar from supplier where s_acctbal > 8900")
+@_query("select c_custkey::varchar as custkey from customer except select o_custkey::varchar from orders")
 def q04_subtract(spark, sf):
-    suppliers = facts(table(spark, sf, "supplier").where("s_acctbal > 8900"), None, "s_nationkey")
-    return facts(table(spark, sf, "customer"), None, "c_nationkey").subtraction(suppliers).columns("nationkey")
+    ordered = facts(table(spark, sf, "orders"), None, "o_custkey")
+    return facts(table(spark, sf, "customer"), None, "c_custkey", distinct=False).subtraction(ordered).columns("custkey")
 
 
 def _building(spark, sf):
@@ -192,8 +199,8 @@ def q18_last(spark, sf):
     return _orders(spark, sf).iterate(lambda c, own: own.last(1).wrap(c)).columns("custkey", "orderkey")
 
 
-@_query("""select user_id::varchar as user_id from events where value > 100 group by 1
- having count(distinct event_type) = (select count(distinct event_type) from events where value > 100)""")
+@_query("""select user_id::varchar as user_id from events group by 1
+ having count(distinct event_type) = (select count(distinct event_type) from events)""")
 def q19_left_residual(spark, sf):
     did = _did(spark, sf)
     return did.left_residual(did.tails_union()).columns("user_id")
@@ -265,17 +272,33 @@ def q28_semi_naive(spark, sf):
     return fixpoint.closure(_graph(spark, sf)).columns("a", "b")
 
 
-@_query(f"with recursive e as ({_GRAPH}), c as (select '5' as n union select e.b from c join e on c.n = e.a where c.n <> '26' and e.b <> '26') select n from c")
+@_query(f"""with recursive e as ({_GRAPH}), w as (select c_custkey::varchar as n from customer where c_acctbal >= 0),
+ i as (select a, b from e where a in (select n from w) and b in (select n from w)),
+ c as (select c_custkey::varchar as n from customer where c_mktsegment = 'BUILDING' union select i.b from c join i on c.n = i.a) select n from c""")
 def q29_reachable_masked(spark, sf):
-    edges = _graph(spark, sf)
-    ends = edges.heads().union(edges.tails_union())
-    return fixpoint.reachable(edges, Space.literal(spark, "5"), ends.subtraction(Space.literal(spark, "26"))).columns("n")
+    customers = table(spark, sf, "customer")
+    start = facts(customers.where("c_mktsegment = 'BUILDING'"), None, "c_custkey", distinct=False)
+    within = facts(customers.where("c_acctbal >= 0"), None, "c_custkey", distinct=False)
+    return fixpoint.reachable(_graph(spark, sf), start, within).columns("n")
+
+
+#: Within a nation and segment, from each customer to the least, from there to the greatest, and from the greatest
+#: customer of the nation to all that are least.
+_MARKETS = """g as (select c_nationkey as n, min(c_custkey) as low, max(c_custkey) as high from customer group by c_nationkey, c_mktsegment),
+ e as (select c_custkey::varchar as a, min(c_custkey) over (partition by c_nationkey, c_mktsegment)::varchar as b from customer
+ union select low::varchar, high::varchar from g union select max(high) over (partition by n)::varchar, low::varchar from g)"""
 
 
-@_query(f"""{_CLOSURE}, m as (select x.a, x.b from c x join c y on x.a = y.b and x.b = y.a), r as (select a, min(b) as rep from m group by a)
+@_query(f"""with recursive {_MARKETS}, c as (select a, b from e union select c.a, e.b from c join e on c.b = e.a),
+ m as (select x.a, x.b from c x join c y on x.a = y.b and x.b = y.a), r as (select a, min(b) as rep from m group by a)
  select rep, a as member from r where rep <> a""")
 def q30_scc(spark, sf):
-    return fixpoint.strong_components(_graph(spark, sf)).columns("rep", "member")
+    customers = table(spark, sf, "customer")
+    groups = customers.groupBy("c_nationkey", "c_mktsegment").agg(F.min("c_custkey").alias("low"), F.max("c_custkey").alias("high"))
+    highest = customers.groupBy("c_nationkey").agg(F.max("c_custkey").alias("top"))
+    edges = facts(customers.join(groups, ["c_nationkey", "c_mktsegment"]), None, "c_custkey", "low")
+    edges = edges.union(facts(groups, None, "low", "high"), facts(groups.join(highest, "c_nationkey"), None, "top", "low"))
+    return fixpoint.strong_components(edges).columns("rep", "member")
 
 
 def _hierarchy(spark, sf):
@@ -304,11 +327,11 @@ def q33_range(spark, sf):
     return facts(table(spark, sf, "lineitem"), None, "l_linenumber").flat_map(grounded.numbers_in).columns("n")
 
 
-_CELLS = "select distinct l_partkey % 700 as x, (l_orderkey * 7) % 900 as y from lineitem"
+_CELLS = "select distinct l_suppkey as x, l_partkey as y from lineitem"
 
 
 def _cells(spark, sf):
-    return facts(table(spark, sf, "lineitem"), None, F.col("l_partkey") % 700, (F.col("l_orderkey") * 7) % 900)
+    return facts(table(spark, sf, "lineitem"), None, "l_suppkey", "l_partkey")
 
 
 @_query(f"select distinct (x + y)::varchar as total from ({_CELLS})")
@@ -416,14 +439,136 @@ def q47_prefixes(spark, sf):
     return both.flat_map(prefixes).frame.select(text_of(F.col("path")).alias("text"))
 
 
-@_query("""select unnest(['0.0.f', '0.1.0.f', '0.1.1.a', '1.0.h', '1.1.0.f', '1.1.1.0.f', '1.1.1.1.a', '1.2.0.f', '1.2.1.a', '2.0.f', '2.1.0.f', '2.1.1.a']) as leaf""")
+#: For each customer, one term says that its place is what the customer's nation is called and gives its name; in the
+#: other, the least customer of a nation names it, the places of the others are unknown, and all names are.
+_TERMS = "customer join nation on c_nationkey = n_nationkey join (select c_nationkey as k, min(c_custkey) as least from customer group by 1) on k = c_nationkey"
+
+
+@_query(f"select c_custkey || '.in.' || n_name as leaf from {_TERMS} union all select c_custkey || '.named.' || c_name from {_TERMS}")
 def q48_unify(spark, sf):
-    x = Space.literal(spark, "0.$z", "1.0.h", "1.1.$z", "1.2.$w", "2.0.f", "2.1.$w")
-    y = Space.literal(spark, "0.0.f", "0.1.$x", "1.0.h", "1.1.$y", "1.2.0.f", "1.2.1.a", "2.$y")
+    customers = table(spark, sf, "customer")
+    named = customers.join(table(spark, sf, "nation"), F.col("c_nationkey") == F.col("n_nationkey"))
+    least = customers.groupBy(F.col("c_nationkey").alias("k")).agg(F.min("c_custkey").alias("least"))
+    rows = named.join(least, F.col("k") == F.col("c_nationkey"))
+    unknown = F.concat(F.lit("$of"), F.col("c_custkey").cast("string"))
+    place = F.when(F.col("least") == F.col("c_custkey"), F.col("n_name")).otherwise(unknown)
+    leaf = lambda where, what: facts(rows, None, "c_custkey", F.lit(where), what, distinct=False)
+    x = leaf("in", F.concat(F.lit("$nation"), F.col("n_nationkey").cast("string"))).union(leaf("named", F.col("c_name")))
+    y = leaf("in", place).union(leaf("named", F.concat(F.lit("$name"), F.col("c_custkey").cast("string"))))
     return programs.unified(x, y).frame.select(text_of(F.col("path")).alias("leaf"))
 
 
-@_query("""select unnest(['1.4.4', '2.2.4']) as cell""")
+_SIZE, _BOX = 25, 5
+_GIVEN = f"select s_suppkey % {_SIZE} + 1 as c, s_nationkey + 1 as r, min(s_suppkey // {_SIZE} % {_SIZE} + 1) as v from supplier group by 1, 2"
+_BOX_OF = f"(({{0}}.c - 1) // {_BOX}) * {_BOX} + ({{0}}.r - 1) // {_BOX}"
+
+
+def _given(spark, sf):
+    """A grid whose columns, rows and values come from the suppliers; of several in a cell, the least value."""
+    c, v = F.col("s_suppkey") % _SIZE + 1, F.floor(F.col("s_suppkey") / _SIZE) % _SIZE + 1
+    rows = table(spark, sf, "supplier").groupBy(c.alias("c"), (F.col("s_nationkey") + 1).alias("r")).agg(F.min(v).alias("v"))
+    return facts(rows, None, "c", "r", "v", distinct=False)
+
+
+@_query(f"""with g as ({_GIVEN}), n as (select unnest(range(1, {_SIZE + 1})) as i),
+ o as (select a.i as c, b.i as r, x.i as v from n a, n b, n x where not exists (select 1 from g where g.c = a.i and g.r = b.i))
+ select o.c::varchar as c, o.r::varchar as r, o.v::varchar as v from o where not exists
+ (select 1 from g where g.v = o.v and (g.c = o.c or g.r = o.r or {_BOX_OF.format("g")} = {_BOX_OF.format("o")}))""")
 def q49_sudoku(spark, sf):
-    given = Space.literal(spark, "1.1.1", "1.2.2", "1.3.3", "2.1.3", "3.4.1")
-    return programs.sudoku_deductions(given, 4, 2).frame.select(text_of(F.col("path")).alias("cell"))
+    return programs.sudoku_candidates(_given(spark, sf), _SIZE, _BOX).columns("c", "r", "v")
+
+
+@_query("""with recursive s as (select distinct l_linenumber * l_suppkey as n from lineitem union select n // 2 from s) select n::varchar as n from s""")
+def q50_converge(spark, sf):
+    """Numbers halved, all at once, until nothing changes any more."""
+    numbers = facts(table(spark, sf, "lineitem"), None, F.col("l_linenumber") * F.col("l_suppkey"))
+    half = lambda x: x.map_paths(lambda p: F.array(F.floor(F.get(p, F.lit(0)).cast("bigint") / 2).cast("string")))
+    return fixpoint.converge((numbers,), lambda x: x, lambda x: (half(x),)).columns("n")
+
+
+def q51_solved(spark, sf):
+    """All that single candidates lead to; which of them come first matters to no set, but is beyond one SQL query."""
+    return programs.solved(_given(spark, sf), _SIZE, _BOX).columns("c", "r", "v")
+
+
+QUERIES["q51_solved"] = q51_solved
+
+
+@_query("""select n_regionkey::varchar as da, r_regionkey::varchar as db, n_nationkey::varchar as ia, r_name as ib, n_name as fa, r_name as fb from nation, region""")
+def q52_polynomial_product(spark, sf):
+    a = facts(table(spark, sf, "nation"), None, "n_regionkey", "n_nationkey", "n_name", distinct=False)
+    b = facts(table(spark, sf, "region"), None, "r_regionkey", "r_name", "r_name", distinct=False)
+    return programs.polynomial_product(a, b).columns("da", "db", "ia", "ib", "fa", "fb")
+
+
+@_query(f"{_FAMILY} select 'child' as kind, b as x, a as y from p union all select 'parent', a, b from p union all select 'female', w, null from f union all select 'person', w, null from f")
+def q53_indexed(spark, sf):
+    family = _family(spark, sf)
+    base = family.restriction(Space.literal(spark, "parent", "female"))
+    return programs.indexed(base).columns("kind", "x", "y")
+
+
+@_query("""select o_orderpriority as priority, md5(count(*) || ':' || bit_xor(('0x' || substr(md5(o_custkey || '.' || o_orderkey), 1, 15))::bigint)) as hash
+ from orders group by 1""")
+def q54_space_hash(spark, sf):
+    held = facts(table(spark, sf, "orders"), None, "o_orderpriority", "o_custkey", "o_orderkey", distinct=False)
+    return held.iterate(lambda priority, own: grounded.space_hash(own).wrap(priority)).columns("priority", "hash")
+
+
+@_query("select distinct l_partkey::varchar as part, l_suppkey::varchar as supp, (l_partkey + l_suppkey)::varchar as plus, (l_partkey - l_suppkey)::varchar as less from lineitem")
+def q55_add_sub(spark, sf):
+    pairs = facts(table(spark, sf, "lineitem"), None, "l_partkey", "l_suppkey")
+    made = pairs.iterate(lambda p, s, _: Space.single(spark, p + s + (p + s).apply(grounded.add) + (p + s).apply(grounded.sub)), 2)
+    return made.columns("part", "supp", "plus", "less")
+
+
+@_query("""with t as (select distinct n_name || '.' || repeat('.', n_regionkey) || r_name || repeat('.', n_nationkey % 3) as t from nation, region
+ union all select '' union all select '..'), p as (select t, case when t = '' then [''] else string_split(regexp_replace(t, '[.]+$', ''), '.') end as p from t)
+ select distinct case when t = '..' then 0 else len(p) end::bigint as items, case when t = '..' then '' else array_to_string(p, '|') end as path from p""")
+def q56_from_texts(spark, sf):
+    both = table(spark, sf, "nation").crossJoin(table(spark, sf, "region"))
+    dots = lambda n: F.expr(f"repeat('.', cast({n} as int))")
+    texts = both.select(F.concat("n_name", F.lit("."), dots("n_regionkey"), "r_name", dots("n_nationkey % 3")).alias("value")).distinct()
+    texts = texts.unionByName(spark.createDataFrame([("",), ("..",)], "value string"))
+    return from_texts(texts).frame.select(F.size("path").cast("bigint").alias("items"), F.array_join("path", "|").alias("path"))
+
+
+@_query("select l_returnflag as flag, l_suppkey::varchar as suppkey, count(distinct l_partkey)::varchar as parts from lineitem group by 1, 2 having count(distinct l_partkey) > 2")
+def q57_map_frame(spark, sf):
+    """A host function on whole sets: within each flag, suppliers with how many parts, if more than two."""
+
+    def counted(frame: DataFrame) -> DataFrame:
+        keys = [c for c in frame.columns if c != "path"]
+        n = frame.groupBy(*keys, F.get("path", F.lit(0)).alias("s")).agg(F.count(F.lit(1)).alias("n")).where("n > 2")
+        return n.select(*keys, F.array("s", F.col("n").cast("string")).alias("path"))
+
+    held = facts(table(spark, sf, "lineitem"), None, "l_returnflag", "l_suppkey", "l_partkey")
+    return held.iterate(lambda flag, own: own.map_frame(counted).wrap(flag)).columns("flag", "suppkey", "parts")
+
+
+@_query("select custkey, orderkey from (select o_custkey::varchar as custkey, o_orderkey::varchar as orderkey, row_number() over (partition by o_custkey order by o_orderkey::varchar) as k from orders) where k <= 3")
+def q58_first_three(spark, sf):
+    return _orders(spark, sf).iterate(lambda c, own: own.first(3).wrap(c)).columns("custkey", "orderkey")
+
+
+@_query("select custkey, orderkey from (select o_custkey::varchar as custkey, o_orderkey::varchar as orderkey, row_number() over (partition by o_custkey order by o_orderkey::varchar desc) as k from orders) where k <= 2")
+def q59_last_two(spark, sf):
+    return _orders(spark, sf).iterate(lambda c, own: own.last(2).wrap(c)).columns("custkey", "orderkey")
+
+
+@_query(f"""with recursive e as (select a, min(b) as b from ({_GRAPH}) where b < a group by a),
+ w as (select c_custkey::varchar as n, c_custkey::varchar as r from customer union select w.n, e.b from w join e on w.r = e.a)
+ select n as item, r as root from w where r not in (select a from e)""")
+def q60_representatives(spark, sf):
+    """Where the ways of customers to smaller ones end, for all customers: a function that asks for itself."""
+    down = _graph(spark, sf)
+    up = Space(down.frame.where(F.get("path", F.lit(1)) < F.get("path", F.lit(0))).groupBy(F.get("path", F.lit(0)).alias("a")).agg(F.min(F.get("path", F.lit(1))).alias("b")).select(F.array("a", "b").alias("path")), lengths={2})
+    customers = facts(table(spark, sf, "customer"), None, "c_custkey", distinct=False)
+    return programs.representatives(up, customers).columns("item", "root")
+
+
+@_query("select distinct 'kept' as tag, o_orderpriority as second, o_orderstatus as first from orders union select distinct 'kept', o_orderpriority, 'F' from orders where o_orderstatus = '$any'")
+def q61_transformation_literals(spark, sf):
+    """Literals of the pattern are compared, and a variable captures; the template turns the captures around."""
+    orders = facts(table(spark, sf, "orders"), "order", "o_orderstatus", "o_orderpriority").union(facts(table(spark, sf, "nation"), "nation", "n_name", "n_regionkey", distinct=False))
+    return orders.transformation("order.$status.$priority", "kept.$priority.$status").columns("tag", "second", "first")

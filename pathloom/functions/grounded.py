@@ -15,8 +15,8 @@ def path_hash(path: Column) -> Column:
 
 
 def space_hash(space: Space) -> Space:
-    """One item for the set, the same in any order: the count and the exclusive or of the paths' hashes."""
-    bits = F.bit_xor(F.xxhash64(text_of(F.col("path"))))
+    """One item for the set, the same in any order: of the count and the exclusive or of the starts of the paths' MD5."""
+    bits = F.bit_xor(F.conv(F.substring(F.md5(text_of(F.col("path"))), 1, 15), 16, 10).cast("bigint"))
     return space.aggregate(F.md5(F.concat_ws(":", F.count(F.lit(1)), bits)), "")
 
 
@@ -43,14 +43,14 @@ def sub(a: Column, b: Column) -> Column:
 def arithmetic(space: Space) -> Space:
     """The sums of the rows ``+.x.y``, and of ``+₂.x0.x1.y0.y1`` by component; other rows are dropped."""
 
-    def sums(path: Column) -> Column:
-        at = lambda i: F.get(path, F.lit(i)).try_cast("bigint")
-        one = F.when((F.get(path, F.lit(0)) == "+") & (F.size(path) == 3), F.array((at(1) + at(2)).cast("string")))
-        two = F.when((F.get(path, F.lit(0)) == "+₂") & (F.size(path) == 5), F.array((at(1) + at(3)).cast("string"), (at(2) + at(4)).cast("string")))
-        made = F.coalesce(one, two)
-        return F.when(~F.exists(made, lambda x: x.isNull()), made)
-
-    return space.map_paths(sums)
+    path = F.col("path")
+    at = lambda i: F.get(path, F.lit(i)).try_cast("bigint")
+    one = (F.get(path, F.lit(0)) == "+") & (F.size(path) == 3)
+    two = (F.get(path, F.lit(0)) == "+₂") & (F.size(path) == 5)
+    sums = F.when(one, at(1) + at(2)).when(two, at(1) + at(3)).alias("a"), F.when(two, at(2) + at(4)).alias("b")
+    rows = space.frame.where(one | two).select(*space.keys, two.alias("two"), *sums).where("a is not null and (b is not null or not two)").distinct()
+    made = F.when(F.col("two"), F.array(F.col("a").cast("string"), F.col("b").cast("string"))).otherwise(F.array(F.col("a").cast("string")))
+    return Space(rows.select(*space.keys, made.alias("path")), space.keys)
 
 
 def sample(space: Space, seed: str, n: int) -> Space:

@@ -3,6 +3,8 @@
 from __future__ import annotations
 
 from collections.abc import Callable
+from functools import reduce
+from itertools import count
 
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -10,43 +12,63 @@ from pyspark.sql import functions as F
 from ..operators.space import Space
 from .lineage import checkpointed
 
-#: Rounds after which a recursion that doesn't settle is an error.
-MOST_ROUNDS = 1000
-
 
 class NotSettled(RuntimeError):
-    """A recursion that was still changing after MOST_ROUNDS rounds."""
+    """A recursion that was still changing after the rounds that it was given."""
+
+
+def _rounds(rounds: int | None):
+    return count() if rounds is None else range(rounds)
 
 
 def _kept(space: Space) -> Space:
     return Space(checkpointed(space.frame), space.keys, space.lengths)
 
 
-def least_fixpoint(start: Space, step: Callable[[Space, Space], Space]) -> Space:
+class _Parts:
+    """A growing set as disjoint parts that are written once; parts of one size class are joined, so that they stay few."""
+
+    def __init__(self, start: Space):
+        self.space, self.parts = start, [(0, start.frame)]
+
+    def add(self, new: Space) -> None:
+        size, frame = 0, new.frame
+        while len(self.parts) > 8 and self.parts[-1][0] <= size:
+            last, more = self.parts.pop()
+            size, frame = last + 1, checkpointed(frame.unionByName(more))
+        self.parts.append((size, frame))
+        known = self.space.lengths is not None and new.lengths is not None
+        lengths = self.space.lengths | new.lengths if known else None
+        self.space = Space(reduce(DataFrame.unionByName, [f for _, f in self.parts]), self.space.keys, lengths)
+
+
+def least_fixpoint(start: Space, step: Callable[[Space, Space], Space], rounds: int | None = None) -> Space:
     """The least set that holds ``start`` and is closed under ``step(all, new)``.
 
     ``step`` gives what follows from the paths of the last round, ``new``, with any of ``all``; steps of old paths
-    alone aren't asked for again.
+    alone aren't asked for again. A round writes its new paths only. It ends by itself if the set is finite; ``rounds``
+    may bound it.
     """
-    every = new = _kept(start)
-    for _ in range(MOST_ROUNDS):
-        new = _kept(step(every, new).subtraction(every))
+    new = _kept(start)
+    every = _Parts(new)
+    for _ in _rounds(rounds):
+        new = _kept(step(every.space, new).subtraction(every.space))
         if new.frame.isEmpty():
-            return every
-        every = _kept(every.union(new))
+            return every.space
+        every.add(new)
     raise NotSettled("least_fixpoint")
 
 
-def inflationary(start: Space, step: Callable[[Space], Space]) -> Space:
+def inflationary(start: Space, step: Callable[[Space], Space], rounds: int | None = None) -> Space:
     """``start``, then what ``step`` of all so far adds, until it adds nothing; ``step`` may be any function of sets."""
-    return least_fixpoint(start, lambda every, _: step(every))
+    return least_fixpoint(start, lambda every, _: step(every), rounds)
 
 
-def converge(state: tuple[Space, ...], emit: Callable[..., Space], step: Callable[..., tuple[Space, ...]]) -> Space:
+def converge(state: tuple[Space, ...], emit: Callable[..., Space], step: Callable[..., tuple[Space, ...]], rounds: int | None = None) -> Space:
     """The union of ``emit`` over the states that ``step`` goes through until one repeats itself."""
     state = tuple(map(_kept, state))
     out = _kept(emit(*state))
-    for _ in range(MOST_ROUNDS):
+    for _ in _rounds(rounds):
         after = tuple(map(_kept, step(*state)))
         out = _kept(out.union(emit(*after)))
         if all(_same(a, b) for a, b in zip(state, after)):
@@ -55,28 +77,58 @@ def converge(state: tuple[Space, ...], emit: Callable[..., Space], step: Callabl
     raise NotSettled("converge")
 
 
+def recursive(function: Callable[[Callable[[Space], Space], Space], Space], argument: Space, rounds: int | None = None) -> Space:
+    """The least result of ``f(argument)`` for a function whose body may ask for itself: ``function(f, argument)``.
+
+    A call is known by the name of its argument, a set that the recursion keeps: all that any call was asked for in a
+    round is one argument of the next, and its answer grows until nothing is added. The body has to be a function that
+    gives more for more, of the argument and of what calls answer; a call answers with all that is known so far.
+    """
+    asked = answer = None
+    for _ in _rounds(rounds):
+        now = argument if asked is None else asked
+        wanted: list[Space] = []
+
+        def call(of: Space) -> Space:
+            wanted.append(of)
+            return answer if answer is not None else Space(of.frame.limit(0), lengths=())
+
+        got = function(call, now)
+        more = _kept(reduce(Space.union, [got] if answer is None else [answer, got]))
+        ask = _kept(reduce(Space.union, [now, *wanted]))
+        done = answer is not None and more.subtraction(answer).frame.isEmpty() and ask.subtraction(now).frame.isEmpty()
+        asked, answer = ask, more
+        if done:
+            return answer
+    raise NotSettled("recursive")
+
+
 def _same(a: Space, b: Space) -> bool:
     return a.subtraction(b).frame.isEmpty() and b.subtraction(a).frame.isEmpty()
 
 
 def closure(edges: Space) -> Space:
-    """The transitive closure of pairs, by joining the new pairs of each round with the edges."""
-    one = edges.columns("_b", "_c").distinct()
+    """The transitive closure of pairs. A round joins its new pairs with all, so that the length of a way doubles."""
 
-    def longer(_: Space, new: Space) -> Space:
-        rows = new.columns("_a", "_b").join(one, "_b").select(F.array("_a", "_c").alias("path"))
-        return Space(rows.distinct(), lengths={2})
+    def longer(every: Space, new: Space) -> Space:
+        pairs, fresh = every.columns("_b", "_c"), new.columns("_a", "_b")
+        after = fresh.join(pairs, "_b").select("_a", "_c")
+        before = every.columns("_a", "_b").join(new.columns("_b", "_c"), "_b").select("_a", "_c")
+        return Space(after.unionByName(before).distinct().select(F.array("_a", "_c").alias("path")), lengths={2})
 
     return least_fixpoint(Space(edges.frame, lengths={2}), longer)
 
 
 def reachable(edges: Space, start: Space, within: Space | None = None) -> Space:
-    """The items of ``start`` and those that can be reached from them over edges whose ends lie ``within``."""
+    """The items of ``start`` and those that can be reached from them over edges whose ends lie ``within``.
+
+    A round goes one edge on from the items of the last.
+    """
     pairs = edges.columns("_a", "_b")
     if within is not None:
         inside = within.columns("_b")
         pairs = pairs.join(inside, "_b", "left_semi").join(inside.withColumnRenamed("_b", "_a"), "_a", "left_semi")
-    pairs = pairs.select("_a", "_b").distinct()
+    pairs = checkpointed(pairs.select("_a", "_b").distinct())
 
     def next_to(_: Space, new: Space) -> Space:
         rows = new.columns("_a").join(pairs, "_a").select(F.array("_b").alias("path"))
@@ -85,40 +137,37 @@ def reachable(edges: Space, start: Space, within: Space | None = None) -> Space:
     return least_fixpoint(Space(start.frame, lengths={1}), next_to)
 
 
-def _spread(label: DataFrame, pairs: DataFrame) -> DataFrame:
-    """``(n, l)`` with the least label that reaches each node over ``pairs(a, b)``."""
+def _spread(pairs: DataFrame) -> DataFrame:
+    """``(n, l)`` with the least node that reaches each node over ``pairs(a, b)``.
+
+    What reaches a node's label reaches the node, so that a round also takes the label of its label: ways double.
+    """
+    label = checkpointed(pairs.select(F.explode(F.array("a", "b")).alias("n")).distinct().select("n", F.col("n").alias("l")))
     while True:
-        come = label.join(pairs, label["n"] == pairs["a"]).select(F.col("b").alias("n"), "l")
-        after = checkpointed(label.unionByName(come).groupBy("n").agg(F.min("l").alias("l")))
-        if after.join(label, ["n", "l"], "left_anti").isEmpty():
-            return after
-        label = after
+        own = label.select("n", "l", F.col("l").alias("before"))
+        come = label.join(pairs, label["n"] == pairs["a"]).select(F.col("b").alias("n"), "l", F.lit(None).cast("string").alias("before"))
+        jump = label.join(label.select(F.col("n").alias("l"), F.col("l").alias("_far")), "l").select("n", F.col("_far").alias("l"), F.lit(None).cast("string").alias("before"))
+        after = checkpointed(own.unionByName(come).unionByName(jump).groupBy("n").agg(F.min("l").alias("l"), F.max("before").alias("before")))
+        label = after.select("n", "l")
+        if after.where("l != before").isEmpty():
+            return label
 
 
 def strong_components(edges: Space) -> Space:
     """``representative.member`` for the members of each strong component of two nodes or more.
 
-    The representative is the least member. Each round gives every node the least label that reaches it; the nodes of
-    a label that reach its owner are a component and leave.
+    The representative is the least member. Each round gives every node the least node that reaches it and the least
+    that it reaches. Where these are one node, the node is in its component and leaves; edges stay between nodes that
+    have both in common.
     """
-    pairs = checkpointed(edges.columns("a", "b").where("a != b").distinct())
-    out = None
+    pairs = checkpointed(edges.columns("a", "b").distinct()).where("a != b")
+    parts = []
     while not pairs.isEmpty():
-        nodes = pairs.select(F.explode(F.array("a", "b")).alias("n")).distinct()
-        label = _spread(checkpointed(nodes.select("n", F.col("n").alias("l"))), pairs)
-        ends = pairs.join(label.select(F.col("n").alias("a"), F.col("l").alias("la")), "a").join(label.select(F.col("n").alias("b"), F.col("l").alias("lb")), "b")
-        back = checkpointed(ends.where("la = lb").select(F.col("b").alias("a"), F.col("a").alias("b")))
-        found = label.where("n = l")
-        while True:
-            come = found.join(back, found["n"] == back["a"]).select(F.col("b").alias("n"), "l")
-            after = checkpointed(found.unionByName(come).distinct())
-            if after.join(found, ["n", "l"], "left_anti").isEmpty():
-                break
-            found = after
-        members = found.where("n != l").select(F.array("l", "n").alias("path"))
-        out = members if out is None else out.unionByName(members)
-        gone = found.select("n")
-        rest = ends.where("la = lb").select("a", "b")  # an edge between labels lies in no component
-        rest = rest.join(gone.withColumnRenamed("n", "a"), "a", "left_anti").join(gone.withColumnRenamed("n", "b"), "b", "left_anti")
-        pairs = checkpointed(rest.select("a", "b"))
-    return Space(checkpointed(out), lengths={2}) if out is not None else Space(edges.frame.limit(0), lengths={2})
+        down, up = _spread(pairs), _spread(pairs.select(F.col("b").alias("a"), F.col("a").alias("b")))
+        both = checkpointed(down.join(up.withColumnRenamed("l", "r"), "n"))
+        parts.append(both.where("l = r and n != l").select(F.array("l", "n").alias("path")))
+        left = both.where("l != r")
+        of = [left.select(F.col("n").alias(x), F.col("l").alias("l" + x), F.col("r").alias("r" + x)) for x in "ab"]
+        pairs = checkpointed(pairs.join(of[0], "a").join(of[1], "b").where("la = lb and ra = rb").select("a", "b"))
+    out = reduce(DataFrame.unionByName, parts) if parts else edges.frame.limit(0).select("path")
+    return Space(checkpointed(out), lengths={2})

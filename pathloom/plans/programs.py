@@ -5,8 +5,9 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ..operators.space import ITEMS, Path, Space
-from .fixpoint import MOST_ROUNDS, NotSettled, converge, least_fixpoint
+from ..functions.paths import REST
+from ..operators.space import ITEMS, Space
+from .fixpoint import NotSettled, _rounds, converge, least_fixpoint, recursive
 from .lineage import checkpointed
 
 # Families
@@ -210,28 +211,59 @@ def differences(x: Space, y: Space) -> Space:
     return Space(parts[0].unionByName(parts[1]).unionByName(parts[2]).distinct())
 
 
-def substituted(term: Space, variable: str, by: Space) -> Space:
-    """The term with another one in place of each leaf of the variable."""
-    held = term.frame.where(F.element_at("path", -1) == variable)
-    put = held.crossJoin(by.frame.withColumnRenamed("path", "_by")).select(F.concat(F.slice("path", F.lit(1), F.size("path") - 1), "_by").alias("path"))
-    return Space(term.frame.where(F.element_at("path", -1) != variable).unionByName(put).distinct())
+def substituted(term: Space, by: DataFrame) -> Space:
+    """The term with the terms ``by(variable, rest)``, a row a leaf, in place of the leaves of their variables."""
+    leaves = term.frame.withColumn("variable", F.element_at("path", -1)).join(by, "variable", "left")
+    put = F.concat(F.slice("path", F.lit(1), F.size("path") - 1), "rest")
+    return Space(leaves.select(F.when(F.col("rest").isNull(), F.col("path")).otherwise(put).alias("path")).distinct())
 
 
-def unified(x: Space, y: Space) -> Space:
-    """The most general common instance of two terms, or what conflicts.
+def unified(x: Space, y: Space, rounds: int | None = None) -> Space:
+    """The most general common instance of two terms, or what conflicts, a variable that faces a term with itself in it included.
 
-    Each round binds the first variable that faces another term to it, at the first such position, in both terms.
+    A round binds, in both terms, all variables that face another term, each at one position, where no bound term has
+    the variable in it; a variable faces a symbol before it faces a variable. If each is in another's term, the least
+    is bound.
     """
-    for _ in range(MOST_ROUNDS):
+    for _ in _rounds(rounds):
         x, y = Space(checkpointed(x.frame)), Space(checkpointed(y.frame))
         found = Space(checkpointed(differences(x, y).frame))
         conflict = found.restriction(Space.literal(x.frame.sparkSession, "conflict"))
+        faced = found.unwrap("bind").frame.select(F.get("path", F.lit(0)).alias("variable"), F.get("path", F.lit(1)).alias("at"), F.slice("path", 3, REST).alias("rest"))
+        last = F.element_at("rest", -1)
+        occurs = faced.where((F.size("rest") > 1) & (last == F.col("variable"))).select(F.concat(F.array(F.lit("conflict"), "variable"), "rest").alias("path"))
+        conflict = Space(checkpointed(conflict.frame.unionByName(occurs).distinct()))
         if not conflict.frame.isEmpty():
             return conflict
-        one = found.unwrap("bind").heads(2).first(1).frame.collect()
-        if not one:
+        if faced.isEmpty():
             return x
-        variable, at = one[0].path
-        term = found.unwrap(Path.of(("bind", variable, at)))
-        x, y = substituted(x, variable, term), substituted(y, variable, term)
+        where = faced.groupBy("variable", "at").agg(F.max(last.startswith("$") & (F.size("rest") == 1)).alias("plain"))
+        one = where.groupBy("variable").agg(F.min(F.struct("plain", "at")).alias("w")).select("variable", "w.at")
+        bound = checkpointed(faced.join(one, ["variable", "at"]).select("variable", "rest"))
+        free = bound.join(bound.select(last.alias("variable")).distinct(), "variable", "left_anti")
+        if free.isEmpty():
+            free = bound.join(bound.agg(F.min("variable").alias("variable")), "variable", "left_semi")
+        x, y = substituted(x, free), substituted(y, free)
     raise NotSettled("unified")
+
+
+# Sets of sets
+
+
+def representatives(parents: Space, items: Space) -> Space:
+    """``item.root`` for each of the items: where the way up over ``item.parent`` ends.
+
+    The way of an item is that of its parent; asked for all items at once.
+    """
+    up = checkpointed(parents.columns("item", "next"))
+
+    def find(call, asked: Space) -> Space:
+        own = asked.columns("item").join(up, "item", "left")
+        top = own.where(F.col("next").isNull() | (F.col("next") == F.col("item"))).select(F.array("item", "item").alias("path"))
+        more = own.where(F.col("next").isNotNull() & (F.col("next") != F.col("item")))
+        above = call(Space(more.select(F.array("next").alias("path")).distinct(), lengths={1}))
+        known = more.join(above.columns("next", "root"), "next").select(F.array("item", "root").alias("path"))
+        return Space(top.unionByName(known).distinct(), lengths={2})
+
+    found = recursive(find, Space(items.frame, lengths={1}))
+    return found.restriction(items)
