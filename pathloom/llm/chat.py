@@ -7,7 +7,7 @@ it reads the keys of given records and nothing else; there are no calls and no a
     text   {{ expression }}   {% if e %} {% elif e %} {% else %} {% endif %}
     {% for name in messages %} ... {% endfor %}   {% generation %} ... {% endgeneration %}
 
-Expressions: strings, integers, names, ``name.key``, ``==``, ``!=``, ``~`` (joins texts), ``not``, ``and``, ``or``,
+Expressions: strings, integers, names, ``name.key``, ``name['key']``, ``==``, ``!=``, ``~`` (joins texts), ``not``, ``and``, ``or``,
 brackets and the filters ``escape``, ``trim``, ``upper`` and ``lower``.
 """
 
@@ -51,8 +51,10 @@ class TemplateError(ValueError):
     """A template that isn't of the language, or a name or key that isn't there."""
 
 
-_TAG = re.compile(r"\{\{(.*?)\}\}|\{%(.*?)%\}", re.S)
-_TOKEN = re.compile(r"""\s*(?:('(?:[^'\\]|\\.)*'|"(?:[^"\\]|\\.)*")|(\d+)|([A-Za-z_]\w*)|(==|!=|[.~|()]))""", re.S)
+_STRING = r"""'(?:[^'\\]|\\.)*'|"(?:[^"\\]|\\.)*\""""
+#: A tag ends at the first end of it that stands in no string.
+_TAG = re.compile(rf"\{{\{{((?:{_STRING}|(?!\}}\}})[^'\"])*)\}}\}}|\{{%((?:{_STRING}|(?!%\}})[^'\"])*)%\}}", re.S)
+_TOKEN = re.compile(r"""\s*(?:('(?:[^'\\]|\\.)*'|"(?:[^"\\]|\\.)*")|(\d+)|([A-Za-z_]\w*)|(==|!=|[.~|()\[\]]))""", re.S)
 _WORDS = {"not", "and", "or", "in", "for", "if", "elif", "else", "endif", "endfor", "generation", "endgeneration"}
 
 
@@ -144,8 +146,14 @@ class _Expression:
         if self.rest and self.rest[0][0] == "const":
             return ("const", self.rest.pop(0)[1])
         node: tuple = ("name", self.name())
-        while self.take("."):
-            node = ("key", node, self.name())
+        while sign := self.take(".", "["):
+            if sign == ".":
+                node = ("key", node, self.name())
+                continue
+            kind, key = self.rest.pop(0) if self.rest else ("", "")
+            if kind != "const" or not self.take("]"):
+                raise TemplateError("a key in brackets has to be a string")
+            node = ("key", node, key)
         return node
 
 
@@ -364,7 +372,7 @@ def format_conversations(turns: DataFrame, template: str = TEMPLATE) -> DataFram
     """``(conv_id, part, formatted, loss)``: the rendered conversations in parts, one for each turn, in order.
 
     ``turns(conv_id, turn, role, text, ...)``; rows go by turn, of equals by role and text. Null roles and texts are
-    empty, and rows without conv_id are one conversation. ``loss`` holds the generated ranges of the part. A partition
+    empty, and rows without conv_id are one conversation. Repeated rows are turns of their own. ``loss`` holds the generated ranges of the part. A partition
     holds whole conversations with their parts in order. A conversation is streamed, however long. Other columns are
     not read.
     """

@@ -74,3 +74,10 @@ def test_messages_are_streamed():
 
     parts = chat.compiled(chat.TEMPLATE)(endless())
     assert next(parts)[0] == "<turn user>\n1\n</turn>\n" and next(parts)[0].count("2") == 1
+
+
+def test_tags_end_outside_strings_and_keys_may_stand_in_brackets():
+    render = chat.compiled("{{ '}}' }}{% for m in messages %}{% if m['role'] == \"%}\" %}no{% else %}{{ m['text'] ~ '{{x}}' }}{% endif %}{% endfor %}")
+    assert "".join(t for t, _ in render([{"role": "user", "text": "a"}])) == "}}a{{x}}"
+    with pytest.raises(chat.TemplateError):
+        chat.parse("{{ m[role] }}")

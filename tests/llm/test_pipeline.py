@@ -37,7 +37,9 @@ def test_against_plain_stages(spark):
     items = [(r.item_id, r.text) for r in spark.read.parquet(f"{DATA}/benchmark.parquet").collect()]
     profiles = langid.fit(langid.training_rows(docs))
     rows = [(r.doc_id, r.text) for r in docs.collect()]
-    rows = [(d, t) for d, t in rows if profiles.predict(t)[0] != "und" and profiles.predict(t)[1] >= langid.LEAST_SCORE]
+    least = {r._name: r._least for r in langid.least_scores(langid.training_rows(docs), profiles).collect()}
+    found = {t: profiles.predict(t) for _, t in rows}
+    rows = [(d, t) for d, t in rows if found[t][0] != "und" and found[t][1] >= least[found[t][0]]]
     rows = [(d, t) for d, _, _, t in plain_lines(rows)]
     one = {d for d, _, c in plain_simhash(rows) if d == c}
     rows = [(d, t) for d, t in rows if d in one]
