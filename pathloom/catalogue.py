@@ -91,10 +91,12 @@ def q03_intersect(spark, sf):
     return facts(table(spark, sf, "customer"), None, "c_nationkey").intersection(facts(table(spark, sf, "supplier"), None, "s_nationkey")).columns("nationkey")
 
 
-@_query("select c_custkey::varchar as custkey from customer except select o_custkey::varchar from orders")
+@_query("""select c_custkey::varchar as custkey, p as priority from customer, (select distinct o_orderpriority as p from orders)
+ except select o_custkey::varchar, o_orderpriority from orders""")
 def q04_subtract(spark, sf):
-    ordered = facts(table(spark, sf, "orders"), None, "o_custkey")
-    return facts(table(spark, sf, "customer"), None, "c_custkey", distinct=False).subtraction(ordered).columns("custkey")
+    priorities = facts(table(spark, sf, "orders"), None, "o_orderpriority")
+    every = facts(table(spark, sf, "customer"), None, "c_custkey", distinct=False).composition(priorities)
+    return every.subtraction(_priorities(spark, sf)).columns("custkey", "priority")
 
 
 def _building(spark, sf):
