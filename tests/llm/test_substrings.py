@@ -69,10 +69,14 @@ def test_no_group_exceeds_its_bound(spark, group):
     count = Counter(r.prefix for r in held)
     assert max(count.values()) <= group and len({r.suffix.split(" ")[0] for r in held}) == 1
     assert "same " * 13 in {r.suffix for r in many.collect()} and len(held) + many.count() == len(made)
-    names = defaultdict(set)
+    size = Counter(tuple(w[:n]) for w in made for n in ss.LENGTHS)
+    want, got = defaultdict(set), defaultdict(set)
+    for k, w in enumerate(made):
+        for prefix in [tuple(w[:n]) for n in ss.LENGTHS if size[tuple(w[:n])] <= group][:1]:
+            want[prefix].add(k)
     for r in held:
-        names[r.prefix].add(tuple(r.suffix.split()))
-    assert any(len(w) > 1 for w in names.values()) == (group == 20)  # a prefix of ten words, or whole windows
+        got[r.prefix].add(r.doc)
+    assert sorted(map(sorted, got.values())) == sorted(map(sorted, want.values()))
 
 
 def test_the_tree_of_a_group():
