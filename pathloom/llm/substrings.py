@@ -28,7 +28,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from .common import dropped, numbers, saved, spread_join, table, utf8
-from .rolling import Powers, Rolled, mixed
+from .rolling import Powers, Rolled
 
 #: Words of a window and of an anchor.
 WINDOW = 13
@@ -50,31 +50,6 @@ def _row_of(digest: bytes) -> int:
     return int.from_bytes(digest[:8], "little", signed=True)
 
 
-_COPIES = "doc long, digest binary"
-
-
-def _digests(rows: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    for batch in rows:
-        ids, digests = [], []
-        for doc, text in zip(batch.column("doc_id").to_pylist(), utf8(batch.column("text"))):
-            words = (text or b"").split()
-            if len(words) >= WINDOW:
-                ids.append(doc)
-                digests.append(_digest(words))
-        yield pa.RecordBatch.from_arrays([pa.array(ids, pa.int64()), pa.array(digests, pa.binary())], names=["doc", "digest"])
-
-
-def copies(rows: DataFrame) -> DataFrame:
-    """``(doc, digests)``, a row a document: the sequences of words that a smaller document has too, shorter ones than a
-    window aside."""
-    every = saved(rows.mapInArrow(_digests, _COPIES), "word-digests")
-    least = every.groupBy("digest").agg(F.min("doc").alias("least"), F.max("doc").alias("most")).where("least < most")
-    later = spread_join(every, least.select("digest", "least"), "digest", "doc").where("doc > least")
-    out = saved(later.groupBy("doc").agg(F.collect_set("digest").alias("digests")), "word-copies")
-    dropped(every)
-    return out
-
-
 def _anchors(grams: np.ndarray) -> np.ndarray:
     """The anchor of each window, from the hashes of the sequences of ANCHOR words."""
     least, wide, whole = grams, 1, WINDOW - ANCHOR + 1
@@ -98,30 +73,57 @@ def _runs(x: np.ndarray) -> np.ndarray:
     return np.concatenate([[True], x[1:] != x[:-1]]) if len(x) else np.zeros(0, bool)
 
 
-_ANCHORS = pa.schema([("key", pa.int64()), ("anchor", pa.int64()), ("doc", pa.int64()), ("shared", pa.bool_())])
+_SKETCH = "doc long, digest binary, anchors binary"
 
 
-def _all_anchors(rows: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """An anchor that several documents of a batch hold is shared: one row goes to where it is compared, others anywhere."""
+def _sketches(rows: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     powers = Powers()
     for batch in rows:
-        found, docs = [np.zeros(0, np.uint64)], [np.zeros(0, np.int64)]
-        for doc, text, drop in zip(batch.column("doc_id").to_pylist(), utf8(batch.column("text")), batch.column("digests").to_pylist()):
+        ids, digests, anchors = [], [], []
+        for doc, text in zip(batch.column("doc_id").to_pylist(), utf8(batch.column("text"))):
             words = (text or b"").split()
-            if len(words) >= WINDOW and not (drop and _digest(words) in drop):
-                found.append(np.unique(_anchors(Rolled(words, powers).grams(ANCHOR))))
-                docs.append(np.full(len(found[-1]), doc))
-        anchor, doc = np.concatenate(found), np.concatenate(docs)
+            if len(words) >= WINDOW:
+                ids.append(doc)
+                digests.append(_digest(words))
+                anchors.append(np.unique(_anchors(Rolled(words, powers).grams(ANCHOR))).tobytes())
+        yield pa.RecordBatch.from_arrays([pa.array(ids, pa.int64()), pa.array(digests, pa.binary()), pa.array(anchors, pa.binary())], names=["doc", "digest", "anchors"])
+
+
+def sketches(rows: DataFrame) -> DataFrame:
+    """``(doc, digest, anchors)`` of each row of a window's words or more: the hash of its words and its distinct anchors,
+    packed; a saved table."""
+    return saved(rows.mapInArrow(_sketches, _SKETCH), "word-sketches")
+
+
+def copies(every: DataFrame) -> DataFrame:
+    """``(doc, digests)``, a row a document: the sequences of words that a smaller document has too, from the sketches."""
+    every = every.select("doc", "digest")
+    least = every.groupBy("digest").agg(F.min("doc").alias("least"), F.max("doc").alias("most")).where("least < most")
+    later = spread_join(every, least.select("digest", "least"), "digest", "doc").where("doc > least")
+    return saved(later.groupBy("doc").agg(F.collect_set("digest").alias("digests")), "word-copies")
+
+
+#: A row of an anchor is compared with those of other batches, and may be known to be shared; further ones of a batch are
+#: known to be shared and go anywhere.
+_COMPARED, _COMPARED_SHARED, _FURTHER = range(3)
+_ANCHORS = pa.schema([("anchor", pa.int64()), ("doc", pa.int64()), ("state", pa.int8())])
+
+
+def _all_anchors(rows: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Sketches to a row for each anchor of a batch, and one for each of its documents where there are several."""
+    for batch in rows:
+        packed = [np.frombuffer(x, np.uint64) for x in utf8(batch.column("anchors"))]
+        anchor = np.concatenate([np.zeros(0, np.uint64), *packed])
+        doc = np.repeat(numbers(batch.column("doc")), [len(x) for x in packed])
         by = np.lexsort((doc, anchor))
         anchor, doc = anchor[by], doc[by]
         first = _runs(anchor)
         start = np.flatnonzero(first)
         size = np.diff(np.append(start, len(anchor)))
         several = np.repeat(doc[start + size - 1] != doc[start], size)
-        key = np.where(first, anchor, mixed(doc.view(np.uint64)))
+        state = np.where(first, np.where(several, _COMPARED_SHARED, _COMPARED), _FURTHER).astype(np.int8)
         keep = first | several
-        columns = (key.view(np.int64), anchor.view(np.int64), doc, several)
-        yield pa.RecordBatch.from_arrays([pa.array(c[keep]) for c in columns], schema=_ANCHORS)
+        yield pa.RecordBatch.from_arrays([pa.array(c[keep]) for c in (anchor.view(np.int64), doc, state)], schema=_ANCHORS)
 
 
 _SHARED = pa.schema([("doc", pa.int64()), ("anchors", pa.binary())])
@@ -136,20 +138,20 @@ def _packed(doc: np.ndarray, values: np.ndarray) -> tuple[np.ndarray, list[bytes
 
 
 def _shared(rows: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Rows sorted by key and anchor to those whose anchor is shared, the anchors of a document together.
+    """Rows sorted so that the compared ones of an anchor follow each other, to those whose anchor is shared, the anchors of
+    a document together.
 
     Only the first row of an anchor can be waiting for a second one.
     """
     last, least = None, None  # the anchor of the row before; its document while it waits
     for batch in rows:
-        key, anchor, doc = (numbers(batch.column(c)) for c in ("key", "anchor", "doc"))
-        known = batch.column("shared").to_numpy(zero_copy_only=False).astype(bool)
+        anchor, doc, state = (numbers(batch.column(c)) for c in _ANCHORS.names)
+        own, known = state != _FURTHER, state != _COMPARED
         out_doc, out_anchor = [], []
-        if len(key):
-            if least is not None and key[0] == anchor[0] == last:
+        if len(anchor):
+            if least is not None and own[0] and anchor[0] == last:
                 out_doc.append([least])
                 out_anchor.append([last])
-            own = key == anchor
             before = np.concatenate([[last == anchor[0] and bool(own[0])], (anchor[1:] == anchor[:-1]) & own[1:] & own[:-1]])
             after = np.concatenate([before[1:], [False]])
             keep = known | before | after
@@ -248,11 +250,15 @@ def _leaves(together: int):
     return run
 
 
-def leaves(docs: DataFrame, copied: DataFrame, together: int = TOGETHER) -> DataFrame:
-    """The sampled suffixes of ``docs(doc_id, text)`` that may repeat, as a saved table of leaves."""
-    rows = docs.where("doc_id is not null").join(copied, F.col("doc_id") == copied["doc"], "left").select("doc_id", "text", "digests")
-    dealt = rows.mapInArrow(_all_anchors, "key long, anchor long, doc long, shared boolean").repartition("key").sortWithinPartitions("key", "anchor")
+def leaves(docs: DataFrame, sketched: DataFrame, copied: DataFrame, together: int = TOGETHER) -> DataFrame:
+    """The sampled suffixes of ``docs(doc_id, text)`` that may repeat, as a saved table of leaves; the sketches go."""
+    single = sketched.join(copied, "doc", "left").where("not coalesce(array_contains(digests, digest), false)").select("doc", "anchors")
+    # The key isn't a column, as it would be shuffled with the rows.
+    key = F.when(F.col("state") == _FURTHER, F.xxhash64("doc")).otherwise(F.col("anchor"))
+    dealt = single.mapInArrow(_all_anchors, "anchor long, doc long, state byte").repartition(key).sortWithinPartitions(key, "anchor", "state")
     shared = saved(dealt.mapInArrow(_shared, "doc long, anchors binary"), "shared-anchors")
+    dropped(sketched)
+    rows = docs.where("doc_id is not null").join(copied, F.col("doc_id") == copied["doc"], "left").select("doc_id", "text", "digests")
     held = shared.groupBy(F.col("doc").alias("_doc")).agg(F.collect_list("anchors").alias("_anchors"))
     both = rows.join(held, rows["doc_id"] == held["_doc"])
     out = saved(both.mapInArrow(_leaves(together), _LEAF), "suffixes")
@@ -396,9 +402,9 @@ def _in_groups(leaves: DataFrame) -> DataFrame:
     return dealt.mapInArrow(_trees, _LOSS)
 
 
-def lost_starts(docs: DataFrame, copied: DataFrame, group: int = GROUP, together: int = TOGETHER) -> DataFrame:
+def lost_starts(docs: DataFrame, sketched: DataFrame, copied: DataFrame, group: int = GROUP, together: int = TOGETHER) -> DataFrame:
     """``(doc, row, at)``: where windows of a row start that a smaller document has too, in pieces; a saved table."""
-    every = leaves(docs, copied, together)
+    every = leaves(docs, sketched, copied, together)
     sampled, over = grouped(every.where("suffix is not null"), (ANCHOR,), group)
     lost = _in_groups(sampled).unionByName(every.where("suffix is null").select("doc", "row", "at"))
     if over is not None:
@@ -457,8 +463,9 @@ def dedup_substrings(docs: DataFrame, group: int = GROUP, together: int = TOGETH
     ``together`` suffixes. Other columns are not read.
     """
     docs = docs.select(F.col("doc_id").cast("long"), F.col("text").cast("string"))
-    copied = copies(docs.where("doc_id is not null"))
-    lost = lost_starts(docs, copied, group, together)
+    sketched = sketches(docs.where("doc_id is not null"))
+    copied = copies(sketched)
+    lost = lost_starts(docs, sketched, copied, group, together)
     of = lost.groupBy(F.col("doc").alias("_doc")).agg(F.collect_list(F.struct("row", "at")).alias("_lost"))
     rows = docs.join(copied, docs["doc_id"] == copied["doc"], "left").join(of, docs["doc_id"] == of["_doc"], "left").select("doc_id", "text", "digests", "_lost")
     return rows.mapInArrow(_cut, "doc_id long, text string, n_words long, n_removed long, repeats array<struct<start: long, end: long>>")

@@ -104,9 +104,32 @@ def test_shared_anchors_over_batches():
     known = rng.random(300) < 0.1
     count = np.bincount(anchor, minlength=200)
     for size in (1, 7, 300):
-        batches = [pa.RecordBatch.from_arrays([pa.array(x[i : i + size]) for x in (anchor, anchor, np.arange(300), known)], schema=ss._ANCHORS) for i in range(0, 300, size)]
+        batches = [pa.RecordBatch.from_arrays([pa.array(x[i : i + size]) for x in (anchor, np.arange(300), np.where(known, ss._COMPARED_SHARED, ss._COMPARED).astype(np.int8))], schema=ss._ANCHORS) for i in range(0, 300, size)]
         got = []
         for b in ss._shared(iter(batches)):
             for doc, packed in zip(b.column("doc").to_pylist(), b.column("anchors").to_pylist()):
                 got += [(int(a), doc) for a in np.frombuffer(packed, np.int64)]
         assert sorted(got) == [(int(a), i) for i, a in enumerate(anchor) if count[a] > 1 or known[i]]
+
+
+def test_anchors_of_sketches(spark):
+    """Anchors of several documents, within a batch and between batches, and none of one document's own repeats."""
+    rng = np.random.default_rng(7)
+    held = [(k // 2, np.unique(rng.integers(0, 400, rng.integers(0, 30)))) for k in range(80)]
+    docs = defaultdict(set)
+    for doc, anchors in held:
+        for a in anchors.tolist():
+            docs[a].add(doc)
+    for size in (1, 9, 80):
+        batches = []
+        for i in range(0, 80, size):
+            own = held[i : i + size]
+            batches.append(pa.RecordBatch.from_arrays([pa.array([d for d, _ in own], pa.int64()), pa.array([a.astype(np.uint64).tobytes() for _, a in own], pa.binary())], names=["doc", "anchors"]))
+        rows = [r for b in ss._all_anchors(iter(batches)) for r in b.to_pylist()]
+        rows.sort(key=lambda r: (r["state"] == ss._FURTHER, r["anchor"], r["doc"], r["state"]))
+        got = set()
+        for b in ss._shared(iter([pa.RecordBatch.from_pylist(rows, schema=ss._ANCHORS)])):
+            for doc, packed in zip(b.column("doc").to_pylist(), b.column("anchors").to_pylist()):
+                got |= {(int(a), doc) for a in np.frombuffer(packed, np.int64)}
+        shared = {(a, d) for a, of in docs.items() if len(of) > 1 for d in of}
+        assert shared <= got and all(sum(r["anchor"] == a for r in rows) > 1 for a, _ in got)
