@@ -5,9 +5,11 @@ rendered text piece by piece, each with a flag that says whether it lies in a ge
 it reads the keys of given records and nothing else; there are no calls and no attributes of Python objects.
 
     text   {{ expression }}   {% if e %} {% elif e %} {% else %} {% endif %}
-    {% for name in messages %} ... {% endfor %}   {% generation %} ... {% endgeneration %}
+    {% for name in messages %} ... {% endfor %}   {% generation %} ... {% endgeneration %}   {% set name = e %}
 
-Expressions: strings, integers, names, ``name.key``, ``name['key']``, ``==``, ``!=``, ``~`` (joins texts), ``not``, ``and``, ``or``,
+A ``-`` next to a tag's braces strips the blanks on that side. In a loop, ``loop`` has the keys ``index``, ``index0``,
+``first`` and ``last``; what is set in a round of a loop holds for that round.
+Expressions: strings, integers, ``true``, ``false``, ``none``, names, ``name.key``, ``name['key']``, ``==``, ``!=``, ``~`` (joins texts), ``not``, ``and``, ``or``,
 brackets and the filters ``escape``, ``trim``, ``upper`` and ``lower``.
 """
 
@@ -54,8 +56,9 @@ class TemplateError(ValueError):
 _STRING = r"""'(?:[^'\\]|\\.)*'|"(?:[^"\\]|\\.)*\""""
 #: A tag ends at the first end of it that stands in no string.
 _TAG = re.compile(rf"\{{\{{((?:{_STRING}|(?!\}}\}})[^'\"])*)\}}\}}|\{{%((?:{_STRING}|(?!%\}})[^'\"])*)%\}}", re.S)
-_TOKEN = re.compile(r"""\s*(?:('(?:[^'\\]|\\.)*'|"(?:[^"\\]|\\.)*")|(\d+)|([A-Za-z_]\w*)|(==|!=|[.~|()\[\]]))""", re.S)
-_WORDS = {"not", "and", "or", "in", "for", "if", "elif", "else", "endif", "endfor", "generation", "endgeneration"}
+_TOKEN = re.compile(r"""\s*(?:('(?:[^'\\]|\\.)*'|"(?:[^"\\]|\\.)*")|(\d+)|([A-Za-z_]\w*)|(==|!=|[=.~|()\[\]]))""", re.S)
+_WORDS = {"not", "and", "or", "in", "for", "if", "elif", "else", "endif", "endfor", "generation", "endgeneration", "set"}
+_CONSTANTS = {"true": True, "false": False, "none": None}
 
 
 def _tokens(code: str) -> list[tuple[str, object]]:
@@ -70,6 +73,8 @@ def _tokens(code: str) -> list[tuple[str, object]]:
             out.append(("const", re.sub(r"\\(.)", lambda e: plain.get(e[1], e[1]), string[1:-1], flags=re.S)))
         elif number is not None:
             out.append(("const", int(number)))
+        elif name in _CONSTANTS and out[-1:] != [("sign", ".")]:
+            out.append(("const", _CONSTANTS[name]))
         else:
             out.append(("sign" if sign or name in _WORDS else "name", sign or name))
         at = m.end()
@@ -160,12 +165,14 @@ class _Expression:
 def parse(template: str) -> tuple:
     """The syntax tree: ``("block", nodes)`` of text, show, if, for and generation nodes."""
     parts: list[tuple[str, str]] = []
-    at = 0
+    at, strip = 0, False
     for m in _TAG.finditer(template):
-        parts += [("text", template[at : m.start()])] if m.start() > at else []
-        parts.append(("show", m[1]) if m[1] is not None else ("tag", m[2]))
+        kind, code = ("show", m[1]) if m[1] is not None else ("tag", m[2])
+        text = template[at : m.start()].lstrip() if strip else template[at : m.start()]
+        begin, strip = code.startswith("-"), len(code) > 1 and code.endswith("-")
+        parts += [("text", text.rstrip() if begin else text), (kind, code[begin : len(code) - strip])]
         at = m.end()
-    parts += [("text", template[at:])] if at < len(template) else []
+    parts.append(("text", template[at:].lstrip() if strip else template[at:]))
     parts.reverse()
 
     def block(ends: tuple[str, ...]) -> tuple[tuple, str, _Expression | None]:
@@ -193,6 +200,11 @@ def parse(template: str) -> tuple:
                 inner, _, tail = block(("endfor",))
                 tail.end()
                 nodes.append(("for", name, source, inner))
+            elif e.take("set"):
+                name = e.name()
+                if not e.take("="):
+                    raise TemplateError("'=' is missing")
+                nodes.append(("set", name, e.whole()))
             elif e.take("if"):
                 nodes.append(branches(e))
             else:
@@ -239,6 +251,8 @@ def fold(node: tuple) -> tuple:
         return ("generation", fold(node[1]))
     if kind == "for":
         return ("for", node[1], fold(node[2]), fold(node[3]))
+    if kind == "set":
+        return ("set", node[1], fold(node[2]))
     if kind == "if":
         test, then, other = map(fold, node[1:])
         return (then if test[1] else other) if test[0] == "const" else ("if", test, then, other)
@@ -292,6 +306,21 @@ def _value(node: tuple) -> Callable[[dict], object]:
 Piece = tuple[str, bool] | None
 
 
+def _holds(node: object, part: tuple) -> bool:
+    return node == part or isinstance(node, (tuple, list)) and any(_holds(x, part) for x in node)
+
+
+def _rounds(items: Iterable, ahead: bool) -> Iterator[tuple[object, dict[str, object]]]:
+    """Items with what ``loop`` says of them. Only to know the last one is an item read ahead."""
+    items, end = iter(items), object()
+    item, k = next(items, end), 0
+    while item is not end:
+        held = {"index": k + 1, "index0": k, "first": k == 0}
+        after = next(items, end) if ahead else None
+        yield item, held | ({"last": after is end} if ahead else {})
+        item, k = after if ahead else next(items, end), k + 1
+
+
 def _yielding(node: tuple, generated: bool = False) -> Callable[[dict], Iterator[Piece]]:
     """The closure of a statement."""
     kind = node[0]
@@ -306,12 +335,21 @@ def _yielding(node: tuple, generated: bool = False) -> Callable[[dict], Iterator
         return lambda env: then(env) if test(env) else other(env)
     if kind == "for":
 
+        ahead = _holds(node[3], ("key", ("name", "loop"), "last"))
+
         def loop(env: dict, name: str = node[1], of: Callable = _value(node[2]), body: Callable = _yielding(node[3], generated)) -> Iterator[Piece]:
-            for item in of(env):
-                yield from body({**env, name: item})
+            for item, held in _rounds(of(env), ahead):
+                yield from body({**env, "loop": held, name: item})
                 yield None
 
         return loop
+    if kind == "set":
+
+        def put(env: dict, name: str = node[1], of: Callable = _value(node[2])) -> Iterator[Piece]:
+            env[name] = of(env)
+            return iter(())
+
+        return put
     steps = [_yielding(x, generated) for x in node[1]]
 
     def block(env: dict) -> Iterator[Piece]:
@@ -321,17 +359,18 @@ def _yielding(node: tuple, generated: bool = False) -> Callable[[dict], Iterator
     return block
 
 
-def compiled(template: str) -> Callable[[Iterable[dict]], Iterator[tuple[str, list[tuple[int, int]]]]]:
+def compiled(template: str, values: dict[str, object] | None = None) -> Callable[[Iterable[dict]], Iterator[tuple[str, list[tuple[int, int]]]]]:
     """A function from messages to the rendered text, in parts: one for each round of a loop and what lies between.
 
     Each part comes with the ranges of it that are generated, in code points. Messages may be an iterator: a part is
-    given before the next message is read.
+    given before the next message is read, or the one after it where the template asks for ``loop.last``. ``values``
+    are further names, such as ``add_generation_prompt``.
     """
     body = _yielding(fold(parse(template)))
 
     def render(messages: Iterable[dict]) -> Iterator[tuple[str, list[tuple[int, int]]]]:
         texts, spans, size = [], [], 0
-        for piece in body({"messages": messages}):
+        for piece in body({**(values or {}), "messages": messages}):
             if piece is not None:
                 texts.append(piece[0])
                 if piece[1]:
@@ -368,17 +407,17 @@ _SPANS = pa.list_(pa.struct([("start", pa.int64()), ("end", pa.int64())]))
 _FORMATTED = pa.schema([("conv_id", pa.int64()), ("part", pa.int64()), ("formatted", pa.string()), ("loss", _SPANS)])
 
 
-def format_conversations(turns: DataFrame, template: str = TEMPLATE) -> DataFrame:
+def format_conversations(turns: DataFrame, template: str = TEMPLATE, values: dict[str, object] | None = None) -> DataFrame:
     """``(conv_id, part, formatted, loss)``: the rendered conversations in parts, one for each turn, in order.
 
     ``turns(conv_id, turn, role, text, ...)``; rows go by turn, of equals by role and text. Null roles and texts are
     empty, and rows without conv_id are one conversation. Repeated rows are turns of their own. ``loss`` holds the generated ranges of the part. A partition
     holds whole conversations with their parts in order. A conversation is streamed, however long. Other columns are
-    not read.
+    not read. ``values`` are further names of the template.
     """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        render = compiled(template)
+        render = compiled(template, values)
 
         def rows() -> Iterator[tuple]:
             for conv, own in groupby(_records(batches, ("conv_id", "role", "text")), itemgetter(0)):

@@ -81,3 +81,38 @@ def test_tags_end_outside_strings_and_keys_may_stand_in_brackets():
     assert "".join(t for t, _ in render([{"role": "user", "text": "a"}])) == "}}a{{x}}"
     with pytest.raises(chat.TemplateError):
         chat.parse("{{ m[role] }}")
+
+
+def test_a_usual_template():
+    template = """
+{%- set name = 'bot' -%}
+{% for m in messages %}
+    {%- if loop.first and m['role'] != 'system' -%} <s>{{ none }}\n {%- endif -%}
+    {%- set who = m.role -%}
+    <|{{ who }}|>{{ loop.index ~ '/' ~ loop.index0 }} {{- m['text'] | trim }}
+    {%- if not loop.last -%} <sep> {%- endif -%}
+{% endfor %}
+{%- if add_generation_prompt %}<|{{ name }}|>{% endif -%}
+"""
+    m = [{"role": "user", "text": " a - b "}, {"role": "bot", "text": "c"}]
+    for asked in (True, False):
+        text = "".join(t for t, _ in chat.compiled(template, {"add_generation_prompt": asked})(iter(m)))
+        assert text == "<s><|user|>1/0a - b<sep><|bot|>2/1c" + "<|bot|>" * asked
+    assert "".join(t for t, _ in chat.compiled(template, {"add_generation_prompt": True})([])) == "<|bot|>"
+    with pytest.raises(chat.TemplateError):
+        "".join(t for t, _ in chat.compiled(template)(m))
+
+
+def test_set_in_a_loop_holds_for_its_round():
+    template = "{% set x = 'a' %}{% for m in messages %}{{ x }}{% set x = m.text %}{{ x }}{% endfor %}{{ x }}"
+    assert rendered(template, [{"text": "1"}, {"text": "2"}]) == "a1a2a"
+    for bad in ("{% set x %}", "{% set 1 = 2 %}", "{% set x = %}", "{{ x = 1 }}"):
+        with pytest.raises(chat.TemplateError):
+            chat.compiled(bad)
+
+
+def test_last_reads_one_message_ahead_only():
+    read = []
+    parts = chat.compiled("{% for m in messages %}{{ m.text }}{% if loop.last %}.{% endif %}{% endfor %}")({"text": str(read.append(k) or k)} for k in range(5))
+    assert next(parts)[0] == "0" and read == [0, 1]
+    assert "".join(t for t, _ in parts) == "1234."
