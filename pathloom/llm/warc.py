@@ -3,13 +3,17 @@
 A response record holds an HTTP message whose body is the payload in chunked transfer framing. A block over SEGMENT
 bytes goes on in continuation records, which name the first record, their number and, the last one, the total length.
 Reading groups the segments of a record, orders them by number, checks the total length and decodes the framing.
-Files are gzip-compressed text-sink files of bounded size: a record's last line feed is the sink's line separator.
+Each record is a gzip member of its own, so that readers can seek to it, and each file begins with a ``warcinfo`` record.
+The text sink writes them: a member ends with its record's length in four bytes, the last of which is zero, as records
+are far under 16 MB; that zero is the sink's line separator. The files' names end in ``.txt``, as the sink has it.
+A record's id follows from its page, address and payload, so that revisits can name the response that they refer to.
 """
 
 from __future__ import annotations
 
 import hashlib
 import re
+import uuid
 import zlib
 from collections.abc import Iterator
 
@@ -18,13 +22,13 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import arrow_rows, new_path, saved, table, utf8
+from .common import arrow_rows, new_path, saved, spread_join, table, utf8
 
 #: Bytes of a record's block.
 SEGMENT = 1 << 16
 #: Bytes of a chunk of the transfer framing.
 CHUNK = 1 << 13
-#: Records of a file, so that a file is 64 MB at most before compression.
+#: Records of a file with its ``warcinfo``, so that a file is 64 MB at most before compression.
 FILE_RECORDS = 1000
 #: Records, or on reading files, that Python gets at a time.
 BATCH_ROWS = 256
@@ -60,47 +64,79 @@ def unchunked(body: bytes) -> bytes | None:
 
 
 def record(headers: list[tuple[str, object]], block: bytes) -> bytes:
-    """A WARC record without its last line feed."""
     head = "".join(f"{k}: {v}\r\n" for k, v in headers if v is not None)
-    return f"WARC/1.1\r\n{head}Content-Length: {len(block)}\r\n\r\n".encode() + block + b"\r\n\r"
+    return f"WARC/1.1\r\n{head}Content-Length: {len(block)}\r\n\r\n".encode() + block + b"\r\n\r\n"
 
 
-def page_records(page, url, payload: bytes, refers_to, instance: str, segment: int = SEGMENT) -> Iterator[bytes]:
-    """The records of one page: a response in one or more segments, or a revisit."""
-    name = f"<urn:page:{'none' if page is None else page}#{instance}>"
-    uri = None if url is None else _CONTROL.sub(lambda m: f"%{ord(m[0]):02X}", url)
-    digest = "sha256:" + hashlib.sha256(payload).hexdigest()
-    common = [("WARC-Record-ID", name), ("WARC-Target-URI", uri), ("WARC-Date", "1970-01-01T00:00:00Z"), ("WARC-Payload-Digest", digest), ("Content-Type", "application/http; msgtype=response"), ("X-Page-ID", page)]
+def _uri(url: str | None) -> str | None:
+    return None if url is None else _CONTROL.sub(lambda m: f"%{ord(m[0]):02X}", url)
+
+
+def record_id(*parts) -> str:
+    """The id of the record with these properties."""
+    return f"<urn:uuid:{uuid.uuid5(uuid.NAMESPACE_OID, repr(parts))}>"
+
+
+_DATE = ("WARC-Date", "1970-01-01T00:00:00Z")
+
+
+def info_record(instance: str) -> bytes:
+    """The record at the start of a file."""
+    fields = b"software: pathloom\r\nformat: WARC File Format 1.1\r\n"
+    return record([("WARC-Type", "warcinfo"), ("WARC-Record-ID", record_id("warcinfo", instance)), _DATE, ("Content-Type", "application/warc-fields")], fields)
+
+
+def page_records(page, url, payload: bytes, refers_to, refers_url, instance: str, segment: int = SEGMENT) -> Iterator[bytes]:
+    """The records of one page: a response in one or more segments, or a revisit of the page ``refers_to``.
+
+    Rows alike in page, address and payload are records alike, under one id; ``instance`` keeps their segments apart.
+    """
+    uri, hashed = _uri(url), hashlib.sha256(payload).hexdigest()
+    common = [("WARC-Target-URI", uri), _DATE, ("WARC-Payload-Digest", "sha256:" + hashed), ("Content-Type", "application/http; msgtype=response"), ("X-Page-ID", page)]
     http = b"HTTP/1.1 200 OK\r\nContent-Type: text/html; charset=utf-8\r\nTransfer-Encoding: chunked\r\n\r\n"
     if refers_to is not None:
         profile = "http://netpreserve.org/warc/1.1/revisit/identical-payload-digest"
-        yield record([("WARC-Type", "revisit"), *common, ("WARC-Profile", profile), ("WARC-Refers-To", f"<urn:page:{refers_to}>")], http)
+        origin = [("WARC-Refers-To", record_id("response", refers_to, _uri(refers_url), hashed)), ("WARC-Refers-To-Target-URI", _uri(refers_url)), ("WARC-Refers-To-Date", _DATE[1])]
+        yield record([("WARC-Type", "revisit"), ("WARC-Record-ID", record_id("revisit", page, uri, hashed)), *common, ("WARC-Profile", profile), *origin], http)
         return
+    name = record_id("response", page, uri, hashed)
     block = http + b"".join(chunked(payload))
     if len(block) <= segment:
-        yield record([("WARC-Type", "response"), *common], block)
+        yield record([("WARC-Type", "response"), ("WARC-Record-ID", name), *common], block)
         return
     for number, i in enumerate(range(0, len(block), segment), 1):
-        own = [("WARC-Segment-Number", number)]
+        own = [("WARC-Segment-Number", number), ("X-Instance", instance)]
         if number == 1:
-            yield record([("WARC-Type", "response"), *common, *own], block[:segment])
+            yield record([("WARC-Type", "response"), ("WARC-Record-ID", name), *common, *own], block[:segment])
             continue
-        own += [("WARC-Record-ID", f"{name[:-1]}.{number}>"), ("WARC-Segment-Origin-ID", name)]
+        own += [("WARC-Record-ID", record_id("continuation", name, number)), ("WARC-Segment-Origin-ID", name), _DATE]
         own += [("WARC-Segment-Total-Length", len(block))] if i + segment >= len(block) else []
         yield record([("WARC-Type", "continuation"), *own], block[i : i + segment])
 
 
+def member(data: bytes) -> bytes:
+    """A record as a gzip member without its last byte, which is zero."""
+    packed = zlib.compress(data, 6, 31)
+    if packed[-1]:
+        raise ValueError(f"a record of {len(data)} bytes is too long for a file")
+    return packed[:-1]
+
+
 def _write(segment: int):
     def run(rows: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        part, row = TaskContext.get().partitionId(), 0
+        part, row, made = TaskContext.get().partitionId(), 0, 0
         out, held = [], 0
         for batch in rows:
-            columns = (batch.column(c).to_pylist() for c in ("page_id", "url", "refers_to"))
-            for page, url, refers, payload in zip(*columns, utf8(batch.column("html"))):
+            columns = (batch.column(c).to_pylist() for c in ("page_id", "url", "refers_to", "refers_url"))
+            for page, url, refers, of, payload in zip(*columns, utf8(batch.column("html"))):
                 row += 1
-                for x in page_records(page, url, payload or b"", refers, f"{part}.{row}", segment):
-                    out.append(x)
-                    held += len(x)
+                for x in page_records(page, url, payload or b"", refers, of, f"{part}.{row}", segment):
+                    if made % FILE_RECORDS == 0:  # the sink begins a file here
+                        out.append(member(info_record(f"{part}.{made}")))
+                        made += 1
+                    out.append(member(x))
+                    made += 1
+                    held += len(out[-1])
                     if held >= 1 << 23:
                         yield pa.RecordBatch.from_arrays([pa.array(out, pa.binary())], names=["value"])
                         out, held = [], 0
@@ -110,38 +146,39 @@ def _write(segment: int):
 
 
 def revisits(pages: DataFrame) -> DataFrame:
-    """``(page_id, digest, refers_to)`` of the pages whose payload has a smaller page."""
+    """``(page_id, digest, refers_to, refers_url)`` of the pages whose payload has a smaller page, and that page's least url."""
     payload = F.coalesce("html", F.lit(""))
-    keyed = pages.select("page_id", F.sha2(payload, 256).alias("digest"), F.octet_length(payload).alias("size"))
-    keyed = keyed.where((F.col("size") >= LEAST_REVISIT) & F.col("page_id").isNotNull()).select("page_id", "digest")
-    first = keyed.groupBy("digest").agg(F.min("page_id").alias("refers_to"), F.max("page_id").alias("last")).where("refers_to < last")
-    return keyed.join(first.drop("last"), "digest").where("page_id > refers_to").distinct()
+    keyed = pages.select("page_id", "url", F.sha2(payload, 256).alias("digest"), F.octet_length(payload).alias("size"))
+    keyed = keyed.where((F.col("size") >= LEAST_REVISIT) & F.col("page_id").isNotNull()).drop("size")
+    first = keyed.groupBy("digest").agg(F.min(F.struct("page_id", "url")).alias("of"), F.max("page_id").alias("last")).where("of.page_id < last")
+    first = first.select("digest", F.col("of.page_id").alias("refers_to"), F.col("of.url").alias("refers_url"))
+    return keyed.select("page_id", "digest").join(first, "digest").where("page_id > refers_to").distinct()
 
 
 def write_archives(pages: DataFrame, path: str, segment: int = SEGMENT) -> None:
     """Write a record for each row of ``pages(page_id, url, html, ...)`` to WARC files in the folder ``path``."""
     pages = pages.select(F.col("page_id").cast("long"), F.col("url").cast("string"), F.col("html").cast("string"))
     pages = pages.withColumn("digest", F.sha2(F.coalesce("html", F.lit("")), 256))
-    rows = pages.join(revisits(pages), ["page_id", "digest"], "left").select("page_id", "url", "html", "refers_to")
+    rows = pages.join(revisits(pages), ["page_id", "digest"], "left").select("page_id", "url", "html", "refers_to", "refers_url")
     records = rows.mapInArrow(_write(segment), "value binary").select(F.col("value").cast("string"))
     with arrow_rows(pages.sparkSession, BATCH_ROWS):
-        records.write.option("compression", "gzip").option("maxRecordsPerFile", FILE_RECORDS).text(path)
+        records.write.option("lineSep", "\x00").option("compression", "none").option("maxRecordsPerFile", FILE_RECORDS).text(path)
 
 
-_HEADERS = {"record_type": "WARC-Type", "record_id": "WARC-Record-ID", "target_uri": "WARC-Target-URI", "digest": "WARC-Payload-Digest", "page_id": "X-Page-ID", "refers_to": "WARC-Refers-To", "origin": "WARC-Segment-Origin-ID", "number": "WARC-Segment-Number", "total": "WARC-Segment-Total-Length"}
-_NUMBERS = ("page_id", "refers_to", "number", "total")
+_HEADERS = {"record_type": "WARC-Type", "record_id": "WARC-Record-ID", "target_uri": "WARC-Target-URI", "digest": "WARC-Payload-Digest", "page_id": "X-Page-ID", "refers_to": "WARC-Refers-To", "origin": "WARC-Segment-Origin-ID", "number": "WARC-Segment-Number", "total": "WARC-Segment-Total-Length", "instance": "X-Instance"}
+_NUMBERS = ("page_id", "number", "total")
 _RECORD = pa.schema([(n, pa.int64() if n in _NUMBERS else pa.string()) for n in _HEADERS] + [("block", pa.binary())])
 
 
 def parse(data: bytes) -> Iterator[tuple[dict[str, str], bytes]]:
-    """The records of a file."""
+    """The records of a file or of a part of one, uncompressed."""
     at = 0
     while at < len(data):
         end = data.index(b"\r\n\r\n", at)
         version, *lines = data[at:end].decode().split("\r\n")
         if not version.startswith("WARC/"):
             raise ValueError(f"no WARC record at byte {at}")
-        headers = dict(x.split(": ", 1) for x in lines)
+        headers = {k: v.strip() for k, _, v in (x.partition(":") for x in lines)}
         stop = end + 4 + int(headers["Content-Length"])
         if data[stop : stop + 4] != b"\r\n\r\n":
             raise ValueError(f"the record at byte {at} is not ended at its length")
@@ -149,19 +186,41 @@ def parse(data: bytes) -> Iterator[tuple[dict[str, str], bytes]]:
         at = stop + 4
 
 
-def _value(name: str, text: str | None):
-    if text is None or name not in _NUMBERS:
-        return text
-    return int(text.strip("<>").removeprefix("urn:page:"))
+def members(data: bytes, step: int = 1 << 16) -> Iterator[bytes]:
+    """The contents of a file's gzip members; a file that is not compressed is one."""
+    if data[:2] != b"\x1f\x8b":
+        yield data
+        return
+    view, at = memoryview(data), 0
+    while at < len(data):
+        member, out = zlib.decompressobj(31), []
+        while not member.eof:
+            piece = view[at : at + step]
+            if not piece:
+                raise ValueError("the last gzip member is cut off")
+            out.append(member.decompress(piece))
+            at += len(piece) - len(member.unused_data)
+        yield b"".join(out)
 
 
 def _read(rows: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    def made(out):
+        return pa.RecordBatch.from_arrays([pa.array(list(c), t.type) for c, t in zip(zip(*out) if out else [[]] * len(_RECORD), _RECORD)], schema=_RECORD)
+
     for batch in rows:
         for i in range(batch.num_rows):
-            out: list[tuple] = []
-            for headers, block in parse(zlib.decompress(batch.column("content")[i].as_py(), 31)):
-                out.append((*(_value(n, headers.get(h)) for n, h in _HEADERS.items()), block))
-            yield pa.RecordBatch.from_arrays([pa.array(list(c), t.type) for c, t in zip(zip(*out) if out else [[]] * len(_RECORD), _RECORD)], schema=_RECORD)
+            out, held = [], 0
+            for part in members(batch.column("content")[i].as_py()):
+                for headers, block in parse(part):
+                    if headers["WARC-Type"] not in ("response", "revisit", "continuation"):
+                        continue
+                    values = (headers.get(h) for h in _HEADERS.values())
+                    out.append((*(int(v) if v is not None and n in _NUMBERS else v for n, v in zip(_HEADERS, values)), block))
+                    held += len(block)
+                    if held >= 1 << 23:
+                        yield made(out)
+                        out, held = [], 0
+            yield made(out)
 
 
 def _payload(block: bytes | None, total: int | None) -> bytes | None:
@@ -190,19 +249,19 @@ def _decode(rows: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
 
 def read_archives(spark: SparkSession, path: str) -> DataFrame:
-    """``(record_type, record_id, target_uri, page_id, refers_to, digest, payload, complete)`` of each record.
+    """``(record_type, record_id, target_uri, page_id, refers_to, digest, payload, complete)`` of each response and revisit.
 
-    Segments come back as one record. ``complete`` is false, and the payload null, where a segment or the total length
+    ``refers_to`` is a record's id. Files may be compressed, as a whole or record by record. Segments come back as one record. ``complete`` is false, and the payload null, where a segment or the total length
     is missing or wrong, the framing is broken or the payload has another digest; a continuation without its first
     record is left out. Revisits have no payload.
     """
     kinds = ", ".join(f"{f.name} {'long' if f.type == pa.int64() else str(f.type)}" for f in _RECORD)
-    files = spark.read.format("binaryFile").option("pathGlobFilter", "*.gz").load(path).select("content")
+    files = spark.read.format("binaryFile").load(path).select("content")
     records = files.mapInArrow(_read, kinds)
     part = F.struct(F.coalesce("number", F.lit(1)).cast("long").alias("number"), "total", "block")
     single = records.where("number is null").withColumn("parts", F.array(part)).select(*_WHOLE, "parts")
     # Segments are grouped record by record, so that a group is as large as the row it makes.
-    group = records.where("number is not null").groupBy(F.coalesce("origin", "record_id").alias("own_id"))
+    group = records.where("number is not null").groupBy(F.coalesce("origin", "record_id").alias("own_id"), "instance")
     first = [F.max(F.when(F.col("number") == 1, F.col(n))).alias(n) for n in _WHOLE]
     joined = group.agg(*first, F.array_sort(F.collect_list(part)).alias("parts")).where("record_id is not null").select(*_WHOLE, "parts")
     whole = ", ".join(f"{f.name} {'long' if f.type == pa.int64() else 'boolean' if f.type == pa.bool_() else str(f.type)}" for f in _READ)
@@ -210,23 +269,37 @@ def read_archives(spark: SparkSession, path: str) -> DataFrame:
 
 
 def archive_index(spark: SparkSession, path: str) -> DataFrame:
-    """``(page_id, payload_bytes, payload_digest, record_type, refers_to)``; a revisit's length is its response's."""
+    """``(page_id, payload_bytes, payload_digest, record_type, refers_to, complete)``.
+
+    A revisit's ``refers_to`` is the page of the response that its record names, and its length that response's.
+    ``complete`` is false for damaged records, and for revisits whose response is damaged, missing or another payload's.
+    """
     records = read_archives(spark, path)
-    digest = F.when(F.col("record_type") == "response", F.sha2("payload", 256)).otherwise(F.substring_index("digest", ":", -1))
-    columns = ("page_id", F.octet_length("payload").cast("long").alias("payload_bytes"), digest.alias("payload_digest"), "record_type", "refers_to")
+    named = F.substring_index("digest", ":", -1)
+    digest = F.when(F.col("record_type") == "response", F.sha2("payload", 256)).otherwise(named)
+    columns = ("record_id", "page_id", F.octet_length("payload").cast("long").alias("payload_bytes"), digest.alias("payload_digest"), "record_type", "refers_to", "complete")
     with arrow_rows(spark, BATCH_ROWS):
         index = saved(records.select(*columns), "warc-index")
     full = index.where("record_type = 'response'")
-    of = full.select(F.col("page_id").alias("refers_to"), "payload_digest", "payload_bytes").distinct()
-    again = index.where("record_type = 'revisit'").drop("payload_bytes").join(of, ["refers_to", "payload_digest"], "left")
-    return full.unionByName(again)
+    of = full.where("complete").select(F.col("record_id").alias("of"), F.col("page_id").alias("of_page"), "payload_bytes", F.col("payload_digest").alias("of_digest"))
+    again = index.where("record_type = 'revisit'").drop("payload_bytes").withColumnRenamed("refers_to", "of")
+    again = spread_join(again, of.dropDuplicates(["of"]), "of", "record_id", "left")
+    good = F.col("complete") & F.coalesce(F.col("of_digest") == F.col("payload_digest"), F.lit(False))
+    columns = ("page_id", "payload_bytes", "payload_digest", "record_type")
+    full = full.select(*columns, F.lit(None).cast("long").alias("refers_to"), "complete")
+    return full.unionByName(again.select(*columns, F.col("of_page").alias("refers_to"), good.alias("complete")))
 
 
 def op3_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Null html is an empty payload; rows that repeat a page_id with one payload are alike; a null page_id is a response."""
+    """Null html is an empty payload; rows that repeat a page_id with one payload are alike; a null page_id is a response.
+
+    A record that doesn't come back whole is an error.
+    """
     path = new_path(spark, "warc")
     write_archives(table(spark, sf_dir, "pages"), path)
-    return archive_index(spark, path)
+    index = archive_index(spark, path)
+    kind = F.when(F.col("complete"), F.col("record_type")).otherwise(F.raise_error(F.concat(F.lit("a damaged record of page "), F.coalesce(F.col("page_id").cast("string"), F.lit("null")))))
+    return index.withColumn("record_type", kind.cast("string")).drop("complete")
 
 
 QUERIES = {"op3_warc": op3_warc}

@@ -45,19 +45,53 @@ def test_round_trip(spark, tmp_path, segment):
 def test_files_are_plain_warc(spark, tmp_path):
     path = tmp_path / "archive"
     warc.write_archives(spark.createDataFrame(rows(), "page_id long, url string, html string"), str(path))
-    types = [h["WARC-Type"] for f in path.glob("*.gz") for h, _ in warc.parse(gzip.decompress(f.read_bytes()))]
+    files = [[h for h, _ in warc.parse(gzip.decompress(f.read_bytes()))] for f in path.glob("part-*")]
+    assert files and all([h["WARC-Type"] for h in hs].index("warcinfo") == 0 for hs in files)
+    heads = [h for hs in files for h in hs]
+    types = [h["WARC-Type"] for h in heads]
     assert types.count("continuation") > 2 and types.count("revisit") == 5
+    pages = {h["WARC-Record-ID"]: h.get("X-Page-ID") for h in heads if h["WARC-Type"] == "response"}
+    for h in heads:
+        if h["WARC-Type"] == "revisit":
+            assert pages[h["WARC-Refers-To"]] == {"5": "2", "9": "2", "11": "10", "15": "14"}[h["X-Page-ID"]]
+    for f in path.glob("part-*"):  # a member a record
+        assert all(len(list(warc.parse(m))) == 1 for m in warc.members(f.read_bytes(), 100))
+
+
+def test_repeated_long_rows(spark, tmp_path):
+    path = str(tmp_path / "archive")
+    rows = [(1, "u", "k" * 1000)] * 3 + [(2, "u", "k" * 1000)] * 2 + [(1, "v", "k" * 1000)]
+    warc.write_archives(spark.createDataFrame(rows, "page_id long, url string, html string").repartition(2), path, 100)
+    got = [tuple(r) for r in warc.archive_index(spark, path).drop("payload_digest").collect()]
+    assert sorted(got) == [(1, 1000, "response", None, True)] * 4 + [(2, 1000, "revisit", 1, True)] * 2
+
+
+def test_files_of_many_records(spark, tmp_path, monkeypatch):
+    monkeypatch.setattr(warc, "FILE_RECORDS", 7)
+    path = tmp_path / "archive"
+    warc.write_archives(spark.createDataFrame([(i, "u", f"{i}" * 200) for i in range(40)], "page_id long, url string, html string").coalesce(1), str(path))
+    kinds = [[h["WARC-Type"] for h, _ in warc.parse(gzip.decompress(f.read_bytes()))] for f in path.glob("part-*") if f.stat().st_size]
+    assert len(kinds) > 5 and all(k[0] == "warcinfo" and k.count("warcinfo") == 1 for k in kinds)
+    assert warc.archive_index(spark, str(path)).where("complete").count() == 40
+
+
+def test_lost_responses(spark, tmp_path):
+    first, second = (list(warc.page_records(p, "u", b"x" * 500, of, "u", "a")) for p, of in ((1, None), (2, 1)))
+    (tmp_path / "a.gz").write_bytes(gzip.compress(second[0]))
+    assert [tuple(r) for r in warc.archive_index(spark, str(tmp_path)).select("page_id", "refers_to", "complete").collect()] == [(2, None, False)]
+    (tmp_path / "b.warc").write_bytes(first[0])
+    assert {tuple(r) for r in warc.archive_index(spark, str(tmp_path)).select("page_id", "refers_to", "complete").collect()} == {(1, None, True), (2, 1, True)}
 
 
 def test_broken_segments(spark, tmp_path):
-    parts = list(warc.page_records(1, "u", b"x" * 500, None, "a", 100))
-    other = list(warc.page_records(2, "u", b"y" * 500, None, "b", 100))
-    third = list(warc.page_records(3, "u", b"z" * 500, None, "c", 100))
+    parts = list(warc.page_records(1, "u", b"x" * 500, None, None, "a", 100))
+    other = list(warc.page_records(2, "u", b"y" * 500, None, None, "b", 100))
+    third = list(warc.page_records(3, "u", b"z" * 500, None, None, "c", 100))
     wrong = [x.replace(b"Total-Length: ", b"Total-Length: 9") for x in other]
     changed = [x.replace(b"zzz", b"zzq", 1) for x in third]
-    lost = list(warc.page_records(4, "u", b"w" * 500, None, "d", 100))[1:]
+    lost = list(warc.page_records(4, "u", b"w" * 500, None, None, "d", 100))[1:]
     data = [*parts[:2], *parts[3:], *reversed(wrong), *changed, *lost]
-    (tmp_path / "a.gz").write_bytes(gzip.compress(b"".join(x + b"\n" for x in data)))
+    (tmp_path / "a.gz").write_bytes(gzip.compress(b"".join(data)))
     got = {r.page_id: (r.complete, r.payload) for r in warc.read_archives(spark, str(tmp_path)).collect()}
     assert set(got) == {1, 2, 3}
     assert not any(c for c, _ in got.values()) and got[1][1] is None and got[2][1] is None
