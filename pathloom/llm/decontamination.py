@@ -11,6 +11,7 @@ or PASSAGE words of it, whatever the item's length.
 
 from __future__ import annotations
 
+import math
 import re
 from collections.abc import Iterator
 from itertools import repeat
@@ -161,25 +162,28 @@ def seed_filter(seeds: DataFrame, bits: int) -> np.ndarray:
     return held.view(np.uint8)
 
 
-_HITS = pa.schema([("doc_id", pa.int64()), ("words", pa.string()), ("seeds", pa.list_(pa.int64()))])
+_HITS = pa.schema([("doc_id", pa.int64()), ("text_key", pa.int64()), ("seeds", pa.list_(pa.int64()))])
 
 
-def _scan(held: np.ndarray, bits: int):
+def _scan(held: np.ndarray, bits: int, least: int):
+    """The seeds of each text that pass the filter, where they are ``least`` or more."""
+
     def run(rows: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         powers = Powers()
         for batch in rows:
-            ids, texts, seeds = [], [], []
-            for doc, text in zip(batch.column("doc_id").to_pylist(), batch.column("text").to_pylist()):
+            ids, keys, seeds = [], [], []
+            for doc, key, text in zip(*(batch.column(c).to_pylist() for c in ("doc_id", "text_key", "text"))):
                 own = words(text)
                 hashes = sequence_hashes(own, TILE, powers)
                 keep = np.ones(len(hashes), bool)
                 for place in _places(hashes, bits):
                     keep &= (held[place >> 3] >> (place & 7).astype(np.uint8) & 1).astype(bool)
-                if keep.any():
+                held_seeds = np.unique(hashes[keep].view(np.int64))
+                if len(held_seeds) >= least:
                     ids.append(doc)
-                    texts.append(b" ".join(own).decode())
-                    seeds.append(np.unique(hashes[keep].view(np.int64)))
-            yield pa.RecordBatch.from_arrays([pa.array(ids, pa.int64()), pa.array(texts, pa.string()), pa.array(seeds, pa.list_(pa.int64()))], schema=_HITS)
+                    keys.append(key)
+                    seeds.append(held_seeds)
+            yield pa.RecordBatch.from_arrays([pa.array(ids, pa.int64()), pa.array(keys, pa.int64()), pa.array(seeds, pa.list_(pa.int64()))], schema=_HITS)
 
     return run
 
@@ -191,9 +195,9 @@ def _tile(rows: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     powers = Powers()
     for batch in rows:
         out = []
-        for doc, item, text, other in zip(*(batch.column(c).to_pylist() for c in ("doc_id", "item_id", "words", "item_words"))):
+        for doc, item, text, other in zip(*(batch.column(c).to_pylist() for c in ("doc_id", "item_id", "text", "item_words"))):
             other = other.encode().split(b" ")
-            found = tiles(text.encode().split(b" "), other, TILE, powers)
+            found = tiles(words(text), other, TILE, powers)
             covered = sum(n for _, _, n in found)
             out.append((doc, item, len(found), covered, len(other), covered / len(other)))
         columns = list(zip(*out)) if out else [[]] * 6
@@ -206,29 +210,35 @@ def contaminated(docs: DataFrame, benchmark: DataFrame, coverage: float = COVERA
     """``(doc_id, item_id, n_tiles, covered, item_words, coverage)`` of documents that tile enough of an item.
 
     Enough is ``coverage`` of its words, or ``passage`` of them if that is given. A tile of ``n`` words holds ``n - 4``
-    seeds, so that ``m`` seeds of an item, counted where they stand in it, cover ``TILE * m`` words at most.
+    seeds, so that ``m`` seeds of an item, counted where they stand in it, cover ``TILE * m`` words at most. Texts come to
+    the pairs that this bound leaves, from ``docs``, which is read twice.
 
     ``docs(doc_id, text, ...)``, ``benchmark(item_id, text, ...)``. Items under TILE words have no seed and match
-    nothing, nor do null and empty texts. Repeated rows of a document or an item are tiled once for each different
-    text, and the best counts; of ties the one of more covered words, then of more tiles. A long text is tiled whole, in
+    nothing, nor do null and empty texts. Repeated rows of a document are tiled each, those of an item once for each
+    different text, and the best counts; of ties the one of more covered words, then of more tiles. A long text is tiled whole, in
     memory linear in its words. Rows without doc_id are not looked at. Other columns are not read.
     """
     items = benchmark.select(F.col("item_id").cast("long"), F.col("text").cast("string"))
     seeds = saved(items.mapInArrow(_item_seeds, "item_id long, words string, size long, seed long, n long"), "benchmark-seeds")
-    bits = filter_bits(seeds.count()) if bits is None else bits
-    scan = _scan(seed_filter(seeds, bits), bits)
+    known = seeds.agg(F.count(F.lit(1)).alias("seeds"), F.min("size").alias("size"), F.max("n").alias("n")).first()
+    bits = filter_bits(known.seeds) if bits is None else bits
+    # What the easiest item needs, over what a seed can cover where it stands most often.
+    need = coverage * (known.size or 0) if passage is None else min(coverage * (known.size or 0), passage)
+    scan = _scan(seed_filter(seeds, bits), bits, max(1, math.ceil(need / (TILE * (known.n or 1)))))
     rows = docs.where("doc_id is not null").select(F.col("doc_id").cast("long"), F.col("text").cast("string"))
-    hits = saved(rows.mapInArrow(scan, "doc_id long, words string, seeds array<long>"), "benchmark-hits")
-    hits = hits.withColumn("text_key", F.xxhash64("words"))
+    rows = rows.withColumn("text_key", F.xxhash64("text"))
+    hits = saved(rows.mapInArrow(scan, "doc_id long, text_key long, seeds array<long>"), "benchmark-hits")
     named = seeds.select("seed", "item_id", F.xxhash64("words").alias("item_key"), "size", "n").distinct()
-    own = hits.select("doc_id", "text_key", F.explode("seeds").alias("seed")).distinct()
+    own = hits.select("doc_id", "text_key", F.explode("seeds").alias("seed"))
     held = spread_join(own, named, "seed", "doc_id").groupBy("doc_id", "text_key", "item_id", "item_key", "size").agg((TILE * F.sum("n")).alias("most"))
     may = F.col("most") >= coverage * F.col("size")
     pairs = held.where(may if passage is None else may | (F.col("most") >= passage))
     texts = seeds.select("item_id", F.xxhash64("words").alias("item_key"), F.col("words").alias("item_words")).distinct()
-    whole = pairs.join(texts, ["item_id", "item_key"]).join(hits.select("doc_id", "text_key", "words").distinct(), ["doc_id", "text_key"])
+    # Saved, so that their size is known when the join with the documents is planned.
+    pairs = saved(pairs.join(texts, ["item_id", "item_key"]).select("doc_id", "text_key", "item_id", "item_words"), "benchmark-pairs")
     with arrow_rows(docs.sparkSession, BATCH_ROWS):
-        tiled = saved(whole.select("doc_id", "item_id", "words", "item_words").mapInArrow(_tile, _TILED), "benchmark-tiles")
+        whole = rows.join(pairs, ["doc_id", "text_key"])
+        tiled = saved(whole.select("doc_id", "item_id", "text", "item_words").mapInArrow(_tile, _TILED), "benchmark-tiles")
     enough = F.col("coverage") >= coverage
     enough = enough if passage is None else enough | (F.col("covered") >= passage)
     best = tiled.where(enough).groupBy("doc_id", "item_id")
